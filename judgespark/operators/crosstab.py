@@ -4,18 +4,18 @@ All metrics depend on the items only through the crosstab ``(keys, judge, human,
 at most 25 rows per group. One partial aggregation and one small shuffle build it; everything
 after that works on the small table, with integer counts up to a last division, so results do not
 depend on how the data was partitioned.
+
+The wide expressions (25 cells, five marginals per side) are generated as SQL text: building them
+node by node from Python costs seconds per query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.functions.numeric import ratio
 from judgespark.schema import DISTANCE_WEIGHTS, OVERALL, PILLARS, SCORES
 
 RATE_COLUMNS = (
@@ -27,6 +27,13 @@ RATE_COLUMNS = (
     "severity_aware_alignment",
 )
 METRIC_COLUMNS = (*RATE_COLUMNS, "weighted_kappa", "spearman_correlation")
+_PAIRS = [(j, h) for j in SCORES for h in SCORES]
+
+
+def quoted(name: str) -> str:
+    """A string literal in SQL text."""
+    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
 def crosstab(items: DataFrame, keys: Sequence[str] = ("pillar",)) -> DataFrame:
@@ -36,56 +43,42 @@ def crosstab(items: DataFrame, keys: Sequence[str] = ("pillar",)) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _total(terms: Sequence[Column]) -> Column:
-    return reduce(add, terms)
-
-
-def _cell(judge: int, human: int) -> Column:
-    return F.col(f"c{judge}{human}")
-
-
 def cell_counts(ct: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per group: distance buckets, marginals and the 25 cell counts.
 
     Cells clamp scores to the scale; distances and marginals use the scores as given.
     """
-    n, judge, human = F.col("n"), F.col("judge"), F.col("human")
-    distance = F.abs(judge - human)
+    low, high = SCORES[0], SCORES[-1]
 
-    def weight(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+    def weight(name: str, condition: str) -> str:
+        return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0L) AS {name}"
 
-    def clamp(c: Column) -> Column:
-        return F.greatest(F.lit(SCORES[0]), F.least(F.lit(SCORES[-1]), c))
+    def clamped(side: str) -> str:
+        return f"greatest({low}, least({high}, {side}))"
 
-    measures = [F.coalesce(F.sum("n"), F.lit(0)).alias("support")]
-    measures += [weight(distance == d).alias(f"d{d}") for d in range(5)]
+    measures = ["coalesce(sum(n), 0L) AS support"]
+    measures += [weight(f"d{d}", f"abs(judge - human) = {d}") for d in range(5)]
     measures += [
-        weight(distance >= 3).alias("d3_plus"),
-        F.coalesce(F.sum(n * distance), F.lit(0)).alias("abs_sum"),
-        F.coalesce(F.sum(n * judge), F.lit(0)).alias("judge_sum"),
-        F.coalesce(F.sum(n * human), F.lit(0)).alias("human_sum"),
-        weight(judge > human).alias("judge_above"),
+        weight("d3_plus", "abs(judge - human) >= 3"),
+        "coalesce(sum(n * abs(judge - human)), 0L) AS abs_sum",
+        "coalesce(sum(n * judge), 0L) AS judge_sum",
+        "coalesce(sum(n * human), 0L) AS human_sum",
+        weight("judge_above", "judge > human"),
     ]
-    measures += [weight(judge == s).alias(f"j{s}") for s in SCORES]
-    measures += [weight(human == s).alias(f"h{s}") for s in SCORES]
+    measures += [weight(f"{side[0]}{s}", f"{side} = {s}") for side in ("judge", "human") for s in SCORES]
     measures += [
-        weight((clamp(judge) == j) & (clamp(human) == h)).alias(f"c{j}{h}")
-        for j in SCORES
-        for h in SCORES
+        weight(f"c{j}{h}", f"{clamped('judge')} = {j} AND {clamped('human')} = {h}") for j, h in _PAIRS
     ]
-    return ct.groupBy(*keys).agg(*measures)
+    return ct.groupBy(*keys).agg(*[F.expr(m) for m in measures])
 
 
-def weighted_alignment(weights: Mapping[int, float] = DISTANCE_WEIGHTS) -> Column:
+def weighted_alignment(weights: Mapping[int, float] = DISTANCE_WEIGHTS) -> str:
     """Mean weight by distance; distances without a weight count as zero."""
-    terms = [
-        F.col(f"d{d}").cast("double") * F.lit(float(w)) for d, w in sorted(weights.items()) if d < 5
-    ]
-    return F.coalesce(ratio(_total(terms), F.col("support")), F.lit(0.0))
+    terms = [f"double(d{d}) * {float(w)!r}D" for d, w in sorted(weights.items()) if 0 <= d < 5]
+    return f"coalesce(try_divide({' + '.join(terms) or '0D'}, double(support)), 0D)"
 
 
-def kappa(weights: str = "quadratic") -> Column:
+def kappa(weights: str = "quadratic") -> str:
     """Cohen's weighted kappa over the cell columns.
 
     NULL below two pairs or without expected disagreement. Products of counts are formed as
@@ -94,45 +87,29 @@ def kappa(weights: str = "quadratic") -> Column:
     if weights not in ("linear", "quadratic"):
         raise ValueError(f"weights must be 'linear' or 'quadratic', got {weights!r}")
     power = 2 if weights == "quadratic" else 1
-    pairs = [(j, h) for j in SCORES for h in SCORES if j != h]
-    observed = _total([_cell(j, h) * F.lit(abs(j - h) ** power) for j, h in pairs])
-    expected = _total(
-        [
-            F.col(f"mj{j}").cast("double") * F.col(f"mh{h}").cast("double") * F.lit(float(abs(j - h) ** power))
-            for j, h in pairs
-        ]
-    )
-    disagreement = F.try_divide(observed.cast("double") * F.col("support").cast("double"), expected)
-    return F.when(F.col("support") >= 2, F.lit(1.0) - disagreement)
-
-
-def _with_clamped_marginals(cells: DataFrame) -> DataFrame:
-    judge = {f"mj{j}": _total([_cell(j, h) for h in SCORES]) for j in SCORES}
-    human = {f"mh{h}": _total([_cell(j, h) for j in SCORES]) for h in SCORES}
-    return cells.withColumns({**judge, **human})
+    unequal = [(j, h, abs(j - h) ** power) for j, h in _PAIRS if j != h]
+    observed = " + ".join(f"c{j}{h} * {w}" for j, h, w in unequal)
+    expected = " + ".join(f"double(mj{j}) * double(mh{h}) * {w}D" for j, h, w in unequal)
+    ratio = f"try_divide(double({observed}) * double(support), {expected})"
+    return f"CASE WHEN support >= 2 THEN 1D - {ratio} END"
 
 
-def _with_centered_ranks(cells: DataFrame) -> DataFrame:
-    """Twice the average rank of a score, minus its mean: items below minus items above."""
+def spearman() -> str:
+    """Rank correlation with average ranks for ties; NULL when a side is constant.
 
-    def centered(side: str, s: int) -> Column:
-        below = [F.col(f"m{side}{v}") for v in SCORES if v < s]
-        above = [F.col(f"m{side}{v}") for v in SCORES if v > s]
-        return _total([F.lit(0), *below]) - _total([F.lit(0), *above])
+    ``r`` columns hold twice the average rank minus its mean, an integer.
+    """
+    product = " + ".join(f"double(c{j}{h}) * rj{j} * rh{h}" for j, h in _PAIRS)
+    judge = " + ".join(f"double(mj{s}) * rj{s} * rj{s}" for s in SCORES)
+    human = " + ".join(f"double(mh{s}) * rh{s} * rh{s}" for s in SCORES)
+    return f"CASE WHEN support >= 2 THEN try_divide({product}, sqrt(({judge}) * ({human}))) END"
 
-    return cells.withColumns(
-        {f"r{side}{s}": centered(side, s).cast("double") for side in "jh" for s in SCORES}
-    )
 
-
-def spearman() -> Column:
-    """Rank correlation with average ranks for ties; NULL when a side is constant."""
-    product = _total(
-        [_cell(j, h).cast("double") * F.col(f"rj{j}") * F.col(f"rh{h}") for j in SCORES for h in SCORES]
-    )
-    judge = _total([F.col(f"mj{s}").cast("double") * F.col(f"rj{s}") * F.col(f"rj{s}") for s in SCORES])
-    human = _total([F.col(f"mh{s}").cast("double") * F.col(f"rh{s}") * F.col(f"rh{s}") for s in SCORES])
-    return F.when(F.col("support") >= 2, F.try_divide(product, F.sqrt(judge * human)))
+def _centered_rank(side: str, s: int) -> str:
+    """Items below score ``s`` minus items above it."""
+    below = " + ".join(["0L", *[f"m{side}{v}" for v in SCORES if v < s]])
+    above = " + ".join(["0L", *[f"m{side}{v}" for v in SCORES if v > s]])
+    return f"double(({below}) - ({above})) AS r{side}{s}"
 
 
 def with_metrics(
@@ -141,36 +118,41 @@ def with_metrics(
     kappa_weights: str = "quadratic",
 ) -> DataFrame:
     """Add the metric columns to ``cell_counts`` output."""
-    support = F.col("support")
-
-    def rate(c: Column) -> Column:
-        return F.coalesce(ratio(c, support), F.lit(0.0))
-
-    cells = _with_centered_ranks(_with_clamped_marginals(cells))
-    return cells.withColumns(
-        {
-            "exact_match_rate": rate(F.col("d0")),
-            "within_1_rate": rate(F.col("d0") + F.col("d1")),
-            "off_by_2_rate": rate(F.col("d2")),
-            "off_by_3_plus_rate": rate(F.col("d3_plus")),
-            "mean_absolute_error": rate(F.col("abs_sum")),
-            "severity_aware_alignment": weighted_alignment(weights),
-            "weighted_kappa": kappa(kappa_weights),
-            "spearman_correlation": spearman(),
-            "avg_judge_score": rate(F.col("judge_sum")),
-            "avg_human_score": rate(F.col("human_sum")),
-        }
+
+    def rate(numerator: str, name: str) -> str:
+        return f"coalesce(try_divide(double({numerator}), double(support)), 0D) AS {name}"
+
+    marginals = [" + ".join(f"c{j}{h}" for h in SCORES) + f" AS mj{j}" for j in SCORES]
+    marginals += [" + ".join(f"c{j}{h}" for j in SCORES) + f" AS mh{h}" for h in SCORES]
+    ranks = [_centered_rank(side, s) for side in "jh" for s in SCORES]
+    return (
+        cells.selectExpr("*", *marginals)
+        .selectExpr("*", *ranks)
+        .selectExpr(
+            "*",
+            rate("d0", "exact_match_rate"),
+            rate("d0 + d1", "within_1_rate"),
+            rate("d2", "off_by_2_rate"),
+            rate("d3_plus", "off_by_3_plus_rate"),
+            rate("abs_sum", "mean_absolute_error"),
+            f"{weighted_alignment(weights)} AS severity_aware_alignment",
+            f"{kappa(kappa_weights)} AS weighted_kappa",
+            f"{spearman()} AS spearman_correlation",
+            rate("judge_sum", "avg_judge_score"),
+            rate("human_sum", "avg_human_score"),
+        )
     )
 
 
-def score_distribution(side: str) -> Column:
+def score_distribution(side: str) -> str:
     """Dense counts for scores 1..5, out-of-range scores counted at the nearest edge."""
-    return F.array(*[F.col(f"m{side[0]}{s}") for s in SCORES])
+    return "array(" + ", ".join(f"m{side[0]}{s}" for s in SCORES) + ")"
 
 
-def confusion_matrix() -> Column:
+def confusion_matrix() -> str:
     """Nested 5x5 array: row = human score, column = judge score."""
-    return F.array(*[F.array(*[_cell(j, h) for j in SCORES]) for h in SCORES])
+    lines = ["array(" + ", ".join(f"c{j}{h}" for j in SCORES) + ")" for h in SCORES]
+    return "array(" + ", ".join(lines) + ")"
 
 
 def dense_labels(
@@ -184,32 +166,23 @@ def dense_labels(
     Each row contributes its count to its own pillar and to the overall label, and zero to the
     other requested pillars. One aggregation then yields a dense report without a grid join.
     """
-    wanted = list(PILLARS if pillars is None else pillars)
-    labels = [
-        F.struct(
-            F.lit(p).alias("label"), F.when(F.col("pillar") == p, F.col("n")).otherwise(0).alias("n")
-        )
-        for p in wanted
+    names = list(PILLARS if pillars is None else pillars)
+    entries = [
+        f"struct({quoted(p)} AS label, CASE WHEN pillar = {quoted(p)} THEN n ELSE 0L END AS m)" for p in names
     ]
     if include_overall:
-        labels.append(F.struct(F.lit(OVERALL).alias("label"), F.col("n").alias("n")))
-    if not labels:
-        return ct.withColumn("label", F.col("pillar")).where(F.lit(False)).drop("pillar")
-    spread = (
-        ct.withColumn("entry", F.explode(F.array(*labels)))
-        .where((F.col("entry.n") > 0) | (F.lit(len(keys) > 0)))
-        .select(*keys, F.col("entry.label").alias("label"), "judge", "human", F.col("entry.n").alias("n"))
+        names.append(OVERALL)
+        entries.append(f"struct({quoted(OVERALL)} AS label, n AS m)")
+    if not entries:
+        return ct.where("false").withColumn("label", F.col("pillar")).drop("pillar")
+    spread = ct.selectExpr(*keys, "judge", "human", f"inline(array({', '.join(entries)}))").selectExpr(
+        *keys, "label", "judge", "human", "m AS n"
     )
     if keys:
         return spread
-    names = [*wanted, OVERALL] if include_overall else wanted
-    zeros = ct.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(name) for name in names])).alias("label"),
-        F.lit(1).alias("judge"),
-        F.lit(1).alias("human"),
-        F.lit(0).cast("long").alias("n"),
-    )
-    return spread.unionByName(zeros)
+    labels = f"explode(array({', '.join(quoted(n) for n in names)})) AS label"
+    zeros = ct.sparkSession.range(1).selectExpr(labels, "1 AS judge", "1 AS human", "0L AS n")
+    return spread.where("n > 0").unionByName(zeros)
 
 
 def agreement_report(
@@ -218,6 +191,7 @@ def agreement_report(
     pillars: Sequence[str] | None = None,
     include_overall: bool = True,
     weights: Mapping[int, float] = DISTANCE_WEIGHTS,
+    kappa_weights: str = "quadratic",
 ) -> DataFrame:
     """Metrics per group and pillar, dense over ``pillars``, plus an overall row.
 
@@ -226,7 +200,7 @@ def agreement_report(
     """
     labelled = dense_labels(ct, keys, pillars, include_overall)
     cells = cell_counts(labelled, [*keys, "label"])
-    return with_metrics(cells, weights).withColumnRenamed("label", "pillar")
+    return with_metrics(cells, weights, kappa_weights).withColumnRenamed("label", "pillar")
 
 
 def single_report(ct: DataFrame, weights: Mapping[int, float] = DISTANCE_WEIGHTS) -> DataFrame:
@@ -236,19 +210,15 @@ def single_report(ct: DataFrame, weights: Mapping[int, float] = DISTANCE_WEIGHTS
 
 def confusion_cells(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long 25-row grid per group: ``(keys, human, judge, count)``."""
-    cells = [
-        F.struct(F.lit(h).alias("human"), F.lit(j).alias("judge"), _cell(j, h).alias("count"))
-        for h in SCORES
-        for j in SCORES
-    ]
-    return report.select(*keys, F.inline(F.array(*cells)))
+    cells = [f"struct({h} AS human, {j} AS judge, c{j}{h} AS count)" for j, h in _PAIRS]
+    return report.selectExpr(*keys, f"inline(array({', '.join(cells)}))")
 
 
 def distribution_rows(report: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Long score counts: ``(keys, score, source, count)``."""
     rows = [
-        F.struct(F.lit(s).alias("score"), F.lit(source).alias("source"), F.col(f"m{source[0]}{s}").alias("count"))
+        f"struct({s} AS score, '{source}' AS source, m{source[0]}{s} AS count)"
         for s in SCORES
         for source in ("judge", "human")
     ]
-    return report.select(*keys, F.inline(F.array(*rows)))
+    return report.selectExpr(*keys, f"inline(array({', '.join(rows)}))")

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from judgespark.functions.numeric import ratio
-from judgespark.operators.crosstab import agreement_report
+from judgespark.operators.crosstab import agreement_report, quoted
 from judgespark.operators.scored import ledger_crosstab, record_ledger
 from judgespark.operators.skew import HOT_MIN_ROWS, skew_join
-from judgespark.operators.slices import reviewer
+from judgespark.operators.slices import REVIEWER, reviewer
 from judgespark.schema import OVERALL, PILLARS
 
 
@@ -65,15 +65,10 @@ def reviews_from_items(items: DataFrame) -> DataFrame:
 
 def reviews_from_rows(rows: DataFrame, pillars: Sequence[str] = PILLARS) -> DataFrame:
     """Long reviews of all rows, keeping several rows per record (multi-review data)."""
-    entries = [
-        F.struct(F.lit(p).alias("pillar"), F.col(f"label_{p}").alias("human_score")) for p in pillars
-    ]
-    return rows.select(
-        F.col("row_index").alias("review_index"),
-        "record_id",
-        reviewer().alias("reviewer"),
-        F.inline(F.array(*entries)),
-    ).where(F.col("human_score").isNotNull())
+    entries = ", ".join(f"struct({quoted(p)} AS pillar, label_{p} AS human_score)" for p in pillars)
+    return rows.selectExpr(
+        "row_index AS review_index", "record_id", f"{REVIEWER} AS reviewer", f"inline(array({entries}))"
+    ).where("human_score IS NOT NULL")
 
 
 def reviewer_overlaps(reviews: DataFrame, hot_min_rows: int = HOT_MIN_ROWS) -> DataFrame:

@@ -8,11 +8,12 @@ the crosstab, the accounting and the missing-outcome count all come from that si
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from judgespark.operators.crosstab import quoted
 from judgespark.operators.skew import HOT_MIN_ROWS, skew_join
 from judgespark.schema import ITEM_ATTRIBUTES, PILLARS, SCORES
 
@@ -26,26 +27,14 @@ def latest_rows(rows: DataFrame, columns: Sequence[str] | None = None) -> DataFr
 
 def labels_long(rows: DataFrame, pillars: Sequence[str] = PILLARS) -> DataFrame:
     """Wide label columns as ``(row_index, record_id, pillar, human_score)``."""
-    return rows.select(
-        "row_index",
-        "record_id",
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(p).alias("pillar"), F.col(f"label_{p}").alias("human_score"))
-                    for p in pillars
-                ]
-            )
-        ),
-    )
+    entries = ", ".join(f"struct({quoted(p)} AS pillar, label_{p} AS human_score)" for p in pillars)
+    return rows.selectExpr("row_index", "record_id", f"inline(array({entries}))")
 
 
-def label_of(pillar: Column, known: Sequence[str]) -> Column:
+def label_of(known: Sequence[str], pillar: str = "pillar") -> str:
     """The label column that belongs to ``pillar``; NULL when the row has none."""
-    result = F.lit(None).cast("int")
-    for p in known:
-        result = F.when(pillar == p, F.col(f"label_{p}")).otherwise(result)
-    return result
+    cases = " ".join(f"WHEN {quoted(p)} THEN label_{p}" for p in known)
+    return f"CASE {pillar} {cases} END" if known else "CAST(NULL AS INT)"
 
 
 def _label_pillars(rows: DataFrame) -> list[str]:
@@ -89,7 +78,7 @@ def scored_items(
         rows, ok, [*attributes, *[f"label_{p}" for p in labelled]], hot_min_rows
     )
     return (
-        joined.withColumn("human_score", label_of(F.col("pillar"), labelled))
+        joined.withColumn("human_score", F.expr(label_of(labelled)))
         .where(F.col("human_score").isNotNull())
         .select("outcome_index", "record_id", "pillar", "judge_score", "human_score", *attributes)
     )
@@ -119,31 +108,34 @@ def record_ledger(
     labelled = set(_label_pillars(rows))
     counts = []
     for k, p in enumerate(active):
-        mine = F.col("pillar") == p
-        failed = F.col("result").isNull()
-        counts.append(F.count_if(mine & failed).alias(f"failed_{k}"))
-        counts += [
-            F.count_if(mine & (F.col("result.score") == s)).alias(f"ok_{k}_{s}") for s in SCORES
-        ]
-    folded = outcomes.where(F.col("pillar").isin(active)).groupBy("record_id").agg(*counts)
-    carried = [
-        *attributes,
-        *[
-            (F.col(f"label_{p}") if p in labelled else F.lit(None).cast("int")).alias(f"label_{k}")
-            for k, p in enumerate(active)
-        ],
+        mine = f"pillar = {quoted(p)}"
+        counts.append(f"count_if({mine} AND result IS NULL) AS failed_{k}")
+        counts += [f"count_if({mine} AND result.score = {s}) AS ok_{k}_{s}" for s in SCORES]
+    folded = (
+        outcomes.where(F.col("pillar").isin(active))
+        .groupBy("record_id")
+        .agg(*[F.expr(c) for c in counts])
+    )
+    carried = [*attributes]
+    carried += [
+        f"{f'label_{p}' if p in labelled else 'CAST(NULL AS INT)'} AS label_{k}"
+        for k, p in enumerate(active)
     ]
     last = (
         rows.groupBy("record_id")
         .agg(
-            F.max_by(F.struct(*carried), "row_index").alias("_row"),
+            F.expr(f"max_by(struct({', '.join(carried)}), row_index) AS _row"),
             F.count(F.lit(1)).alias("row_copies"),
         )
         .select("record_id", "row_copies", "_row.*")
     )
     joined = last.join(folded, "record_id", how)
-    zeros = {c: 0 for c in folded.columns if c != "record_id"}
-    return joined.fillna({**zeros, "row_copies": 0}) if how != "inner" else joined
+    if how == "inner":
+        return joined
+    absent = ["row_copies", *[c for c in folded.columns if c != "record_id"]]
+    return joined.selectExpr(
+        *[f"coalesce({c}, 0L) AS {c}" if c in absent else c for c in joined.columns]
+    )
 
 
 def ledger_crosstab(
@@ -155,24 +147,19 @@ def ledger_crosstab(
     aggregation folds before the shuffle.
     """
     active = list(pillars or PILLARS)
+    counts = [f"n{s}" for s in SCORES]
     entries = [
-        F.struct(
-            F.lit(p).alias("pillar"),
-            F.col(f"label_{k}").alias("human"),
-            *[F.col(f"ok_{k}_{s}").alias(f"n{s}") for s in SCORES],
-        )
+        f"struct({quoted(p)} AS pillar, label_{k} AS human, "
+        + ", ".join(f"ok_{k}_{s} AS n{s}" for s in SCORES)
+        + ")"
         for k, p in enumerate(active)
     ]
-    spread = ledger.select(*keys, F.inline(F.array(*entries))).where(F.col("human").isNotNull())
-    summed = spread.groupBy(*keys, "pillar", "human").agg(
-        *[F.sum(f"n{s}").alias(f"n{s}") for s in SCORES]
-    )
-    cells = F.array(
-        *[F.struct(F.lit(s).alias("judge"), F.col(f"n{s}").alias("n")) for s in SCORES]
-    )
+    spread = ledger.selectExpr(*keys, f"inline(array({', '.join(entries)}))").where("human IS NOT NULL")
+    summed = spread.groupBy(*keys, "pillar", "human").agg(*[F.sum(c).alias(c) for c in counts])
+    cells = ", ".join(f"struct({s} AS judge, n{s} AS n)" for s in SCORES)
     return (
-        summed.select(*keys, "pillar", "human", F.inline(cells))
-        .where(F.col("n") > 0)
+        summed.selectExpr(*keys, "pillar", "human", f"inline(array({cells}))")
+        .where("n > 0")
         .select(*keys, "pillar", "judge", "human", "n")
     )
 
@@ -195,40 +182,31 @@ def join_accounting(
     """
     active = list(pillars or PILLARS)
     ledger = record_ledger(rows, outcomes, pillars, how="full")
-    known = F.col("row_copies") > 0
-
-    def ok(k: int) -> Column:
-        total = F.col(f"ok_{k}_1")
-        for s in SCORES[1:]:
-            total = total + F.col(f"ok_{k}_{s}")
-        return total
-
-    def over_pillars(term) -> Column:
-        total = F.lit(0).cast("long")
-        for k in range(len(active)):
-            total = total + term(k)
-        return total
-
-    def labelled(k: int) -> Column:
-        return known & F.col(f"label_{k}").isNotNull()
-
-    seen = F.array(*[F.when(F.sum(F.when(labelled(k), ok(k)).otherwise(0)) > 0, F.lit(p)) for k, p in enumerate(active)])
-    sums = {
-        "considered": F.col("row_copies") * len(active),
-        "failed_outcomes": over_pillars(lambda k: F.col(f"failed_{k}")),
-        "orphan_outcomes": over_pillars(lambda k: F.when(~known, ok(k)).otherwise(0)),
-        "missing_labels": over_pillars(
-            lambda k: F.when(known & F.col(f"label_{k}").isNull(), ok(k)).otherwise(0)
-        ),
-        "paired": over_pillars(lambda k: F.when(labelled(k), ok(k)).otherwise(0)),
-        "missing_outcomes": over_pillars(
-            lambda k: F.when(known & (ok(k) + F.col(f"failed_{k}") == 0), 1).otherwise(0)
-        ),
-    }
-    return ledger.agg(
-        *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()],
-        F.array_sort(F.array_compact(seen)).alias("pillars_seen"),
+    numbers = range(len(active))
+
+    def ok(k: int) -> str:
+        return "(" + " + ".join(f"ok_{k}_{s}" for s in SCORES) + ")"
+
+    def count(name: str, term: Callable[[int], str]) -> str:
+        return f"coalesce(sum({' + '.join(term(k) for k in numbers)}), 0L) AS {name}"
+
+    def ok_if(k: int, condition: str) -> str:
+        return f"IF({condition}, {ok(k)}, 0L)"
+
+    seen = ", ".join(
+        f"IF(sum({ok_if(k, f'row_copies > 0 AND label_{k} IS NOT NULL')}) > 0, {quoted(p)}, NULL)"
+        for k, p in enumerate(active)
     )
+    measures = [
+        f"coalesce(sum(row_copies), 0L) * {len(active)} AS considered",
+        count("failed_outcomes", lambda k: f"failed_{k}"),
+        count("orphan_outcomes", lambda k: ok_if(k, "row_copies = 0")),
+        count("missing_labels", lambda k: ok_if(k, f"row_copies > 0 AND label_{k} IS NULL")),
+        count("paired", lambda k: ok_if(k, f"row_copies > 0 AND label_{k} IS NOT NULL")),
+        count("missing_outcomes", lambda k: f"IF(row_copies > 0 AND {ok(k)} + failed_{k} = 0, 1L, 0L)"),
+        f"array_sort(array_compact(array({seen}))) AS pillars_seen",
+    ]
+    return ledger.agg(*[F.expr(m) for m in measures])
 
 
 def missing_outcomes(
@@ -237,12 +215,8 @@ def missing_outcomes(
     """The distinct (record, pillar) pairs that no outcome covers."""
     active = list(pillars or PILLARS)
     ledger = record_ledger(rows, outcomes, pillars, how="left")
-    absent = [
-        F.when(
-            sum((F.col(f"ok_{k}_{s}") for s in SCORES), F.col(f"failed_{k}")) == 0, F.lit(p)
-        )
+    absent = ", ".join(
+        f"IF(failed_{k} + {' + '.join(f'ok_{k}_{s}' for s in SCORES)} = 0, {quoted(p)}, NULL)"
         for k, p in enumerate(active)
-    ]
-    return ledger.select(
-        "record_id", F.explode(F.array_compact(F.array(*absent))).alias("pillar")
     )
+    return ledger.selectExpr("record_id", f"explode(array_compact(array({absent}))) AS pillar")

@@ -7,32 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.operators.crosstab import agreement_report
+from judgespark.operators.crosstab import agreement_report, quoted
 from judgespark.operators.scored import ledger_crosstab, record_ledger
 from judgespark.schema import UNKNOWN_SLICE
 
 
-def _blank_to_null(name: str) -> Column:
-    return F.nullif(F.col(name), F.lit(""))
+# Reviewer name, else id.
+REVIEWER = "coalesce(nullif(reviewer_name, ''), reviewer_id)"
 
-
-def reviewer() -> Column:
-    """Reviewer name, else id."""
-    return F.coalesce(_blank_to_null("reviewer_name"), F.col("reviewer_id"))
-
-
-def dimensions() -> dict[str, Column]:
-    """The standard slice keys over item attributes."""
-    return {
-        "category": F.col("category"),
-        "reviewer": reviewer(),
-        "intent": F.col("intent"),
-        "topic": F.col("topic"),
-        "model": F.col("model_name"),
-    }
-
-
-# Row columns each standard dimension needs.
+# The standard slice keys over item attributes, and the row columns each needs.
+DIMENSIONS = {
+    "category": "category",
+    "reviewer": REVIEWER,
+    "intent": "intent",
+    "topic": "topic",
+    "model": "model_name",
+}
 DIMENSION_ATTRIBUTES = {
     "category": ("category",),
     "reviewer": ("reviewer_name", "reviewer_id"),
@@ -42,22 +32,25 @@ DIMENSION_ATTRIBUTES = {
 }
 
 
-def slice_value(key: Column) -> Column:
-    """Slice label of a key: NULL and the empty string fall into one unknown slice."""
-    return F.coalesce(F.nullif(key, F.lit("")), F.lit(UNKNOWN_SLICE))
+def reviewer() -> Column:
+    return F.expr(REVIEWER)
 
 
-def sliced_items(items: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
-    """Items repeated once per dimension, with ``dimension`` and ``slice`` columns."""
-    entries = [
-        F.struct(F.lit(name).alias("dimension"), slice_value(key).alias("slice"))
+def sliced_items(items: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """Items repeated once per dimension, with ``dimension`` and ``slice`` columns.
+
+    Keys are SQL expressions over the item columns. NULL and the empty string fall into one
+    unknown slice.
+    """
+    entries = ", ".join(
+        f"struct({quoted(name)} AS dimension, coalesce(nullif({key}, ''), {quoted(UNKNOWN_SLICE)}) AS slice)"
         for name, key in keys.items()
-    ]
-    return items.select("*", F.inline(F.array(*entries)))
+    )
+    return items.selectExpr("*", f"inline(array({entries}))")
 
 
-def items_slice_crosstab(items: DataFrame, keys: Mapping[str, Column]) -> DataFrame:
-    """Crosstab per (dimension, slice, pillar) of scored items; any column works as a key."""
+def items_slice_crosstab(items: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """Crosstab per (dimension, slice, pillar) of scored items; any expression works as a key."""
     return (
         sliced_items(items, keys)
         .groupBy(
@@ -80,8 +73,7 @@ def slice_crosstab(
     """Crosstab per standard dimension from rows and outcomes, all dimensions in one pass."""
     attributes = [a for name in names for a in DIMENSION_ATTRIBUTES[name]]
     ledger = record_ledger(rows, outcomes, pillars, attributes)
-    every = dimensions()
-    spread = sliced_items(ledger, {name: every[name] for name in names})
+    spread = sliced_items(ledger, {name: DIMENSIONS[name] for name in names})
     return ledger_crosstab(spread, pillars, ["dimension", "slice"])
 
 

@@ -185,7 +185,7 @@ def disagreement_rows(
     carried = ["category", "reviewer_name", "reviewer_id", "intent", "topic", "user_input", "agent_output"]
     joined = outcomes_with_rows(rows, ok, [*carried, *[f"label_{p}" for p in known]], hot_min_rows)
     judge = F.col("result.score")
-    human = label_of(F.col("pillar"), known)
+    human = F.expr(label_of(known))
     shown = joined.withColumns(
         {"_confidence": F.col("result.confidence"), "reviewer": reviewer(), "human_score": human}
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.operators import crosstab, gates, reviewers, scored, slices, views
+from judgespark.operators import crosstab, reviewers, scored, slices
 from judgespark.plans import inputs
 from judgespark.plans import sqltext as q
 from judgespark.plans.registry import query
@@ -183,12 +183,8 @@ def confusion_matrix(spark, sf_dir):
     q.with_ctes(f"SELECT pillar, support, {q.kappa(1)} AS weighted_kappa FROM report", "report"),
 )
 def linear_kappa(spark, sf_dir):
-    cells = crosstab.cell_counts(
-        crosstab.dense_labels(crosstab_of(spark, sf_dir), [], None, True), ["label"]
-    )
-    return crosstab.with_metrics(cells, kappa_weights="linear").select(
-        F.col("label").alias("pillar"), "support", "weighted_kappa"
-    )
+    report = crosstab.agreement_report(crosstab_of(spark, sf_dir), kappa_weights="linear")
+    return report.select("pillar", "support", "weighted_kappa")
 
 
 @query(
@@ -301,9 +297,9 @@ q.define(
     ),
 )
 def custom_selector(spark, sf_dir):
-    """Any column expression works as a slice key."""
-    key = F.concat(F.col("topic"), F.lit("/"), F.col("category"))
-    ct = slices.items_slice_crosstab(items_of(spark, sf_dir), {"customer_group": key})
+    """Any expression over the item columns works as a slice key."""
+    keys = {"customer_group": "concat(topic, '/', category)"}
+    ct = slices.items_slice_crosstab(items_of(spark, sf_dir), keys)
     return slices.sliced_report(ct).select("dimension", "slice", *_REPORT_COLUMNS)
 
 

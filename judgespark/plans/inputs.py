@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from judgespark.schema import OUTCOME, PILLARS, RUBRIC_TAGS, RUBRIC_VERSION
 
@@ -12,108 +11,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _text(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One normalized row per order; every 40th order repeats the record id before it."""
-    key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    record = F.when(key % 40 == 1, key - 1).otherwise(key)
     labels = [
-        F.when((key + k) % 11 != 0, 1 + (key * 7 + k * 3 + cust % 2) % 5).cast("int").alias(f"label_{p}")
+        f"""CAST(CASE WHEN (o_orderkey + {k}) % 11 <> 0
+          THEN 1 + (o_orderkey * 7 + {k * 3} + o_custkey % 2) % 5 END AS INT) AS label_{p}"""
         for k, p in enumerate(PILLARS, start=1)
     ]
-    return table(spark, sf_dir, "orders").select(
-        key.alias("row_index"),
-        record.cast("string").alias("record_id"),
-        _text("Where is order ", key, " of customer ", cust, "?").alias("user_input"),
-        _text("Order ", key, " has status ", F.col("o_orderstatus"), ".").alias("agent_output"),
-        F.col("o_orderpriority").alias("category"),
-        F.when(cust % 4 != 0, _text("rev-", cust % 12)).alias("reviewer_name"),
-        F.when(cust % 8 != 0, _text("id-", cust % 12)).alias("reviewer_id"),
-        F.when(cust % 7 != 0, _text("intent_", cust % 7)).alias("intent"),
-        F.when(key % 9 != 0, F.col("o_orderstatus")).alias("topic"),
-        _text("conv-", cust).alias("conversation_id"),
-        F.when(key % 10 != 0, _text("model-", key % 3)).alias("model_name"),
+    return table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey AS row_index",
+        "CAST(IF(o_orderkey % 40 = 1, o_orderkey - 1, o_orderkey) AS STRING) AS record_id",
+        "concat('Where is order ', o_orderkey, ' of customer ', o_custkey, '?') AS user_input",
+        "concat('Order ', o_orderkey, ' has status ', o_orderstatus, '.') AS agent_output",
+        "o_orderpriority AS category",
+        "CASE WHEN o_custkey % 4 <> 0 THEN concat('rev-', o_custkey % 12) END AS reviewer_name",
+        "CASE WHEN o_custkey % 8 <> 0 THEN concat('id-', o_custkey % 12) END AS reviewer_id",
+        "CASE WHEN o_custkey % 7 <> 0 THEN concat('intent_', o_custkey % 7) END AS intent",
+        "CASE WHEN o_orderkey % 9 <> 0 THEN o_orderstatus END AS topic",
+        "concat('conv-', o_custkey) AS conversation_id",
+        "CASE WHEN o_orderkey % 10 <> 0 THEN concat('model-', o_orderkey % 3) END AS model_name",
         *labels,
     )
 
 
-def pillar_number(number: Column) -> Column:
+def pillar_case(number: str) -> str:
     """Pillar names for 1..6 and an inactive pillar for every other number."""
-    result = F.lit("tone")
-    for k, p in enumerate(PILLARS, start=1):
-        result = F.when(number == k, F.lit(p)).otherwise(result)
-    return result
+    cases = " ".join(f"WHEN {k} THEN '{p}'" for k, p in enumerate(PILLARS, start=1))
+    return f"CASE {number} {cases} ELSE 'tone' END"
 
 
 def outcomes_from(lineitem: DataFrame) -> DataFrame:
     """One grader outcome per line item; works on batch and streaming input."""
-    order, line = F.col("l_orderkey"), F.col("l_linenumber")
-    record = (
-        F.when(order % 997 == 0, _text("ghost-", order))
-        .when(order % 80 == 1, (order - 1).cast("string"))
-        .otherwise(order.cast("string"))
-    )
-    failed = F.col("l_suppkey") % 13 == 0
-    score = (1 + (order * 7 + line * 3 + F.col("l_partkey") % 4) % 5).cast("int")
-    tag = F.lit(None).cast("string")
-    for p, tags in RUBRIC_TAGS.items():
-        tag = F.when(F.col("pillar") == p, F.lit(tags[0])).otherwise(tag)
-    base = lineitem.select(
-        (order * 8 + line).alias("outcome_index"),
-        record.alias("record_id"),
-        pillar_number(line).alias("pillar"),
-        (F.col("l_extendedprice") / 100).alias("latency_ms"),
-        (1 + F.col("l_suppkey") % 3).cast("int").alias("attempts"),
-        F.when(line % 5 != 0, F.floor("l_quantity") * 10).alias("input_tokens"),
-        (F.col("l_partkey") % 300).alias("output_tokens"),
-        _text("model-", F.col("l_suppkey") % 3).alias("model_name"),
-        failed.alias("failed"),
-        score.alias("score"),
-        (F.col("l_discount") * 10).alias("confidence"),
-    )
-    strings = F.array().cast("array<string>")
-    result = F.struct(
-        F.col("pillar"),
-        F.col("score"),
-        F.col("confidence"),
-        _text("score ", F.col("score"), " on ", F.col("pillar")).alias("decision_summary"),
-        F.lit(None).cast(OUTCOME["result"].dataType["evidence_for_score"].dataType).alias("evidence_for_score"),
-        F.when((F.col("score") < 3) & tag.isNotNull(), F.array(tag, F.lit("second"))).when(
-            (F.col("score") < 5) & tag.isNotNull(), F.array(tag)
-        ).otherwise(strings).alias("failure_tags"),
-        F.when(F.col("score") < 5, F.lit("some claims lack support")).alias("why_not_higher"),
-        F.when(F.col("score") > 1, F.lit("the core answer is usable")).alias("why_not_lower"),
-        F.col("score").alias("rubric_anchor"),
-        strings.alias("elements_present"),
-        strings.alias("elements_missing"),
-        F.col("model_name").alias("raw_model_name"),
-        F.lit("v1").alias("prompt_version"),
-        F.lit(RUBRIC_VERSION).alias("rubric_version"),
-    )
-    return base.select(
+    tags = " ".join(f"WHEN '{p}' THEN '{tags[0]}'" for p, tags in RUBRIC_TAGS.items())
+    evidence = OUTCOME["result"].dataType["evidence_for_score"].dataType.simpleString()
+    result = f"""named_struct(
+        'pillar', pillar,
+        'score', score,
+        'confidence', confidence,
+        'decision_summary', concat('score ', score, ' on ', pillar),
+        'evidence_for_score', CAST(NULL AS {evidence}),
+        'failure_tags', CASE WHEN tag IS NULL OR score = 5 THEN CAST(array() AS array<string>)
+                             WHEN score < 3 THEN array(tag, 'second') ELSE array(tag) END,
+        'why_not_higher', CASE WHEN score < 5 THEN 'some claims lack support' END,
+        'why_not_lower', CASE WHEN score > 1 THEN 'the core answer is usable' END,
+        'rubric_anchor', score,
+        'elements_present', CAST(array() AS array<string>),
+        'elements_missing', CAST(array() AS array<string>),
+        'raw_model_name', model_name,
+        'prompt_version', 'v1',
+        'rubric_version', '{RUBRIC_VERSION}')"""
+    base = lineitem.selectExpr(
+        "l_orderkey * 8 + l_linenumber AS outcome_index",
+        """CASE WHEN l_orderkey % 997 = 0 THEN concat('ghost-', l_orderkey)
+             WHEN l_orderkey % 80 = 1 THEN CAST(l_orderkey - 1 AS STRING)
+             ELSE CAST(l_orderkey AS STRING) END AS record_id""",
+        f"{pillar_case('l_linenumber')} AS pillar",
+        "l_extendedprice / 100 AS latency_ms",
+        "CAST(1 + l_suppkey % 3 AS INT) AS attempts",
+        "CASE WHEN l_linenumber % 5 <> 0 THEN floor(l_quantity) * 10 END AS input_tokens",
+        "l_partkey % 300 AS output_tokens",
+        "concat('model-', l_suppkey % 3) AS model_name",
+        "l_suppkey % 13 = 0 AS failed",
+        "CAST(1 + (l_orderkey * 7 + l_linenumber * 3 + l_partkey % 4) % 5 AS INT) AS score",
+        "l_discount * 10 AS confidence",
+    ).selectExpr("*", f"CASE pillar {tags} END AS tag")
+    return base.selectExpr(
         "outcome_index",
         "record_id",
         "pillar",
         "latency_ms",
         "attempts",
-        F.struct(
-            "input_tokens",
-            "output_tokens",
-            (F.col("input_tokens") + F.col("output_tokens")).alias("total_tokens"),
-        ).alias("usage"),
+        """named_struct('input_tokens', input_tokens, 'output_tokens', output_tokens,
+             'total_tokens', input_tokens + output_tokens) AS usage""",
         "model_name",
-        F.lit("run-1").alias("run_id"),
-        F.when(~F.col("failed"), result).alias("result"),
-        F.when(F.col("failed"), F.lit("provider timed out")).alias("error"),
-        F.when(F.col("failed"), F.lit("ProviderTimeoutError")).alias("error_type"),
-        F.when(
-            ~F.col("failed"),
-            F.struct(F.lit("v1").alias("prompt"), F.lit(RUBRIC_VERSION).alias("rubric")),
-        ).alias("prompt_versions"),
-        F.create_map().cast("map<string,string>").alias("extras"),
+        "'run-1' AS run_id",
+        f"CASE WHEN NOT failed THEN {result} END AS result",
+        "CASE WHEN failed THEN 'provider timed out' END AS error",
+        "CASE WHEN failed THEN 'ProviderTimeoutError' END AS error_type",
+        f"""CASE WHEN NOT failed THEN named_struct('prompt', 'v1', 'rubric', '{RUBRIC_VERSION}') END
+             AS prompt_versions""",
+        "CAST(map() AS map<string,string>) AS extras",
     )
 
 
