@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.functions.numeric import ratio
 from judgespark.operators.crosstab import agreement_report
 from judgespark.schema import PILLARS, SCORES
 
@@ -15,130 +14,104 @@ JS_EPS = 1e-12
 PSI_EPS = 1e-6
 
 
-def _total(terms: Sequence[Column]) -> Column:
-    result = terms[0]
-    for t in terms[1:]:
-        result = result + t
-    return result
-
-
-def pmf(side: str) -> Column:
+def pmf(side: str) -> str:
     """Probability per score 1..5 over a report row; uniform when empty.
 
     Scores outside the scale count in the denominator but in no bin.
     """
-    support = F.col("support")
-    return F.array(
-        *[F.coalesce(ratio(F.col(f"{side[0]}{s}"), support), F.lit(1.0 / len(SCORES))) for s in SCORES]
-    )
+    bins = [
+        f"coalesce(try_divide(double({side[0]}{s}), double(support)), {1 / len(SCORES)}D)" for s in SCORES
+    ]
+    return f"array({', '.join(bins)})"
 
 
-def js_divergence(p: Column, q: Column) -> Column:
+def js_divergence(p: str, q: str) -> str:
     """Jensen-Shannon divergence (natural log) of two probability arrays."""
     bins = range(len(SCORES))
-    ps = [F.greatest(p[i], F.lit(JS_EPS)) for i in bins]
-    qs = [F.greatest(q[i], F.lit(JS_EPS)) for i in bins]
-    mixed = [(ps[i] + qs[i]) * 0.5 for i in bins]
-    mass = _total(mixed)
+    ps = [f"greatest({p}[{i}], {JS_EPS}D)" for i in bins]
+    qs = [f"greatest({q}[{i}], {JS_EPS}D)" for i in bins]
+    mixed = [f"(({a} + {b}) * 0.5D)" for a, b in zip(ps, qs)]
+    mass = " + ".join(mixed)
 
-    def divergence(a: list[Column]) -> Column:
-        return _total([a[i] * F.ln(a[i] / F.greatest(mixed[i] / mass, F.lit(JS_EPS))) for i in bins])
+    def divergence(xs: Sequence[str]) -> str:
+        terms = [f"{x} * ln({x} / greatest({m} / ({mass}), {JS_EPS}D))" for x, m in zip(xs, mixed)]
+        return f"({' + '.join(terms)})"
 
-    return divergence(ps) * 0.5 + divergence(qs) * 0.5
+    return f"{divergence(ps)} * 0.5D + {divergence(qs)} * 0.5D"
 
 
-def psi(expected: Column, actual: Column) -> Column:
+def psi(expected: str, actual: str) -> str:
     """Population stability index of two probability arrays."""
     terms = []
     for i in range(len(SCORES)):
-        e = F.greatest(expected[i], F.lit(PSI_EPS))
-        a = F.greatest(actual[i], F.lit(PSI_EPS))
-        terms.append((a - e) * F.ln(a / e))
-    return _total(terms)
-
-
-def _moments(report: DataFrame) -> DataFrame:
-    """Centered second moments times N, from counts."""
-    n = F.col("support").cast("double")
-    mean_j = ratio(F.col("judge_sum"), F.col("support"))
-    mean_h = ratio(F.col("human_sum"), F.col("support"))
-    base = report.withColumns({"_mj": mean_j, "_mh": mean_h, "_n": n})
-    cells = [(j, h) for j in SCORES for h in SCORES]
+        e, a = f"greatest({expected}[{i}], {PSI_EPS}D)", f"greatest({actual}[{i}], {PSI_EPS}D)"
+        terms.append(f"({a} - {e}) * ln({a} / {e})")
+    return " + ".join(terms)
 
-    def spread(a, b) -> Column:
-        return _total([F.col(f"c{j}{h}").cast("double") * a(j, h) * b(j, h) for j, h in cells])
 
-    def dj(j, h):
-        return F.lit(float(j)) - F.col("_mj")
+def _spread(a: str, b: str) -> str:
+    """Sum over cells of count times two deviations, each from judge (j) or human (h) mean."""
+    deviation = {"j": lambda j, h: f"({j}D - _mj)", "h": lambda j, h: f"({h}D - _mh)"}
+    terms = [
+        f"double(c{j}{h}) * {deviation[a](j, h)} * {deviation[b](j, h)}" for j in SCORES for h in SCORES
+    ]
+    return " + ".join(terms)
 
-    def dh(j, h):
-        return F.lit(float(h)) - F.col("_mh")
 
-    return base.withColumns({"_sjj": spread(dj, dj), "_sjh": spread(dj, dh), "_shh": spread(dh, dh)})
+def _constant(side: str) -> str:
+    """One marginal holds every item: exact, unlike a test on a float moment."""
+    return "(" + " OR ".join(f"{side}{s} = support" for s in SCORES) + ")"
 
 
 def pillar_diagnostics(
-    ct: DataFrame, pillars: Sequence[str] = PILLARS, keys: Sequence[str] = ()
+    ct: DataFrame,
+    pillars: Sequence[str] = PILLARS,
+    keys: Sequence[str] = (),
+    include_overall: bool = False,
 ) -> DataFrame:
     """Diagnostics per pillar from the crosstab, dense over ``pillars``.
 
     The regression of human on judge is NULL below two items or for a constant judge; a constant
     human gives slope 0 and R squared 1.
     """
-    report = agreement_report(ct, keys, pillars, include_overall=False)
-    moments = _moments(report)
-    fitted = (F.col("support") >= 2) & (F.col("_constant_judge") == F.lit(False))
-    # A judge is constant when one marginal holds every item; exact, unlike a float moment.
-    constant = {
-        f"_constant_{side}": _any([F.col(f"{side[0]}{s}") == F.col("support") for s in SCORES])
-        for side in ("judge", "human")
-    }
-    slope = F.try_divide(F.col("_sjh"), F.col("_sjj"))
-    residual_share = F.try_divide(F.col("_sjh") * F.col("_sjh"), F.col("_sjj") * F.col("_shh"))
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), residual_share))
-    return (
-        moments.withColumns(constant)
-        .withColumn("ols_slope", F.when(fitted, F.when(F.col("_constant_human"), 0.0).otherwise(slope)))
-        .withColumn("ols_intercept", F.col("_mh") - F.col("ols_slope") * F.col("_mj"))
-        .withColumn("ols_r2", F.when(fitted, F.when(F.col("_constant_human"), 1.0).otherwise(clamped)))
-        .select(
-            *keys,
-            "pillar",
-            "support",
-            pmf("judge").alias("judge_pmf"),
-            pmf("human").alias("human_pmf"),
-            F.coalesce(ratio(F.col("judge_sum") - F.col("human_sum"), F.col("support")), F.lit(0.0)).alias(
-                "mean_residual"
-            ),
-            F.coalesce(ratio(F.col("judge_above"), F.col("support")), F.lit(0.0)).alias(
-                "pct_positive_residual"
-            ),
-            "ols_slope",
-            "ols_intercept",
-            "ols_r2",
-        )
+    report = agreement_report(ct, keys, pillars, include_overall)
+    moments = report.selectExpr(
+        "*",
+        "try_divide(double(judge_sum), double(support)) AS _mj",
+        "try_divide(double(human_sum), double(support)) AS _mh",
+    ).selectExpr(
+        "*", f"{_spread('j', 'j')} AS _sjj", f"{_spread('j', 'h')} AS _sjh", f"{_spread('h', 'h')} AS _shh"
+    )
+    undefined = f"support < 2 OR {_constant('j')}"
+    fitted = moments.selectExpr(
+        "*",
+        f"CASE WHEN {undefined} THEN NULL WHEN {_constant('h')} THEN 0D ELSE try_divide(_sjh, _sjj) END"
+        " AS ols_slope",
+        f"CASE WHEN {undefined} THEN NULL WHEN {_constant('h')} THEN 1D"
+        " ELSE greatest(0D, least(1D, try_divide(_sjh * _sjh, _sjj * _shh))) END AS ols_r2",
+    )
+    return fitted.selectExpr(
+        *keys,
+        "pillar",
+        "support",
+        f"{pmf('judge')} AS judge_pmf",
+        f"{pmf('human')} AS human_pmf",
+        "coalesce(try_divide(double(judge_sum - human_sum), double(support)), 0D) AS mean_residual",
+        "coalesce(try_divide(double(judge_above), double(support)), 0D) AS pct_positive_residual",
+        "ols_slope",
+        "_mh - ols_slope * _mj AS ols_intercept",
+        "ols_r2",
     )
-
-
-def _any(conditions: Sequence[Column]) -> Column:
-    result = conditions[0]
-    for c in conditions[1:]:
-        result = result | c
-    return result
 
 
 def pmf_rows(diagnostics: DataFrame, keys: Sequence[str] = ("pillar",)) -> DataFrame:
     """Long rows ``(keys, score, source, p)`` of the judge and human distributions."""
-    entries = [
-        F.struct(
-            F.lit(s).alias("score"),
-            F.lit(side).alias("source"),
-            F.element_at(f"{side}_pmf", i).alias("p"),
-        )
-        for i, s in enumerate(SCORES, start=1)
+    entries = ", ".join(
+        f"struct({s} AS score, '{side}' AS source, {side}_pmf[{i}] AS p)"
+        for i, s in enumerate(SCORES)
         for side in ("judge", "human")
-    ]
-    return diagnostics.select(*keys, F.inline(F.array(*entries)))
+    )
+    return diagnostics.selectExpr(*keys, f"inline(array({entries}))")
 
 
 def baseline_snapshot(
@@ -158,9 +131,9 @@ def baseline_snapshot(
 
 def _baseline_arrays(snapshot: DataFrame) -> DataFrame:
     """One row per pillar with the baseline distribution as an array."""
-    bins = [F.coalesce(F.max(F.when(F.col("score") == s, F.col("p"))), F.lit(0.0)) for s in SCORES]
+    bins = ", ".join(f"coalesce(max(CASE WHEN score = {s} THEN p END), 0D)" for s in SCORES)
     return snapshot.groupBy("pillar").agg(
-        F.array(*bins).alias("baseline_pmf"),
+        F.expr(f"array({bins}) AS baseline_pmf"),
         F.max("run_id").alias("baseline_run_id"),
         F.max("dataset_fingerprint").alias("baseline_fingerprint"),
     )
@@ -204,8 +177,8 @@ def run_diagnostics(
     usable = F.col("baseline_compatible") & (F.col("support") > 0) & F.col("baseline_pmf").isNotNull()
     return joined.select(
         *current.columns,
-        F.when(usable, js_divergence(F.col("judge_pmf"), F.col("baseline_pmf"))).alias("js_vs_baseline"),
-        F.when(usable, psi(F.col("baseline_pmf"), F.col("judge_pmf"))).alias("psi_vs_baseline"),
+        F.when(usable, F.expr(js_divergence("judge_pmf", "baseline_pmf"))).alias("js_vs_baseline"),
+        F.when(usable, F.expr(psi("baseline_pmf", "judge_pmf"))).alias("psi_vs_baseline"),
         "baseline_run_id",
         "baseline_fingerprint",
         "baseline_compatible",

@@ -31,7 +31,7 @@ def pillar_values(pillars: Sequence[str] = PILLARS) -> str:
     return "(VALUES " + ", ".join(f"('{p}', {k})" for k, p in enumerate(pillars)) + ") AS p(pillar, k)"
 
 
-def _tag_case() -> str:
+def first_tag() -> str:
     return "CASE pillar " + " ".join(f"WHEN '{p}' THEN '{t[0]}'" for p, t in RUBRIC_TAGS.items()) + " END"
 
 
