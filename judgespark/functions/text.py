@@ -60,11 +60,6 @@ def redact_or_truncate(c: Column, redact: bool, max_length: int = 2048) -> Colum
     return F.when(size <= max_length, c).otherwise(cut)
 
 
-def metric_key(c: Column) -> Column:
-    """Replace characters a metric store rejects in key segments."""
-    return F.regexp_replace(c, r"[^A-Za-z0-9_\-./ ]", "_")
-
-
 def ascii_json(c: Column) -> Column:
     """Escape non-ASCII characters of JSON text as ``\\uXXXX`` (UTF-16 units)."""
 
