@@ -5,8 +5,13 @@ Only the inputs a pillar's rubric requires are shown to the grader.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from judgespark.functions.numeric import fixed
 from judgespark.functions.text import bulleted, indent
@@ -121,16 +126,42 @@ def _hanging(text: Column) -> Column:
     return F.ltrim(indent(text, "      "))
 
 
-def pretty_json(text: Column) -> Column:
-    """JSON text with sorted keys and two blanks per level."""
-    return F.to_json(F.try_parse_json(text), {"pretty": "true"})
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _pretty_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """JSON texts with sorted keys, two blanks per level; NULL entries stay NULL."""
+
+    def pretty(texts):
+        if texts is None:
+            return None
+        return [None if t is None else json.dumps(json.loads(t), indent=2, sort_keys=True) for t in texts]
+
+    for batch in batches:
+        yield batch.map(pretty, na_action="ignore")
 
 
-def context_section(c: Column) -> Column:
+def with_pretty_json(df: DataFrame) -> DataFrame:
+    """Add ``_pretty``: readable JSON of the context's object chunks, then of the metadata.
+
+    No built-in lays out nested arrays this way. Rows without any object skip Python.
+    """
+    none = F.lit(None).cast("string")
+    parts = []
+    if "retrieved_context" in df.columns:
+        chunks = F.transform("retrieved_context", lambda x: F.when(x["kind"] == "json", x["text"]))
+        parts.append(F.coalesce(chunks, F.array().cast("array<string>")))
+    metadata = F.when(F.col("metadata") != "{}", F.col("metadata")) if "metadata" in df.columns else none
+    texts = F.concat(*parts, F.array(metadata))
+    return df.withColumn("_texts", texts).withColumn(
+        "_pretty", _pretty_json(F.when(F.exists("_texts", lambda t: t.isNotNull()), F.col("_texts")))
+    ).drop("_texts")
+
+
+def context_section() -> Column:
+    c = F.col("retrieved_context")
     chunks = F.transform(
         c,
         lambda x, i: _text(
-            "  [", i + 1, "] ", _hanging(F.when(x["kind"] == "json", pretty_json(x["text"])).otherwise(x["text"]))
+            "  [", i + 1, "] ", _hanging(F.coalesce(F.try_element_at(F.col("_pretty"), i + 1), x["text"]))
         ),
     )
     return F.when(
@@ -152,12 +183,12 @@ def _labelled(label: str, name: str, block: bool = False) -> Column:
 
 
 def row_block(columns: list[str]) -> Column:
-    """The row as the grader sees it; needs ``required_inputs`` of the task's rubric."""
+    """The row as the grader sees it; needs ``required_inputs`` and ``_pretty``."""
     sections = {
-        "retrieved_context": lambda: context_section(F.col("retrieved_context")),
+        "retrieved_context": context_section,
         "chat_history": lambda: history_section(F.col("chat_history")),
         "metadata": lambda: F.when(
-            F.col("metadata") != "{}", _text("Row metadata:\n", indent(pretty_json(F.col("metadata"))))
+            F.col("metadata") != "{}", _text("Row metadata:\n", indent(F.element_at("_pretty", -1)))
         ),
         "intent": lambda: _labelled("Intent:", "intent"),
         "topic": lambda: _labelled("Topic:", "topic"),
@@ -216,9 +247,9 @@ def task_prompts(tasks: DataFrame, rubrics: DataFrame, prompt_version: str) -> D
     The rubric table has one row per pillar, so it is broadcast.
     """
     per_pillar = system_prompts(rubrics, prompt_version).join(rubrics.select("pillar", "required_inputs"), "pillar")
-    joined = tasks.join(F.broadcast(per_pillar), "pillar")
+    joined = with_pretty_json(tasks).join(F.broadcast(per_pillar), "pillar")
     user = F.format_string(USER_TEMPLATE, row_block(joined.columns))
-    return joined.withColumn("user_prompt", user).drop("required_inputs")
+    return joined.withColumn("user_prompt", user).drop("required_inputs", "_pretty")
 
 
 def completeness_prompts(prompts: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -98,11 +98,14 @@ def record_ledger(
     pillars: Sequence[str] | None = None,
     attributes: Sequence[str] = (),
     how: str = "inner",
+    unique_rows: bool = False,
 ) -> DataFrame:
     """One row per record: attributes, labels and outcome counts per pillar and score.
 
     Columns ``ok_<k>_<score>`` and ``failed_<k>`` count the outcomes of pillar number ``k``;
-    ``row_copies`` is the number of input rows with the record id (0 for orphans).
+    ``row_copies`` is the number of input rows with the record id (0 for orphans). With
+    ``unique_rows`` the caller vouches that no record id repeats, which saves a shuffle of the rows
+    when the outcomes are few enough to broadcast.
     """
     active = list(pillars or PILLARS)
     labelled = set(_label_pillars(rows))
@@ -121,14 +124,17 @@ def record_ledger(
         f"{f'label_{p}' if p in labelled else 'CAST(NULL AS INT)'} AS label_{k}"
         for k, p in enumerate(active)
     ]
-    last = (
-        rows.groupBy("record_id")
-        .agg(
-            F.expr(f"max_by(struct({', '.join(carried)}), row_index) AS _row"),
-            F.count(F.lit(1)).alias("row_copies"),
+    if unique_rows:
+        last = rows.selectExpr("record_id", "1L AS row_copies", *carried)
+    else:
+        last = (
+            rows.groupBy("record_id")
+            .agg(
+                F.expr(f"max_by(struct({', '.join(carried)}), row_index) AS _row"),
+                F.count(F.lit(1)).alias("row_copies"),
+            )
+            .select("record_id", "row_copies", "_row.*")
         )
-        .select("record_id", "row_copies", "_row.*")
-    )
     joined = last.join(folded, "record_id", how)
     if how == "inner":
         return joined

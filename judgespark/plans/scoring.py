@@ -237,7 +237,7 @@ def prompts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indent_sql(text: str) -> str:
-    return f"'  ' || replace(rtrim({text}, E'\\n'), E'\\n', E'\\n  ')"
+    return f"'  ' || replace(regexp_replace({text}, E'\\n$', ''), E'\\n', E'\\n  ')"
 
 
 _USER_SQL = f"""'Score the following row against the rubric you were given.' || E'\\n\\n' || 'record_id: ' || record_id
@@ -245,12 +245,19 @@ _USER_SQL = f"""'Score the following row against the rubric you were given.' ||
   ELSE {_indent_sql('user_input')} END || E'\\n\\nAgent output (this is what you are scoring):\\n'
   || CASE WHEN agent_output = '' THEN '  (empty)' ELSE {_indent_sql('agent_output')} END
   || CASE WHEN pillar = 'hallucination' AND has_context THEN E'\\n\\nRetrieved context (2 chunks):\\n  [1] passage for '
-  || conv_id || E'\\n  [2] {{\\n        "doc" : ' || turn || E',\\n        "kind" : "faq"\\n      }}' ELSE '' END
+  || conv_id || E'\\n  [2] {{\\n        "doc": ' || turn || E',\\n        "kind": "faq"\\n      }}' ELSE '' END
   || E'\\n\\nReturn ONLY the structured JSON object defined by the output contract. No preamble, no markdown,'
   || ' no trailing commentary.'"""
 
 
-@query("t6_user_prompts")
+@query(
+    "t6_user_prompts",
+    q.with_ctes(
+        f"SELECT row_index, pillar, {_USER_SQL} AS user_prompt FROM chat_rows"
+        " CROSS JOIN (VALUES ('relevance'), ('hallucination')) AS p(pillar)",
+        "chat_rows",
+    ),
+)
 def user_prompts(spark, sf_dir):
     return prompts_of(spark, sf_dir).select("row_index", "pillar", "user_prompt")
 
