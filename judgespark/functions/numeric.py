@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from collections.abc import Mapping
 
-_SPLIT = 134217729.0  # 2**27 + 1, splits a double into two 26-bit halves
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
-def round_half_even(x: Column, digits: int) -> Column:
-    """Round the exact binary value of ``x`` to ``digits`` decimals, ties to even.
+def with_rounded(df: DataFrame, columns: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Add ``name: (source expression, digits)`` columns, the exact binary value rounded half to even.
 
     Built-in rounding works on the shortest decimal text, so 2.675 would go up although the
-    stored double lies below the tie. The product ``x * 10^digits`` is computed with its exact
-    rounding error, which settles every apparent tie. ``x`` is used several times: pass a plain
-    column, not a long expression.
+    stored double lies below the tie. Here the product with ``10^digits`` is computed together
+    with its exact rounding error, which settles every apparent tie. The steps are projections of
+    their own: as one expression the generated code would grow past what the JIT compiles.
     """
-    scale = float(10**digits)
-    a = F.abs(x)
-    product = a * scale
-    high = a * _SPLIT - (a * _SPLIT - a)
-    error = (high * scale - product) + (a - high) * scale
-    whole = F.floor(product).cast("double")
-    part = product - whole
-    odd = F.pmod(whole, F.lit(2.0)) == 1.0
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & odd)))
-    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / scale
-    return F.when(product >= 4503599627370496.0, x).otherwise(
-        F.when(x < 0, -rounded).otherwise(rounded)
+    split = "134217729D"  # 2**27 + 1 splits a double into two 26-bit halves
+    values, products, parts, results = [], [], [], []
+    for name, (source, digits) in columns.items():
+        x, p, h, w, e = (f"_{step}_{name}" for step in "xphwe")
+        scale = f"{10**digits}D"
+        values.append(f"double({source}) AS {x}")
+        products += [
+            f"abs({x}) * {scale} AS {p}",
+            f"abs({x}) * {split} - (abs({x}) * {split} - abs({x})) AS {h}",
+        ]
+        parts += [
+            f"double(floor({p})) AS {w}",
+            f"({h} * {scale} - {p}) + (abs({x}) - {h}) * {scale} AS {e}",
+        ]
+        up = f"{p} - {w} > 0.5D OR ({p} - {w} = 0.5D AND ({e} > 0D OR ({e} = 0D AND {w} % 2D = 1D)))"
+        rounded = f"({w} + IF({up}, 1D, 0D)) / {scale}"
+        results.append(f"IF({p} >= 4503599627370496D, {x}, IF({x} < 0D, -{rounded}, {rounded})) AS {name}")
+    kept = [f"`{c}`" for c in df.columns if c not in columns]
+    return (
+        df.selectExpr("*", *values)
+        .selectExpr("*", *products)
+        .selectExpr("*", *parts)
+        .selectExpr(*kept, *results)
     )
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """``x`` as text with ``digits`` decimals."""
-    return F.format_string(f"%.{digits}f", round_half_even(x, digits))
+def with_fixed(df: DataFrame, columns: Mapping[str, tuple[str, int]]) -> DataFrame:
+    """Add ``name: (source expression, digits)`` columns as text with that many decimals."""
+    rounded = with_rounded(df, columns)
+    return rounded.withColumns({n: F.format_string(f"%.{d}f", F.col(n)) for n, (_, d) in columns.items()})
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +74,29 @@ def ascii_json(c: Column) -> Column:
     ).otherwise(c)
 
 
+# Text that can be JSON at all: a container or string, or nothing but a number or keyword.
+_JSON_START = r"""^\s*(?:[\[{"]|-?[0-9][0-9.eE+-]*\s*$|(?:true|false|null)\s*$)"""
+
+
+def parse_json(c: Column) -> Column:
+    """JSON text as a variant, NULL when it is none.
+
+    Free text is turned away by its first character: a failing parse raises an exception inside,
+    which costs far more than the check.
+    """
+    return F.try_parse_json(F.when(c.rlike(_JSON_START), c))
+
+
+def reasons(checks: Mapping[str, Column]) -> Column:
+    """Names of the conditions that hold, as an array.
+
+    Built from joined text because the array functions that drop NULLs evaluate their whole input
+    without generated code.
+    """
+    found = F.concat_ws("\x01", *[F.when(c, F.lit(name)) for name, c in checks.items()])
+    return F.array_remove(F.split(found, "\x01"), "")
+
+
 def bulleted(items: Column, prefix: str = "  - ") -> Column:
     return F.array_join(F.transform(items, lambda x: F.concat(F.lit(prefix), x)), "\n")
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.functions.numeric import fixed
+from judgespark.functions.numeric import with_fixed
 from judgespark.schema import GATE_DEFAULTS, GATE_OVERRIDES, GATE_VERSION
 
 # Gates in report order, and whether a higher value is better.
@@ -77,7 +77,7 @@ def _status(value: Column, target: Column, warn: Column, higher: Column) -> Colu
 
 
 def _detail() -> Column:
-    value, target, warn = (fixed(F.col(c), 4) for c in ("value", "target", "warn"))
+    value, target, warn = (F.col(f"_{c}") for c in ("value", "target", "warn"))
 
     def text(*parts) -> Column:
         return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -119,7 +119,8 @@ def gate_results(report: DataFrame, bounds: DataFrame) -> DataFrame:
     long = report.select("pillar", F.inline(F.array(*entries)))
     joined = long.join(pillar_bounds(report, bounds), ["pillar", "metric"])
     status = _status(F.col("value"), F.col("target"), F.col("warn"), F.col("higher"))
-    return joined.withColumn("status", status).select(
+    shown = with_fixed(joined.withColumn("status", status), {f"_{c}": (c, 4) for c in ("value", "target", "warn")})
+    return shown.select(
         "pillar", "metric", "status", "value", _detail().alias("detail"), "target", "warn", "gate_order"
     )
 

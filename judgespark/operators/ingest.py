@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgespark.functions.text import is_emptyish, null_if_emptyish, strip
+from judgespark.functions.text import is_emptyish, null_if_emptyish, parse_json, strip
 from judgespark.operators.ordinal import DIGEST_FANOUT, tree_digest
 from judgespark.schema import (
     CHUNK,
@@ -119,35 +119,46 @@ def literal_to_json(c: Column) -> Column:
     return _literal_to_json(F.when(F.ltrim(c).rlike(_LITERAL_START), c))
 
 
-def int_value(c: Column, dtype: T.DataType) -> tuple[Column, Column]:
-    """``(value, error code)`` of an integer cell. Whole floats such as "5.0" are accepted."""
-    null_value, no_error = F.lit(None).cast("bigint"), F.lit(None).cast("string")
-    if isinstance(dtype, T.BooleanType):
-        return null_value, F.when(c.isNotNull(), "boolean")
-    if isinstance(dtype, T.IntegralType):
-        return c.cast("bigint"), no_error
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        number, filled = c.cast("double"), c.isNotNull()
-        if not isinstance(dtype, T.DecimalType):
-            filled = filled & ~F.isnan(c)
-        whole = number == F.floor(number)
-        return F.when(filled & whole, number.try_cast("bigint")), F.when(filled & ~whole, "not_an_integer")
-    text = strip(c)
-    digits = F.regexp_replace(text, "_", "")
-    is_int = text.rlike(r"^[+-]?[0-9]+(_[0-9]+)*$")
-    is_float = text.rlike(
-        r"(?i)^[+-]?(([0-9]+(_[0-9]+)*)(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+)?$"
-    )
-    number = digits.try_cast("double")
-    whole = F.when(is_float, number == F.floor(number)).otherwise(False)
-    filled = ~is_emptyish(c)
-    value = F.when(filled & is_int, digits.try_cast("bigint")).when(filled & whole, number.try_cast("bigint"))
-    infinite = text.rlike(r"(?i)^[+-]?inf(inity)?$")
-    error = F.when(
-        filled & ~is_int & ~whole,
-        F.when(is_float | infinite, "not_an_integer").otherwise("not_a_number"),
-    )
-    return value, error
+# Integers and floats as Python reads them, digit groups included.
+_NUMBER = r"(?i)^[+-]?([0-9]+(_[0-9]+)*(\.([0-9]+(_[0-9]+)*)?)?|\.[0-9]+(_[0-9]+)*)(e[+-]?[0-9]+)?$"
+_INFINITE = r"(?i)^[+-]?inf(inity)?$"
+
+
+def with_int_cells(cells: DataFrame, fields: Mapping[str, T.DataType]) -> DataFrame:
+    """Replace the cell ``_<field>`` of integer fields by ``_value_`` and ``_code_`` columns.
+
+    Whole floats such as "5.0" are accepted. Text is trimmed and matched in steps of their own, so
+    that each pattern runs once per cell.
+    """
+    texts = [f for f, dtype in fields.items() if isinstance(dtype, T.StringType)]
+    cells = cells.withColumns({f"_{f}": strip(F.col(f"_{f}")) for f in texts})
+    numbers = {
+        f"_number_{f}": F.when(
+            F.col(f"_{f}").rlike(_NUMBER), F.regexp_replace(f"_{f}", "_", "").try_cast("double")
+        )
+        for f in texts
+    }
+    cells = cells.withColumns(numbers) if numbers else cells
+    columns: dict[str, Column] = {}
+    for f, dtype in fields.items():
+        c, none = F.col(f"_{f}"), F.lit(None).cast("string")
+        if isinstance(dtype, T.BooleanType):
+            value, code = F.lit(None).cast("bigint"), F.when(c.isNotNull(), "boolean")
+        elif isinstance(dtype, T.IntegralType):
+            value, code = c.cast("bigint"), none
+        elif isinstance(dtype, T.StringType):
+            number = F.col(f"_number_{f}")
+            whole = number == F.floor(number)
+            value = F.when(whole, F.coalesce(c.try_cast("bigint"), number.try_cast("bigint")))
+            code = F.when(is_emptyish(c) | whole, None).otherwise(
+                F.when(number.isNotNull() | c.rlike(_INFINITE), "not_an_integer").otherwise("not_a_number")
+            )
+        else:
+            number = F.when(~F.isnan(c.cast("double")), c.cast("double"))
+            whole = number == F.floor(number)
+            value, code = F.when(whole, number.try_cast("bigint")), F.when(~whole, "not_an_integer")
+        columns[f"_value_{f}"], columns[f"_code_{f}"] = value, code
+    return cells.withColumns(columns) if columns else cells
 
 
 # Text of a JSON scalar or object inside retrieved_context.
@@ -161,6 +172,11 @@ _CHUNK_OF = (
 )
 
 
+def with_kinds(df: DataFrame, parsed: Sequence[str]) -> DataFrame:
+    """Add ``_kind<name>``, the JSON type of each parsed value."""
+    return df.selectExpr("*", *[f"schema_of_variant({name}) AS _kind{name}" for name in parsed])
+
+
 def context_value(raw: str, parsed: str) -> Column:
     """Chunks of a retrieved-context cell; text that is not JSON is one chunk."""
     elements = f"transform(try_variant_get({parsed}, '$', 'array<variant>'), x -> {_CHUNK_OF.format(x='x')})"
@@ -168,7 +184,7 @@ def context_value(raw: str, parsed: str) -> Column:
         F.expr(elements),
         lambda chunk: chunk["text"].isNotNull() & ((chunk["kind"] == "json") | ~is_emptyish(chunk["text"])),
     )
-    kind = F.expr(f"schema_of_variant({parsed})")
+    kind = F.col(f"_kind{parsed}")
     value = (
         F.when(F.col(parsed).isNull(), F.array(F.struct(F.lit("text").alias("kind"), F.col(raw).alias("text"))))
         .when(kind == "VOID", None)
@@ -190,7 +206,7 @@ def history_value(raw: str, parsed: str) -> tuple[Column, Column]:
         f"""transform({elements}, x -> named_struct(
               'role', try_variant_get(x, '$.role', 'string'), 'content', try_variant_get(x, '$.content', 'string')))"""
     )
-    kind = F.expr(f"schema_of_variant({parsed})")
+    kind = F.col(f"_kind{parsed}")
     is_list = kind.startswith("ARRAY")
     error = (
         F.when(is_emptyish(F.col(raw)) | (kind == "VOID"), None)
@@ -203,7 +219,7 @@ def history_value(raw: str, parsed: str) -> tuple[Column, Column]:
 
 def metadata_value(raw: str, parsed: str) -> tuple[Column, Column]:
     """``(JSON text, error code)``: the cell must hold an object."""
-    kind = F.expr(f"schema_of_variant({parsed})")
+    kind = F.col(f"_kind{parsed}")
     error = (
         F.when(is_emptyish(F.col(raw)) | (kind == "VOID"), None)
         .when(F.col(parsed).isNull(), "not_parseable")
@@ -241,7 +257,7 @@ def stage_rows(
             for f, c in mapped.items()
         ],
     )
-    parsed = {f: F.try_parse_json(F.col(f"_{f}")) for f in json_fields}
+    parsed = {f: parse_json(F.col(f"_{f}")) for f in json_fields}
     cells = cells.withColumns({f"_v_{f}": v for f, v in parsed.items()})
     literal_fields = [f for f in json_fields if isinstance(types[mapped[f]], T.StringType)]
     if python_literals and literal_fields:
@@ -253,9 +269,12 @@ def stage_rows(
                 for f in literal_fields
             }
         ).withColumns(
-            {f"_v_{f}": F.coalesce(F.col(f"_v_{f}"), F.try_parse_json(F.col(f"_l_{f}"))) for f in literal_fields}
+            {f"_v_{f}": F.coalesce(F.col(f"_v_{f}"), parse_json(F.col(f"_l_{f}"))) for f in literal_fields}
         )
 
+    cells = with_kinds(cells, [f"_v_{f}" for f in json_fields])
+    cells = with_int_cells(cells, {f: types[mapped[f]] for f in INT_FIELDS if f in mapped})
+
     values: dict[str, Column] = {}
     errors: dict[str, Column] = {}
     for field in TEXT_FIELDS:
@@ -267,7 +286,7 @@ def stage_rows(
         if field not in mapped:
             values[field] = F.lit(None).cast("int" if field in LABEL_FIELDS else "bigint")
             continue
-        value, error = int_value(F.col(f"_{field}"), types[mapped[field]])
+        value, error = F.col(f"_value_{field}"), F.col(f"_code_{field}")
         if field in LABEL_FIELDS:
             inside = value.between(SCORES[0], SCORES[-1])
             errors[field] = F.coalesce(error, F.when(~inside, "out_of_range"))
@@ -287,18 +306,23 @@ def stage_rows(
         else:
             values[field] = F.lit(None).cast(empty)
 
-    found = F.filter(
-        F.array(*[F.struct(F.lit(f).alias("field"), e.cast("string").alias("code")) for f, e in errors.items()]),
-        lambda e: e["code"].isNotNull(),
-    )
+    # Field names and codes contain neither commas nor colons; NULL codes drop out.
+    found = F.concat_ws(",", *[F.concat(F.lit(f"{f}:"), e.cast("string")) for f, e in errors.items()])
     raw_id = F.col("_record_id") if "record_id" in mapped else F.lit(None).cast("string")
     return cells.select(
         "row_index",
         *[values[f].alias(f) for f in NORMALIZED_FIELDS],
         "source_extras",
         null_if_emptyish(raw_id).alias("_raw_record_id"),
-        F.map_from_entries(found).alias("errors"),
-    )
+        # A generator instead of a plain column: filters on the errors would otherwise be pushed
+        # below this projection and evaluate every check a second time.
+        F.explode(F.array(found)).alias("_found"),
+    ).select(
+        "*",
+        F.when(F.col("_found") != "", F.str_to_map("_found", F.lit(","), F.lit(":")))
+        .otherwise(F.create_map().cast("map<string,string>"))
+        .alias("errors"),
+    ).drop("_found")
 
 
 def with_flags(rows: DataFrame) -> DataFrame:

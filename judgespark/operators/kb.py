@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.functions.numeric import fixed, round_half_even
-from judgespark.functions.text import ascii_json, keywords, normal_form
+from judgespark.functions.numeric import with_fixed, with_rounded
+from judgespark.functions.text import ascii_json, keywords, normal_form, reasons
 from judgespark.operators.skew import skew_join
 from judgespark.schema import (
     CATEGORY_WEIGHT,
@@ -58,8 +58,7 @@ def kb_issues(kb: DataFrame) -> DataFrame:
         "required_and_forbidden": F.arrays_overlap(norm("required_elements"), norm("forbidden_elements")),
         "required_and_optional": F.arrays_overlap(norm("required_elements"), norm("optional_elements")),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
-    per_entry = kb.select("kb_id", F.explode(found).alias("issue"))
+    per_entry = kb.select("kb_id", F.explode(reasons(checks)).alias("issue"))
     repeated = kb.groupBy("kb_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return per_entry.unionByName(repeated.select("kb_id", F.lit("duplicate_id").alias("issue")))
 
@@ -166,13 +165,14 @@ def candidate_signals(
     )
     share = F.least(F.col("_keyword_overlap") / F.col("pattern_size"), F.lit(1.0)) * KEYWORD_WEIGHT
     topic = F.col("_row_topic") > 0
-    return grouped.withColumn("_share", share).select(
+    shared = with_rounded(grouped.withColumn("_share", share), {"_overlap": ("_share", 4)})
+    return shared.select(
         row_key,
         "entry_index",
         F.when(F.col("_intent") > 0, INTENT_WEIGHT).alias("intent"),
         F.when(topic, TOPIC_WEIGHT).alias("row_topic"),
         F.when(~topic & (F.col("_row_category") > 0), CATEGORY_WEIGHT).alias("row_category"),
-        F.when(F.col("_keyword_overlap") > 0, round_half_even(F.col("_share"), 4)).alias("keyword_overlap"),
+        F.when(F.col("_keyword_overlap") > 0, F.col("_overlap")).alias("keyword_overlap"),
     )
 
 
@@ -195,7 +195,10 @@ def best_candidates(candidates: DataFrame, row_key: str = "row_index") -> DataFr
 
 
 def match_reason() -> Column:
-    """Signals by descending score, e.g. ``intent=0.70+keyword_overlap=0.10``."""
+    """Signals by descending score, e.g. ``intent=0.70+keyword_overlap=0.10``.
+
+    Needs ``_overlap_text``, the keyword signal with two decimals; the other signals are constants.
+    """
     parts = F.array_sort(
         F.array_compact(
             F.array(
@@ -206,7 +209,11 @@ def match_reason() -> Column:
             )
         )
     )
-    texts = [F.concat(F.lit(f"{s}="), fixed(F.col(s), 2)) for s in SIGNALS]
+    fixed_texts = {"intent": INTENT_WEIGHT, "row_topic": TOPIC_WEIGHT, "row_category": CATEGORY_WEIGHT}
+    texts = [
+        F.lit(f"{s}={fixed_texts[s]:.2f}") if s in fixed_texts else F.concat(F.lit(f"{s}="), F.col("_overlap_text"))
+        for s in SIGNALS
+    ]
     shown = F.map_from_arrays(F.array(*[F.lit(s) for s in SIGNALS]), F.array(*texts))
     return F.array_join(F.transform(parts, lambda p: shown[p["name"]]), "+")
 
@@ -220,7 +227,7 @@ def match_rows(
 ) -> DataFrame:
     """One row per input row: ``kb_id`` (NULL on a miss), confidence, reason and signals.
 
-    A miss keeps the raw best score; a hit has it rounded to four digits.
+    The confidence is the best score, on a miss too.
     """
     if not 0.0 <= threshold <= 1.0:
         raise ValueError(f"threshold must lie in [0, 1], got {threshold}")
@@ -231,11 +238,13 @@ def match_rows(
     # An empty bank is a fact about the bank, not about a row.
     bank_empty = kb.agg((F.count(F.lit(1)) == 0).alias("e")).scalar()
     hit = F.coalesce(F.col("score") >= threshold, F.lit(False))
-    return joined.withColumn("_bank_empty", bank_empty).select(
+    shown = with_fixed(joined.withColumn("_bank_empty", bank_empty), {"_overlap_text": ("keyword_overlap", 2)})
+    # Scores are sums of four-digit decimals, so the rounding of a hit to four digits is done.
+    return shown.select(
         row_key,
         F.when(hit, F.col("entry_index")).alias("entry_index"),
         F.when(hit, F.col("kb_id")).alias("kb_id"),
-        F.when(hit, round_half_even(F.col("score"), 4)).otherwise(F.coalesce("score", F.lit(0.0))).alias("match_confidence"),
+        F.coalesce("score", F.lit(0.0)).alias("match_confidence"),
         F.when(F.col("_bank_empty"), "kb_empty")
         .when(F.col("score").isNull(), "no_candidate_scored")
         .when(~hit, "no_candidate_cleared_threshold")
@@ -271,7 +280,7 @@ def match_extras() -> Column:
         F.lit("kb_match"),
         F.when(hit, "hit").otherwise("none"),
         F.lit("kb_match_confidence"),
-        fixed(F.col("match_confidence"), 4),
+        F.format_string("%.4f", F.col("match_confidence")),
     )
     detail = F.create_map(F.lit("kb_id"), F.col("kb_id"), F.lit("kb_match_reason"), F.col("match_reason"))
     return F.when(hit, F.map_concat(base, detail)).otherwise(base)

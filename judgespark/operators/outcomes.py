@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.functions.text import normal_form
+from judgespark.functions.text import normal_form, parse_json, reasons
 from judgespark.schema import ANCHOR_TOLERANCE, CORE_RESULT, EVIDENCE_STATUSES, SCORES
 
 PARSE_ERROR = "JudgeOutputParseError"
@@ -19,17 +19,20 @@ _FIELDS = tuple(f.name for f in CORE_RESULT.fields)
 _LOW, _HIGH = SCORES[0], SCORES[-1]
 
 
-def _kind(path: str) -> str:
-    return f"schema_of_variant(try_variant_get(_v, '$.{path}', 'variant'))"
+# Every check reads the object once split into its fields: ``_fields`` is a map of JSON values and
+# ``_kind_<field>`` the JSON type of one of them. Extracting by path would walk the value each time.
 
 
-def _string_list(path: str) -> str:
-    items = f"try_variant_get(_v, '$.{path}', 'array<variant>')"
-    return f"({_kind(path)} LIKE 'ARRAY%' AND forall({items}, x -> schema_of_variant(x) = 'STRING'))"
+def _value(field: str, dtype: str) -> str:
+    return f"try_variant_get(_fields['{field}'], '$', '{dtype}')"
+
+
+def _list_of(field: str, condition: str) -> str:
+    items = _value(field, "array<variant>")
+    return f"(_kind_{field} LIKE 'ARRAY%' AND forall({items}, x -> {condition}))"
 
 
 def _evidence_list() -> str:
-    items = "try_variant_get(_v, '$.evidence_for_score', 'array<variant>')"
     statuses = ", ".join(f"'{s}'" for s in EVIDENCE_STATUSES)
     shapes = ", ".join(
         f"'OBJECT<{s}>'"
@@ -39,56 +42,66 @@ def _evidence_list() -> str:
             "claim: STRING, status: STRING, support: VOID",
         )
     )
-    return f"""({_kind('evidence_for_score')} LIKE 'ARRAY%' AND forall({items}, x ->
-      schema_of_variant(x) IN ({shapes}) AND coalesce(try_variant_get(x, '$.status', 'string') IN ({statuses}), false)))"""
+    return _list_of(
+        "evidence_for_score",
+        f"schema_of_variant(x) IN ({shapes})"
+        f" AND coalesce(try_variant_get(x, '$.status', 'string') IN ({statuses}), false)",
+    )
 
 
 def _valid(field: str) -> str:
     """Condition that a field that is present holds an acceptable value."""
-    number = f"try_variant_get(_v, '$.{field}', 'double')"
+    kind = f"_kind_{field}"
+    text = f"{kind} = 'STRING' AND {_value(field, 'string')} <> ''"
+    on_scale = f"{kind} = 'BIGINT' AND {_value(field, 'bigint')} BETWEEN {_LOW} AND {_HIGH}"
     conditions = {
-        "pillar": f"{_kind(field)} = 'STRING' AND try_variant_get(_v, '$.pillar', 'string') <> ''",
-        "decision_summary": f"{_kind(field)} = 'STRING' AND try_variant_get(_v, '$.decision_summary', 'string') <> ''",
-        "score": f"{_kind(field)} = 'BIGINT' AND {number} BETWEEN {_LOW} AND {_HIGH}",
-        "rubric_anchor": f"{_kind(field)} = 'BIGINT' AND {number} BETWEEN {_LOW} AND {_HIGH}",
-        "confidence": f"{number} BETWEEN 0 AND 1",
+        "pillar": text,
+        "decision_summary": text,
+        "score": on_scale,
+        "rubric_anchor": on_scale,
+        "confidence": f"{_value(field, 'double')} BETWEEN 0 AND 1",
         "evidence_for_score": _evidence_list(),
-        "why_not_higher": f"{_kind(field)} IN ('STRING', 'VOID')",
-        "why_not_lower": f"{_kind(field)} IN ('STRING', 'VOID')",
+        "why_not_higher": f"{kind} IN ('STRING', 'VOID')",
+        "why_not_lower": f"{kind} IN ('STRING', 'VOID')",
     }
-    return f"coalesce({conditions.get(field) or _string_list(field)}, false)"
+    return f"coalesce({conditions.get(field) or _list_of(field, "schema_of_variant(x) = 'STRING'")}, false)"
 
 
-def structure_reasons() -> Column:
-    """Reasons why the JSON of ``_v`` / ``raw`` does not have the result's structure."""
-    keys = "json_object_keys(raw)"
+def structure_reasons() -> str:
+    """Reasons why the fields do not have the result's structure."""
+    # Fewer known fields than keys means that some key is unknown.
+    known = " + ".join(f"int(_kind_{f} IS NOT NULL)" for f in _FIELDS)
     allowed = ", ".join(f"'{f}'" for f in _FIELDS)
-    unknown = f"transform(array_sort(array_except({keys}, array({allowed}))), k -> concat('unknown_field:', k))"
+    named = f"transform(array_sort(array_except(map_keys(_fields), array({allowed}))), k -> concat('unknown_field:', k))"
+    unknown = f"IF(size(_fields) > {known}, {named}, CAST(array() AS array<string>))"
     checks = []
     for f in _FIELDS:
-        present = f"array_contains({keys}, '{f}')"
         absent = f"'missing:{f}'" if f in REQUIRED else "NULL"
-        checks.append(f"CASE WHEN NOT {present} THEN {absent} WHEN NOT {_valid(f)} THEN 'invalid:{f}' END")
-    found = f"concat(array_compact(array({', '.join(checks)})), {unknown})"
-    return F.expr(
-        f"CASE WHEN raw IS NULL OR coalesce(schema_of_variant(_v) NOT LIKE 'OBJECT%', true) THEN array('not_an_object')"
-        f" ELSE {found} END"
-    )
+        checks.append(f"CASE WHEN _kind_{f} IS NULL THEN {absent} WHEN NOT {_valid(f)} THEN 'invalid:{f}' END")
+    # Joined text instead of an array without NULLs: the latter would not use generated code.
+    found = f"array_remove(split(concat_ws(',', {', '.join(checks)}), ','), '')"
+    return f"CASE WHEN _fields IS NULL THEN array('not_an_object') ELSE concat({found}, {unknown}) END"
 
 
-def core_result() -> Column:
-    """The typed result; absent lists are empty."""
-    empty = F.array().cast("array<string>")
-    parsed = F.from_json("raw", CORE_RESULT)
-    columns = []
+def with_core(raw: DataFrame) -> DataFrame:
+    """Add ``structure_reasons`` and, when there are none, the typed result ``core``."""
+    split = raw.withColumn("_v", parse_json(F.col("raw"))).withColumn(
+        "_fields", F.expr("try_variant_get(_v, '$', 'map<string,variant>')")
+    )
+    kinds = [f"schema_of_variant(_fields['{f}']) AS _kind_{f}" for f in _FIELDS]
+    checked = split.selectExpr("*", *kinds).withColumn("structure_reasons", F.expr(structure_reasons()))
+    typed = F.expr(f"try_variant_get(_v, '$', '{CORE_RESULT.simpleString()}')")
+    filled = []
     for f in CORE_RESULT.fields:
-        c = parsed[f.name]
-        if f.name == "evidence_for_score":
+        c = F.col(f"_typed.{f.name}")
+        if f.dataType.typeName() == "array":
             c = F.coalesce(c, F.array().cast(f.dataType))
-        elif f.dataType.typeName() == "array":
-            c = F.coalesce(c, empty)
-        columns.append(c.alias(f.name))
-    return F.struct(*columns)
+        filled.append(c.alias(f.name))
+    return (
+        checked.withColumn("_typed", F.when(F.size("structure_reasons") == 0, typed))
+        .withColumn("core", F.when(F.col("_typed").isNotNull(), F.struct(*filled)))
+        .drop("_v", "_fields", "_typed", *[f"_kind_{f}" for f in _FIELDS])
+    )
 
 
 def invariant_reasons() -> Column:
@@ -108,7 +121,7 @@ def invariant_reasons() -> Column:
         "anchor_too_far": F.abs(F.col("core.rubric_anchor") - score) > ANCHOR_TOLERANCE,
         "elements_overlap": F.coalesce(shared, F.lit(False)),
     }
-    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
+    return reasons(checks)
 
 
 def rubric_reasons() -> Column:
@@ -124,7 +137,7 @@ def rubric_reasons() -> Column:
         "failure_tags_without_taxonomy": ~declared & (F.size(tags) > 0),
         "duplicate_failure_tag": F.size(F.array_distinct(tags)) < F.size(tags),
     }
-    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
+    return reasons(checks)
 
 
 def checked_outputs(raw: DataFrame, rubrics: DataFrame) -> DataFrame:
@@ -141,13 +154,7 @@ def checked_outputs(raw: DataFrame, rubrics: DataFrame) -> DataFrame:
         F.col("failure_tags").alias("_tags"),
     )
     none = F.array().cast("array<string>")
-    parsed = (
-        raw.join(F.broadcast(rules), "pillar", "left")
-        .withColumn("_v", F.try_parse_json("raw"))
-        .withColumn("structure_reasons", structure_reasons())
-        .withColumn("core", F.when(F.size("structure_reasons") == 0, core_result()))
-        .drop("_v")
-    )
+    parsed = with_core(raw).join(F.broadcast(rules), "pillar", "left")
     return parsed.withColumn(
         "invariant_reasons", F.when(F.col("core").isNotNull(), invariant_reasons()).otherwise(none)
     ).withColumn(

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgespark.functions.numeric import fixed
+from judgespark.functions.numeric import with_fixed
 from judgespark.functions.text import bulleted, indent
 
 # --- Fixed values: prompt wording. %n$s are the parameters named next to each template. ---
@@ -219,7 +219,10 @@ def row_block(columns: list[str]) -> Column:
 
 
 def profile_block() -> Column:
-    """Task profile of a knowledge-bank hit; empty sections are left out."""
+    """Task profile of a knowledge-bank hit; empty sections are left out.
+
+    Needs ``_confidence_text`` (see ``profile_blocks``).
+    """
 
     def section(heading: str, name: str) -> Column:
         return F.when(F.size(name) > 0, _text("\n", heading, "\n", bulleted(F.col(name))))
@@ -230,7 +233,7 @@ def profile_block() -> Column:
     return _lines(
         F.lit("Task-specific completeness profile (KB-informed):"),
         _text("  Source KB entry: ", F.col("kb_id")),
-        _text("  Match confidence: ", fixed(F.col("match_confidence"), 2), " (", F.col("match_reason"), ")"),
+        _text("  Match confidence: ", F.col("_confidence_text"), " (", F.col("match_reason"), ")"),
         F.when(F.col("priority_level") != "", _text("  Priority level: ", F.col("priority_level"))),
         F.when(F.col("domain") != "", _text("  Domain: ", F.col("domain"))),
         _text("\n", NOTES_HEADING, "\n", indent(F.col("completeness_notes"))),
@@ -241,6 +244,12 @@ def profile_block() -> Column:
     )
 
 
+def profile_blocks(profiles: DataFrame, name: str = "profile_block", row_key: str = "row_index") -> DataFrame:
+    """``(row_key, name)`` with the rendered profile of each matched row."""
+    shown = with_fixed(profiles, {"_confidence_text": ("match_confidence", 2)})
+    return shown.select(row_key, profile_block().alias(name))
+
+
 def task_prompts(tasks: DataFrame, rubrics: DataFrame, prompt_version: str) -> DataFrame:
     """Tasks (with their row columns) plus ``rubric_version``, ``system_prompt``, ``user_prompt``.
 
@@ -257,8 +266,7 @@ def completeness_prompts(prompts: DataFrame, profiles: DataFrame) -> DataFrame:
 
     ``profiles`` has one row per matched ``row_index``; other pillars are passed through.
     """
-    blocks = profiles.select("row_index", profile_block().alias("_profile"))
-    joined = prompts.join(blocks, "row_index", "left")
+    joined = prompts.join(profile_blocks(profiles, "_profile"), "row_index", "left")
     mine, hit = F.col("pillar") == "completeness", F.col("_profile").isNotNull()
     return joined.withColumns(
         {

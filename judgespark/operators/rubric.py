@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from judgespark.functions.text import reasons
 from judgespark.operators.crosstab import quoted
 from judgespark.schema import (
     PILLARS,
@@ -96,5 +97,4 @@ def rubric_issues(rubrics: DataFrame) -> DataFrame:
         "invalid_tag": F.exists(tags, lambda t: (t == "") | (t != F.trim(t))),
         "duplicate_tag": F.size(F.array_distinct(tags)) < F.size(tags),
     }
-    found = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in checks.items()]))
-    return rubrics.select("pillar", F.explode(found).alias("issue"))
+    return rubrics.select("pillar", F.explode(reasons(checks)).alias("issue"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from judgespark.functions.text import reasons
 from judgespark.operators.crosstab import quoted
 from judgespark.operators.ordinal import dense_ordinal, exact_percentiles
 
@@ -135,7 +136,7 @@ def missing_inputs(columns: Sequence[str]) -> Column:
         "ground_truth_answer",
         "policy_reference",
     ]
-    lacking = F.array_compact(F.array(*[F.when(absent(n), F.lit(n)) for n in names]))
+    lacking = reasons({n: absent(n) for n in names})
     # Reported in the order of the rubric.
     return F.filter("required_inputs", lambda n: F.array_contains(lacking, n))
 

@@ -7,7 +7,7 @@ from collections.abc import Collection
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.functions.numeric import round_half_even
+from judgespark.functions.numeric import with_rounded
 from judgespark.operators.scored import label_of, outcomes_with_rows
 from judgespark.operators.skew import HOT_MIN_ROWS
 from judgespark.operators.slices import reviewer
@@ -93,9 +93,13 @@ def distinct_values(items: DataFrame, what: str) -> DataFrame:
 
 def _scaled(df: DataFrame, columns: dict[str, tuple[str, float, int]]) -> DataFrame:
     """Add ``name: (source, factor, digits)`` columns, rounded like a report table."""
-    staged = df.withColumns({f"_{name}": F.col(src) * factor for name, (src, factor, _) in columns.items()})
-    rounded = {name: round_half_even(F.col(f"_{name}"), digits) for name, (_, _, digits) in columns.items()}
-    return staged.withColumns(rounded).drop(*[f"_{name}" for name in columns])
+    return with_rounded(
+        df,
+        {
+            name: (src if factor == 1.0 else f"{src} * {factor}D", digits)
+            for name, (src, factor, digits) in columns.items()
+        },
+    )
 
 
 _SUMMARY = {
@@ -176,19 +180,27 @@ def disagreement_rows(
     ``items`` restricts the result to the (record, pillar) keys present in it.
     """
     known = [c.removeprefix("label_") for c in rows.columns if c.startswith("label_")]
-    ok = outcomes.where(F.col("result").isNotNull()).select(
-        "outcome_index", "record_id", "pillar", "latency_ms", F.col("model_name").alias("model"), "result"
+    ok = outcomes.where("result IS NOT NULL").selectExpr(
+        "outcome_index",
+        "record_id",
+        "pillar",
+        "latency_ms",
+        "coalesce(model_name, '') AS model",
+        "result.score AS judge_score",
+        "result.confidence AS confidence",
+        "result.decision_summary AS decision_summary",
+        "array_join(result.failure_tags, ',') AS failure_tags",
+        "coalesce(result.why_not_higher, '') AS why_not_higher",
+        "coalesce(result.why_not_lower, '') AS why_not_lower",
     )
+    # Rounded on this side of the join, where rows are narrow and generated code stays small.
+    ok = with_rounded(ok, {"confidence": ("confidence", 3), "latency_ms": ("latency_ms", 2)})
     if items is not None:
         keys = items.select("record_id", "pillar").distinct()
         ok = ok.join(keys, ["record_id", "pillar"], "left_semi")
     carried = ["category", "reviewer_name", "reviewer_id", "intent", "topic", "user_input", "agent_output"]
     joined = outcomes_with_rows(rows, ok, [*carried, *[f"label_{p}" for p in known]], hot_min_rows)
-    judge = F.col("result.score")
-    human = F.expr(label_of(known))
-    shown = joined.withColumns(
-        {"_confidence": F.col("result.confidence"), "reviewer": reviewer(), "human_score": human}
-    )
+    shown = joined.withColumns({"reviewer": reviewer(), "human_score": F.expr(label_of(known))})
     return shown.select(
         "record_id",
         "pillar",
@@ -196,18 +208,18 @@ def disagreement_rows(
         "reviewer",
         "intent",
         "topic",
-        judge.alias("judge_score"),
+        "judge_score",
         "human_score",
-        F.abs(judge - F.col("human_score")).alias("distance"),
-        round_half_even(F.col("_confidence"), 3).alias("confidence"),
-        F.col("result.decision_summary").alias("decision_summary"),
-        F.array_join(F.col("result.failure_tags"), ",").alias("failure_tags"),
-        F.coalesce("result.why_not_higher", F.lit("")).alias("why_not_higher"),
-        F.coalesce("result.why_not_lower", F.lit("")).alias("why_not_lower"),
+        distance().alias("distance"),
+        "confidence",
+        "decision_summary",
+        "failure_tags",
+        "why_not_higher",
+        "why_not_lower",
         "user_input",
         "agent_output",
-        round_half_even(F.col("latency_ms"), 2).alias("latency_ms"),
-        F.coalesce("model", F.lit("")).alias("model"),
+        "latency_ms",
+        "model",
     )
 
 

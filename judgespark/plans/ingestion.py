@@ -238,7 +238,8 @@ _staged_query("i7_metadata", ["metadata", "errors['metadata'] AS error"], f"meta
 
 @query("i7_event_metadata", "SELECT event_id, replace(props, ' ', '') AS metadata, CAST(NULL AS VARCHAR) AS error FROM events")
 def event_metadata(spark, sf_dir):
-    parsed = inputs.table(spark, sf_dir, "events").selectExpr("event_id", "props AS _p", "try_parse_json(props) AS _v")
+    events = inputs.table(spark, sf_dir, "events")
+    parsed = ingest.with_kinds(events.selectExpr("event_id", "props AS _p", "try_parse_json(props) AS _v"), ["_v"])
     value, error = ingest.metadata_value("_p", "_v")
     return parsed.select("event_id", value.alias("metadata"), error.alias("error"))
 

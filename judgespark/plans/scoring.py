@@ -802,7 +802,7 @@ FROM (SELECT *, entry_index AS e FROM matches WHERE kb_id IS NOT NULL)""",
 )
 def profile_blocks(spark, sf_dir):
     profiles = kb.task_profiles(matches_of(spark, sf_dir), kb_of(spark, sf_dir))
-    return profiles.select("row_index", prompts.profile_block().alias("block"))
+    return prompts.profile_blocks(profiles, "block")
 
 
 @query(
