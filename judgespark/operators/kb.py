@@ -163,7 +163,8 @@ def candidate_signals(
     grouped = found.groupBy(row_key, "entry_index").agg(
         F.max("pattern_size").alias("pattern_size"), *[hits(k).alias(f"_{k}") for k in SIGNALS]
     )
-    share = F.least(F.col("_keyword_overlap") / F.col("pattern_size"), F.lit(1.0)) * KEYWORD_WEIGHT
+    # A pattern without keywords has size 0 and no overlap.
+    share = F.least(F.try_divide(F.col("_keyword_overlap"), F.col("pattern_size")), F.lit(1.0)) * KEYWORD_WEIGHT
     topic = F.col("_row_topic") > 0
     shared = with_rounded(grouped.withColumn("_share", share), {"_overlap": ("_share", 4)})
     return shared.select(

@@ -249,6 +249,8 @@ def run_scorers(
         for batch in batches:
             results = [score(task) for task in batch.to_dict("records")]
             frame = pd.DataFrame(results, columns=names)
+            for name in ("raw", "model_name", "error", "error_type"):
+                frame[name] = frame[name].astype(object).where(frame[name].notna(), None)
             for name in ("input_tokens", "output_tokens", "row_index"):
                 frame[name] = frame[name].astype("Int64")
             frame["attempts"] = frame["attempts"].astype("Int32")
