@@ -133,9 +133,29 @@ def worst_status(spark, sf_dir):
     return gates.worst_status(gates.pillar_status(*gates_of(spark, sf_dir)))
 
 
-@query("g5_gate_json")
+_GATE_JSON = (
+    "version string, worst_status string,"
+    " pillars map<string, struct<overall: string, gates: array<struct<metric: string, status: string, detail: string>>>>"
+)
+
+
+@query(
+    "g5_gate_json",
+    q.with_ctes(
+        f"SELECT '1' AS version, (SELECT {_LABEL.format(f'max({_RANK})')} FROM gate_status) AS worst_status, pillar,"
+        " overall, metric, status, detail FROM gates JOIN pillar_gate USING (pillar)",
+        "gates",
+        "gate_status",
+        "pillar_gate",
+    ),
+)
 def gate_json(spark, sf_dir):
-    return gates.gate_json(*gates_of(spark, sf_dir))
+    """The JSON report, read back into rows."""
+    report = gates.gate_json(*gates_of(spark, sf_dir))
+    parsed = report.select(F.from_json("gate_report", _GATE_JSON).alias("r"))
+    return parsed.selectExpr(
+        "r.version AS version", "r.worst_status AS worst_status", "explode(r.pillars) AS (pillar, p)"
+    ).selectExpr("version", "worst_status", "pillar", "p.overall AS overall", "inline(p.gates)")
 
 
 _HINT = "CASE metric " + " ".join(f"WHEN '{m}' THEN '{t}'" for m, t in gates.ACTIONS.items()) + " END"
@@ -339,9 +359,45 @@ def partial_baseline(spark, sf_dir):
     )
 
 
-@query("d9_diagnostics_json")
+_DIAGNOSTICS_JSON = (
+    "dataset_fingerprint string, baseline_run_id string, baseline_compatible boolean, pillars map<string, struct<"
+    "support: bigint, judge_pmf: map<string, double>, mean_residual_judge_minus_human: double,"
+    " ols_human_on_judge: struct<slope: double, r_squared: double>, js_vs_baseline: double>>"
+)
+
+
+@query(
+    "d9_diagnostics_json",
+    q.with_ctes(
+        f"SELECT '{FINGERPRINT}' AS dataset_fingerprint, 'run-0' AS baseline_run_id, TRUE AS baseline_compatible, pillar,"
+        f" support, {_pmf('judge', 3)} AS p3, mean_residual, ols_slope, ols_r2, js_vs_baseline"
+        " FROM ols JOIN drift USING (pillar)",
+        "ols",
+        "drift",
+    ),
+)
 def diagnostics_json(spark, sf_dir):
-    return drift.diagnostics_json(diagnostics_of(spark, sf_dir), FINGERPRINT)
+    """The JSON document, read back into rows."""
+    document = drift.diagnostics_json(diagnostics_of(spark, sf_dir), FINGERPRINT)
+    parsed = document.select(F.from_json("diagnostics", _DIAGNOSTICS_JSON).alias("d"))
+    rows = parsed.selectExpr(
+        "d.dataset_fingerprint AS dataset_fingerprint",
+        "d.baseline_run_id AS baseline_run_id",
+        "d.baseline_compatible AS baseline_compatible",
+        "explode(d.pillars) AS (pillar, p)",
+    )
+    return rows.selectExpr(
+        "dataset_fingerprint",
+        "baseline_run_id",
+        "baseline_compatible",
+        "pillar",
+        "p.support AS support",
+        "p.judge_pmf['3'] AS p3",
+        "p.mean_residual_judge_minus_human AS mean_residual",
+        "p.ols_human_on_judge.slope AS ols_slope",
+        "p.ols_human_on_judge.r_squared AS ols_r2",
+        "round(p.js_vs_baseline, 12) AS js_vs_baseline",
+    )
 
 
 @query(

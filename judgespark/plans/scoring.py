@@ -587,6 +587,20 @@ def isolated_failures(spark, sf_dir):
     return failed.select("row_index", "pillar", "error", "error_type", "latency_ms", "attempts")
 
 
+@query(
+    "u4_scorer_cap",
+    q.with_ctes("SELECT count(*) AS scored, TRUE AS within_cap FROM chat_tasks WHERE pillar = 'toxicity'", "chat_tasks"),
+)
+def scorer_cap(spark, sf_dir):
+    """At most three scorer tasks run, whatever the input's partitioning."""
+    registry = tasks.ScorerRegistry()
+    registry.register("toxicity", length_scorer)
+    plan = tasks.plan_tasks(chat_rows(spark, sf_dir), ["toxicity"])
+    raw = tasks.run_scorers(plan, registry, ["toxicity"], ["user_input", "agent_output"], max_parallel=3)
+    used = raw.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    return used.agg(F.sum("n").alias("scored"), (F.count(F.lit(1)) <= 3).alias("within_cap"))
+
+
 # --- knowledge bank: benchmark passages are entries, documents are rows -----------------------
 
 
@@ -821,6 +835,35 @@ def match_extras(spark, sf_dir):
     return extras.select("row_index", *[F.try_element_at("x", F.lit(n)).alias(n) for n in names])
 
 
+@query(
+    "u2_completeness_prompts",
+    q.with_ctes(
+        "SELECT row_index, pillar, pillar = 'completeness' AND kb_id IS NOT NULL AS has_profile,"
+        " CASE WHEN pillar <> 'completeness' THEN 'none' WHEN kb_id IS NULL THEN 'fallback' ELSE 'kb' END AS addendum"
+        " FROM matches CROSS JOIN (VALUES ('completeness'), ('relevance')) AS p(pillar)",
+        "matches",
+    ),
+)
+def completeness_prompts(spark, sf_dir):
+    """The scorer hooks together: match, profile, prompt and addendum per task."""
+    rows = kb_rows(spark, sf_dir).selectExpr(
+        "row_index", "CAST(row_index AS STRING) AS record_id", "user_input", "'ok' AS agent_output", "category"
+    )
+    plan = tasks.plan_tasks(rows, ["completeness", "relevance"])
+    rendered = prompts.task_prompts(plan, rubric.default_rubrics(spark), "v1")
+    profiles = kb.task_profiles(matches_of(spark, sf_dir), kb_of(spark, sf_dir))
+    final = prompts.completeness_prompts(rendered, profiles)
+    return final.select(
+        "row_index",
+        "pillar",
+        F.col("user_prompt").startswith("Task-specific completeness profile").alias("has_profile"),
+        F.when(F.col("system_prompt").endswith(prompts.KB_ADDENDUM), "kb")
+        .when(F.col("system_prompt").endswith(prompts.FALLBACK_ADDENDUM), "fallback")
+        .otherwise("none")
+        .alias("addendum"),
+    )
+
+
 _ENTRY_JSON = (
     "'{\"author\":null,\"completeness_notes\":\"notes for ' || item_id || '\",\"domain\":' ||"
     " CASE WHEN item_id % 3 = 0 THEN '\"banking\"' ELSE 'null' END || ',\"example_agent_response\":\"an example\","
