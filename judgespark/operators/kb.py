@@ -81,7 +81,7 @@ def kb_fingerprint(kb: DataFrame, version: str) -> DataFrame:
     bank = kb.select("kb_id", text.alias("text"))
     entries = F.array_sort(F.collect_list(F.struct("kb_id", "text")))
     # A bank beyond the broadcast limit is not a hand-written table; refuse to gather it.
-    _require_small(bank, MAX_BROADCAST_ENTRIES, "knowledge bank")
+    require_small(bank)
     blob = F.concat(F.lit("["), F.array_join(F.transform(entries, lambda e: e["text"]), ","), F.lit("]"))
     return bank.agg(
         F.concat(F.lit(f"{version}:sha256:"), F.substring(F.sha2(blob, 256), 1, 12)).alias("kb_fingerprint")
@@ -92,9 +92,10 @@ def _fits(df: DataFrame, limit: int) -> bool:
     return df.limit(limit + 1).count() <= limit
 
 
-def _require_small(df: DataFrame, limit: int, what: str) -> None:
-    if not _fits(df, limit):
-        raise ValueError(f"{what} has more than {limit} rows")
+def require_small(kb: DataFrame) -> None:
+    """Raise unless the bank is small enough to gather in one task."""
+    if not _fits(kb, MAX_BROADCAST_ENTRIES):
+        raise ValueError(f"the knowledge bank has more than {MAX_BROADCAST_ENTRIES} entries")
 
 
 # --- matching -----------------------------------------------------------------------

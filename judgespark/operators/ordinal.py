@@ -11,17 +11,26 @@ from pyspark.sql import functions as F
 DIGEST_FANOUT = 1000
 _DIGEST_LEVELS = 5  # fanout ** 5 rows
 _BLOCK_ROWS = 1 << 20
+_MAX_BLOCKS = 1 << 20
 _BUCKETS = 1 << 16
 
 
-def dense_ordinal(df: DataFrame, order: Sequence[str], name: str, block: str | None = None) -> DataFrame:
+def dense_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order``.
 
     ``order[0]`` must be an integer. Rows are ranked inside blocks of its value range; block offsets
-    come from a running sum over block counts, a table with one row per ``2**20`` values.
+    come from a running sum over block counts. A block spans ``2**20`` values, or more where the
+    range would need over ``2**20`` blocks, so the broadcast offsets stay below that many rows.
     """
-    key = block or order[0]
-    blocked = df.withColumn("_block", F.floor(F.col(key) / _BLOCK_ROWS))
+    key = F.col(order[0])
+    low, span = F.min(key), F.max(key) - F.min(key) + 1
+    width = F.greatest(F.lit(_BLOCK_ROWS), F.ceil(span / _MAX_BLOCKS))
+    scale = df.agg(F.struct(low.alias("low"), width.alias("width"))).scalar()
+    blocked = (
+        df.withColumn("_scale", scale)
+        .withColumn("_block", F.floor((key - F.col("_scale.low")) / F.col("_scale.width")))
+        .drop("_scale")
+    )
     counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from judgespark.functions.text import reasons
 from judgespark.operators.crosstab import quoted
 from judgespark.operators.ordinal import dense_ordinal, exact_percentiles
+from judgespark.operators.skew import skew_join
 
 EXECUTION_ERROR = "JudgeExecutionError"
 CONFIG_FIELDS = (
@@ -101,12 +102,17 @@ def storable_outcomes(outcomes: DataFrame) -> DataFrame:
 def cached_outcomes(tasks: DataFrame, store: DataFrame) -> DataFrame:
     """Stored outcomes of the tasks found in ``store``, returned as they were stored."""
     keys = tasks.select("cache_key", "row_index", "pillar_index")
-    return keys.join(store, "cache_key")
+    return skew_join(keys, store, ["cache_key"], F.col("row_index"))
 
 
 def uncached_tasks(tasks: DataFrame, store: DataFrame) -> DataFrame:
-    """Tasks that still need a scorer."""
-    return tasks.join(store.select("cache_key"), "cache_key", "left_anti")
+    """Tasks that still need a scorer.
+
+    Equal rows share a key, so one key may hold many tasks; the store has each key once.
+    """
+    known = store.select("cache_key", F.lit(True).alias("_known"))
+    joined = skew_join(tasks, known, ["cache_key"], F.col("row_index"), how="left")
+    return joined.where(F.col("_known").isNull()).drop("_known")
 
 
 def missing_inputs(columns: Sequence[str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from judgespark.functions.numeric import with_rounded
 from judgespark.operators.scored import label_of, outcomes_with_rows
-from judgespark.operators.skew import HOT_MIN_ROWS
+from judgespark.operators.skew import HOT_MIN_ROWS, skew_join
 from judgespark.operators.slices import reviewer
 from judgespark.schema import OVERALL, PILLARS, SCORES
 
@@ -197,7 +197,8 @@ def disagreement_rows(
     ok = with_rounded(ok, {"confidence": ("confidence", 3), "latency_ms": ("latency_ms", 2)})
     if items is not None:
         keys = items.select("record_id", "pillar").distinct()
-        ok = ok.join(keys, ["record_id", "pillar"], "left_semi")
+        # The keys are distinct, so the join keeps each outcome at most once.
+        ok = skew_join(ok, keys, ["record_id", "pillar"], F.col("outcome_index"), min_rows=hot_min_rows)
     carried = ["category", "reviewer_name", "reviewer_id", "intent", "topic", "user_input", "agent_output"]
     joined = outcomes_with_rows(rows, ok, [*carried, *[f"label_{p}" for p in known]], hot_min_rows)
     shown = joined.withColumns({"reviewer": reviewer(), "human_score": F.expr(label_of(known))})

@@ -425,8 +425,9 @@ DOCUMENT_ROWS = 200
 def _write_documents(df: DataFrame, path: str, opening: str, closing: str) -> str:
     """JSON documents of at most ``DOCUMENT_ROWS`` rows, one per file."""
     body = F.concat(F.lit(opening), F.array_join(F.collect_list("j"), ",\n"), F.lit(closing))
-    conversations = F.floor(F.col("conv_id").cast("long") / (DOCUMENT_ROWS // 10)).alias("part")
-    docs = df.select(conversations, F.to_json(F.struct(*df.columns)).alias("j")).groupBy("part").agg(body.alias("value"))
+    part = F.floor(F.col("_position") / DOCUMENT_ROWS).alias("part")
+    numbered = readers.with_row_index(df, "_position")
+    docs = numbered.select(part, F.to_json(F.struct(*df.columns)).alias("j")).groupBy("part").agg(body.alias("value"))
     docs.write.partitionBy("part").text(path)
     return path
 

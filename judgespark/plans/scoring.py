@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from judgespark.functions.text import keywords, normal_form
 from judgespark.operators import gates, ingest, kb, outcomes, prompts, reviewers, rubric, scored, tasks
+from judgespark.operators.skew import skew_join
 from judgespark.plans import inputs
 from judgespark.plans import sqltext as q
 from judgespark.plans.agreement import base, report_of, reviewer_report_of, reviews_of, sliced_of
@@ -170,7 +171,9 @@ def cache_keys(spark, sf_dir):
 def outcome_store(spark: SparkSession, sf_dir: str, plan: DataFrame) -> DataFrame:
     """Stored outcomes of an earlier run, keyed like the tasks."""
     keys = plan.select("record_id", "pillar", "cache_key")
-    earlier = inputs.outcomes(spark, sf_dir).join(keys, ["record_id", "pillar"])
+    earlier = skew_join(
+        inputs.outcomes(spark, sf_dir), keys, ["record_id", "pillar"], F.col("outcome_index")
+    )
     return tasks.storable_outcomes(earlier)
 
 
@@ -905,6 +908,7 @@ def entry_by_id(spark, sf_dir):
 def kb_file(spark, sf_dir):
     """The bank written as one document and loaded back; a bank is a small hand-written file."""
     path = shared_folder(spark)
+    kb.require_small(kb_of(spark, sf_dir))
     entry = F.struct("entry_index", F.struct(*[f.name for f in KB_ENTRY.fields]).alias("entry"))
     listed = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"])
     document = F.to_json(F.struct(F.lit("seed.v1").alias("version"), listed.alias("entries")))
