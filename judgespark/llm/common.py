@@ -15,7 +15,7 @@ STEP_BYTES = 4 << 20
 # A key is hot above this many rows and above this share of all rows, so at most 1 / HOT_SHARE keys are.
 HOT_ROWS, HOT_SHARE = 1_000, 0.001
 
-ONE = np.uint64(1)
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch(spark: SparkSession) -> str:
@@ -26,9 +26,14 @@ def scratch(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: a lost executor costs no earlier stage again."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")  # what was shuffled for this table is not needed again
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str = "text") -> Column:
@@ -143,3 +148,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, the same at every scan of a stored table."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def record(columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
+def lists(rows: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray]:
+    """The values of a list column (null as empty) and how many each row has."""
+    held = rows.column(rows.schema.get_field_index(column))
+    counts = held.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return held.flatten(), counts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.llm import exact_dedup, packing, secrets
+from judgespark.llm import exact_dedup, near_dedup, packing, secrets, substring_dedup
 from judgespark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,58 @@ def word_bpe() -> str:
 @query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), word_bpe())
+
+
+@query(
+    "op5_minhash_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), sh AS (
+        SELECT DISTINCT doc_id, array_to_string(words[i : i + 4], ' ') AS s
+        FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM w WHERE len(words) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+    ), link AS (
+        SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+        GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(na.n) + any_value(nb.n) - count(*))
+    ), reach(a, b) AS (
+        SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+    ), least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+    SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(least.b, w.doc_id)) AS component_id,
+           w.doc_id = least(w.doc_id, coalesce(least.b, w.doc_id)) AS kept
+    FROM w LEFT JOIN n USING (doc_id) LEFT JOIN least ON least.a = w.doc_id
+    """,
+)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(documents(spark, sf_dir))
+
+
+@query(
+    "op8_substring_dedup",
+    r"""
+    WITH w AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+    ), win AS (
+        SELECT doc_id, i, array_to_string(words[i : i + 19], ' ') AS s
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20)
+    ), again AS (
+        SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1
+    ), gone AS (
+        SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again
+    ), each AS (
+        SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS p FROM w
+    ), kept AS (
+        SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS s
+        FROM each ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+    )
+    SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(kept.s, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
