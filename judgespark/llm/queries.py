@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.llm import exact_dedup, mixing, near_dedup, packing, secrets, substring_dedup
+from judgespark.llm import exact_dedup, mixing, near_dedup, packing, secrets, substring_dedup, suffix_dedup
 from judgespark.llm.common import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixture(documents(spark, sf_dir))
     shards = F.transform("copies", lambda c: c["shard"]).alias("shards")
     return out.select("doc_id", "size", "source_size", "target", "taken", shards)
+
+
+@query("op9_suffix_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

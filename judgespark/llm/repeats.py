@@ -68,9 +68,10 @@ def windows(f, g, doc, row, start):
     return contexts(f, g, doc, row, start, np.ones(len(start), np.int64))
 
 
-def open_and_closed(found: DataFrame, split: bool) -> DataFrame:
+def open_and_closed(found: DataFrame, split: bool, by_range: bool = False) -> DataFrame:
     """``(_row, start, n, closed)`` of contexts that are closed, or, with ``split``, must be compared window
-    by window; the others hold no window that occurs earlier."""
+    by window; the others hold no window that occurs earlier. Equal anchors meet by hash or, with
+    ``by_range``, in sorted ranges: the range of a row is found by binary search among the bounds."""
     live, done = found.where(f"heavy != {CLOSED}"), found.where(f"heavy = {CLOSED}")
     if split:
         total = live.agg(F.count(F.lit(1))).scalar()
@@ -80,7 +81,8 @@ def open_and_closed(found: DataFrame, split: bool) -> DataFrame:
         live = live.withColumn("p", F.when(F.col("hot"), F.xxhash64("k", "kf")).otherwise(F.col("k")))
     else:
         live = live.withColumns({"p": F.col("k"), "hot": F.lit(False)})
-    live = live.drop("heavy").repartition("p")
+    live = live.drop("heavy")
+    live = live.repartitionByRange("p") if by_range else live.repartition("p")
     by_anchor = Window.partitionBy("p", "k")
     by_context = Window.partitionBy("p", "k", "kf").orderBy("doc_id", "_row", "start")
     live = live.withColumn("nth", F.row_number().over(by_context))
