@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.llm import exact_dedup, mixing, near_dedup, packing, secrets, substring_dedup, suffix_dedup
-from judgespark.llm.common import scratch
+from judgespark.llm import ann, exact_dedup, hmm, mixing, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup
+from judgespark.llm.common import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +132,41 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def hash_of_id(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % parts
+
+
+@query("op4_hmm_scores")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hmm.scores(documents(spark, sf_dir), hash_of_id(7) != 2)
+    columns = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return out.select("doc_id", (~F.col("trained")).alias("held_out"), *columns)
+
+
+@query("op1_nearest_neighbours")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stored(ann.usable(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding"))
+    return ann.nearest(ann.build_index(vectors), vectors.where("id % 100 = 0"), k=10)
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_space(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Space:
+    """Learned from the labels whose document is not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(hash_of_id(5) != 0)
+    return quality.learn(docs, labels.withColumnRenamed("quality", "label"))
+
+
+@query("op3_quality_classifier")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    out = quality.scores(docs, quality_space(spark, docs, sf_dir))
+    return out.select(
+        "doc_id",
+        F.coalesce(hash_of_id(5) == 0, F.lit(False)).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
+    )
