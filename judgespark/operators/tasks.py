@@ -156,6 +156,7 @@ def gate_tasks(tasks: DataFrame, rubrics: DataFrame) -> DataFrame:
 def gate_failures(gated: DataFrame) -> DataFrame:
     """Error outcomes of the tasks that lack inputs."""
     names = F.array_join(F.transform("missing_inputs", lambda n: F.concat(F.lit("'"), n, F.lit("'"))), ", ")
+    # Fixed text.
     message = F.concat(
         F.lit("Unhandled judge exception: Row '"),
         F.col("record_id"),
