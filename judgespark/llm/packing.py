@@ -15,6 +15,7 @@ repeated rows too, an empty table gives no rows, and other columns are not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -29,7 +30,7 @@ from judgespark.llm.common import steps, text_of
 TIERS = (256, 512, 1024, 2048)
 BLOCK_TOKENS = 1 << 20
 GROUPS = 8
-_CACHE_WORDS = 200_000
+_KNOWN = 400_000
 
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
@@ -37,38 +38,69 @@ SCHEMA = (
 )
 
 
+# ASCII and the Latin letters beside it need no rule for composing or classes of characters.
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """Byte-level vocabularies write printable bytes as themselves, the others as letters from 256 on."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class Encoder:
-    """Token ids of texts. Words of ASCII white space are encoded one by one and remembered.
+    """Token ids of texts, as the tokenizer in a file gives them, and then ``end``.
 
-    The tokenizer drops white space, so the ids of a text are those of its words; ``end`` follows.
+    The tokenizer lowers case, drops white space and cuts a text into runs of letters, digits and runs of
+    the rest, so a text's ids are those of its words, and a plain word's those of its runs. Words and
+    runs seen before are looked up; a new run goes to the tokenizer's model, any other new word, such as
+    one with an apostrophe or a special token, to the whole tokenizer.
     """
 
+    _open: dict[tuple[str, int], Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str, end: int) -> Encoder:
+        """One for each worker process, so that tasks share what it knows."""
+        if (path, end) not in cls._open:
+            cls._open[path, end] = cls(path, end)
+        return cls._open[path, end]
+
     def __init__(self, path: str, end: int):
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._end = Tokenizer.from_file(path), np.array([end], np.uint32)
-        self._known: dict[bytes, np.ndarray] = {}
-
-    def _learn(self, new: list[bytes]) -> None:
-        if len(self._known) + len(new) > _CACHE_WORDS:
-            self._known.clear()
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, self._tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self._known[word] = np.array(got.ids, np.uint32).tobytes()
+        self._tokenizer = Tokenizer.from_file(path)
+        self._model, self._letters = self._tokenizer.model, _byte_letters()
+        self._end = np.array([end], np.uint32).tobytes()
+        self._words: dict[bytes, bytes] = {}
+        self._pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self._pieces.get(piece)
+        if ids is None:
+            written = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
+            ids = np.array([t.id for t in self._model.tokenize(written)], np.uint32).tobytes()
+            if len(self._pieces) >= _KNOWN:
+                self._pieces.clear()
+            self._pieces[piece] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and "'" not in text and "<|" not in text:
+            ids = b"".join([self._piece(p) for p in _PIECE.findall(text.lower())])
+        else:
+            ids = np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+        if len(self._words) >= _KNOWN:
+            self._words.clear()
+        self._words[word] = ids
+        return ids
 
     def __call__(self, text: bytes) -> np.ndarray:
-        split = text.split()
-        known = self._known
-        new = [w for w in set(split) if w not in known]
-        if new:
-            self._learn(new)
-            known = self._known
-            new = [w for w in set(split) if w not in known]
-            if new:
-                self._learn(new)
-        ids = np.frombuffer(b"".join([known[w] for w in split]), np.uint32)
-        return np.concatenate([ids, self._end])
+        known, learn = self._words.get, self._word
+        return np.frombuffer(b"".join([known(w) or learn(w) for w in text.split()]) + self._end, np.uint32)
 
 
 def pack_block(tails: list[tuple[int, int, int]], tiers: tuple[int, ...], last: bool):
@@ -127,7 +159,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, tiers: tuple[int, ...
     """One row per piece of a document: where it starts there, its ids' checksum, and its place in a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, top = Encoder(tokenizer, end_id), max(tiers)
+        encode, top = Encoder.of(tokenizer, end_id), max(tiers)
         first = TaskContext.get().partitionId() << 40
         ids: dict[int, tuple[int, np.ndarray]] = {}  # open documents by number
         tails, windows, tokens, number, sequence = [], [], 0, 0, 0
