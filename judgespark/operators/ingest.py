@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from judgespark.functions.text import is_emptyish, null_if_emptyish, parse_json, strip
-from judgespark.operators.ordinal import DIGEST_FANOUT, tree_digest
+from judgespark.operators.ordinal import DIGEST_FANOUT, dense_ordinal, tree_digest
 from judgespark.schema import (
     CHUNK,
     CONTEXT_FIELD,
@@ -395,12 +395,13 @@ def preview(rows: DataFrame, n: int = 10) -> DataFrame:
 def dataset_fingerprint(rows: DataFrame, fanout: int = DIGEST_FANOUT) -> DataFrame:
     """Content and order fingerprint over the required columns, one row.
 
-    Up to ``fanout`` row positions the digest is the SHA-256 of the tab-joined rows joined by line
-    breaks; beyond that it is the root of a tree of such digests, so no task sees more than
-    ``fanout`` lines and the work stays distributed.
+    Rows are numbered densely by ``row_index``, so gaps that failed rows leave do not matter, and
+    their tab-joined lines are digested as a tree with ``fanout`` children per node, whatever
+    their number. Rows on one position count in the order of their lines.
     """
     line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in REQUIRED_FIELDS])
-    root = tree_digest(rows.select("row_index", line.alias("line")), "row_index", "line", fanout)
+    numbered = dense_ordinal(rows.select("row_index", line.alias("line")), ["row_index", "line"], "position")
+    root = tree_digest(numbered, "position", "line", fanout)
     return root.select(
         F.concat(F.lit("sha256:"), F.substring("digest", 1, 16)).alias("dataset_fingerprint")
     )

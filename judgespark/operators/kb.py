@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from judgespark.functions.numeric import with_fixed, with_rounded
-from judgespark.functions.text import ascii_json, keywords, normal_form, reasons
+from judgespark.functions.text import ascii_json, keywords, normal_form, reasons, strip
+from judgespark.operators.ordinal import dense_ordinal, tree_digest
 from judgespark.operators.skew import skew_join
 from judgespark.schema import (
     CATEGORY_WEIGHT,
@@ -37,7 +38,7 @@ SIGNALS = ("intent", "row_topic", "row_category", "keyword_overlap")
 
 def kb_issues(kb: DataFrame) -> DataFrame:
     """``(kb_id, issue)`` for every broken entry rule, duplicate ids included."""
-    topics = F.transform("topic_list", lambda t: F.lower(F.trim(t)))
+    topics = F.transform("topic_list", lambda t: F.lower(strip(t)))
 
     def norm(name: str) -> Column:
         return F.transform(F.coalesce(name, F.array().cast("array<string>")), normal_form)
@@ -52,7 +53,7 @@ def kb_issues(kb: DataFrame) -> DataFrame:
         "missing_example": blank("example_agent_response"),
         "missing_notes": blank("completeness_notes"),
         "no_topics": F.coalesce(F.size("topic_list"), F.lit(0)) == 0,
-        "blank_topic": F.exists("topic_list", lambda t: F.trim(t) == ""),
+        "blank_topic": F.exists("topic_list", lambda t: strip(t) == ""),
         "duplicate_topic": F.size(F.array_distinct(topics)) < F.size(topics),
         "invalid_priority": F.col("priority_level").isNotNull() & ~F.col("priority_level").isin(*PRIORITY_LEVELS),
         "required_and_forbidden": F.arrays_overlap(norm("required_elements"), norm("forbidden_elements")),
@@ -67,21 +68,40 @@ def kb_entry(kb: DataFrame, kb_id: str) -> DataFrame:
     return kb.where(F.col("kb_id") == kb_id)
 
 
-def kb_fingerprint(kb: DataFrame, version: str) -> DataFrame:
-    """``<version>:sha256:<12 hex>`` over the entries; independent of their order.
-
-    The hash covers one JSON array of all entries, so the bank's size is checked first.
-    """
+def _entry_texts(kb: DataFrame) -> DataFrame:
+    """``(kb_id, text)``: each entry as one JSON object with sorted keys."""
     fields = sorted(f.name for f in KB_ENTRY.fields)
     lists = {f.name for f in KB_ENTRY.fields if f.dataType.typeName() == "array"}
     columns = [
         F.coalesce(F.col(f), F.array().cast("array<string>")).alias(f) if f in lists else F.col(f) for f in fields
     ]
     text = ascii_json(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
-    bank = kb.select("kb_id", text.alias("text"))
-    entries = F.array_sort(F.collect_list(F.struct("kb_id", "text")))
-    # A bank beyond the broadcast limit is not a hand-written table; refuse to gather it.
+    return kb.select("kb_id", text.alias("text"))
+
+
+def kb_fingerprint(kb: DataFrame, version: str) -> DataFrame:
+    """``<version>:sha256:<12 hex>`` over the entries; independent of their order, for banks of any size.
+
+    The entries' digests, in their own order, are the lines of a digest tree.
+    """
+    digests = _entry_texts(kb).select(F.sha2("text", 256).alias("digest"))
+    place = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
+    numbered = dense_ordinal(digests.withColumn("place", place), ["place", "digest"], "position")
+    root = tree_digest(numbered, "position", "digest")
+    return root.select(
+        F.concat(F.lit(f"{version}:sha256:"), F.substring("digest", 1, 12)).alias("kb_fingerprint")
+    )
+
+
+def small_kb_fingerprint(kb: DataFrame, version: str) -> DataFrame:
+    """``<version>:sha256:<12 hex>`` over one JSON array of all entries by ``kb_id``.
+
+    The array is gathered in one task, so a bank beyond the broadcast limit is refused; see
+    :func:`kb_fingerprint` for those.
+    """
+    bank = _entry_texts(kb)
     require_small(bank)
+    entries = F.array_sort(F.collect_list(F.struct("kb_id", "text")))
     blob = F.concat(F.lit("["), F.array_join(F.transform(entries, lambda e: e["text"]), ","), F.lit("]"))
     return bank.agg(
         F.concat(F.lit(f"{version}:sha256:"), F.substring(F.sha2(blob, 256), 1, 12)).alias("kb_fingerprint")

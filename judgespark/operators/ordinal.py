@@ -9,28 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DIGEST_FANOUT = 1000
-_DIGEST_LEVELS = 5  # fanout ** 5 rows
-_BLOCK_ROWS = 1 << 20
-_MAX_BLOCKS = 1 << 20
-_BUCKETS = 1 << 16
+_DIGEST_LEVELS = 7  # fanout ** 7 exceeds every BIGINT position
+_BLOCKS = 4096
+_MANTISSA, _PARTS = 1 << 15, 1 << 18
+
+
+def _block(bounds: Column, key: Column) -> Column:
+    """How many of the sorted ``bounds`` lie below ``key``, by halving."""
+    halves = F.array(*[F.lit(_BLOCKS >> i) for i in range(1, _BLOCKS.bit_length())])
+    past = lambda at, step: (at + step <= F.size(bounds)) & (F.try_element_at(bounds, at + step) < key)
+    return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(past(at, step), step).otherwise(0))
 
 
 def dense_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Add the 0-based position of each row in the order of ``order``.
 
-    ``order[0]`` must be an integer. Rows are ranked inside blocks of its value range; block offsets
-    come from a running sum over block counts. A block spans ``2**20`` values, or more where the
-    range would need over ``2**20`` blocks, so the broadcast offsets stay below that many rows.
+    ``order[0]`` must be an integer without NULLs. Rows are ranked inside 4,096 blocks between
+    approximate quantiles of it, so blocks hold about equally many rows wherever the values lie, and
+    block offsets come from a running sum over one count per block. Rows with one value of
+    ``order[0]`` share a block.
     """
     key = F.col(order[0])
-    low, span = F.min(key), F.max(key) - F.min(key) + 1
-    width = F.greatest(F.lit(_BLOCK_ROWS), F.ceil(span / _MAX_BLOCKS))
-    scale = df.agg(F.struct(low.alias("low"), width.alias("width"))).scalar()
-    blocked = (
-        df.withColumn("_scale", scale)
-        .withColumn("_block", F.floor((key - F.col("_scale.low")) / F.col("_scale.width")))
-        .drop("_scale")
-    )
+    cuts = [i / _BLOCKS for i in range(1, _BLOCKS)]
+    bounds = df.agg(F.array_distinct(F.percentile_approx(key, cuts, 10 * _BLOCKS)).alias("b")).scalar()
+    blocked = df.withColumn("_bounds", bounds).withColumn("_block", _block(F.col("_bounds"), key)).drop("_bounds")
     counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -46,8 +48,9 @@ def dense_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
 def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOUT) -> DataFrame:
     """SHA-256 over ``text`` in ``index`` order as a tree with ``fanout`` children per node.
 
-    ``index`` holds unique positions. A node hashes its children's lines joined by line breaks; a
-    node above the leaves with one child passes its digest on. Returns one row ``digest``.
+    ``index`` holds dense positions from 0 (see :func:`dense_ordinal`). A node hashes its children's
+    lines joined by line breaks; a node above the leaves with one child passes its digest on. The
+    levels are enough for every BIGINT position. Returns one row ``digest``.
     """
 
     def fold(children: DataFrame, leaf: bool) -> DataFrame:
@@ -71,49 +74,54 @@ def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOU
 def exact_percentiles(df: DataFrame, value: Column, fractions: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated percentiles of all rows as one row; 0.0 for empty input.
 
-    Each wanted order statistic is narrowed down by counting values in 65,536 buckets of its
-    current range, three times, before the few values left are ranked. No task ever holds more
-    than the buckets, however many distinct values there are.
+    Three passes. The first counts values by sign, binary exponent and 15 bits of the mantissa, which
+    separates values of any scale; the second counts 2**18 parts of the buckets that hold a wanted rank;
+    the third counts the values in the wanted parts, of which 2**19 can differ.
     """
     values = df.select(value.cast("double").alias("v")).where(F.col("v").isNotNull())
-    total = values.agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
+    size = F.abs("v")
+    exponent = F.when(F.col("v") != 0, F.floor(F.log2(size))).otherwise(0)
+    scaled = values.select("v", F.signum("v").alias("sign"), exponent.alias("e"))
+    mantissa = F.when(F.col("v") != 0, F.floor(size / F.pow(F.lit(2.0), F.col("e")) * _MANTISSA)).otherwise(0)
+    counted = scaled.groupBy("sign", "e", mantissa.alias("m")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")
     )
+    everything = W.orderBy("low").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    counted = counted.select("c", "low", "high", F.sum("c").over(everything).alias("n"))
     # Both neighbours of every fractional rank; equal when the rank is whole.
     wanted = ", ".join(
         f"struct('{name}' AS name, {side} AS side, {round_}({f}D * (n - 1)) AS rank)"
         for name, f in fractions.items()
         for side, round_ in ((0, "floor"), (1, "ceil"))
     )
-    targets = total.where("n > 0").selectExpr("low", "high", f"inline(array({wanted}))")
-
-    for _ in range(3):
-        bucket = F.when(F.col("high") > F.col("low"), F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * (_BUCKETS - 1)))
-        inside = values.join(F.broadcast(targets), F.col("v").between(F.col("low"), F.col("high")))
-        counted = inside.groupBy("name", "side", "rank", F.coalesce(bucket, F.lit(0)).alias("b")).agg(
+    ranked = counted.withColumn("upto", F.sum("c").over(W.orderBy("low")))
+    targets = ranked.selectExpr("*", f"inline(array({wanted}))")
+    columns = ["name", "side", "rank", "low", "high", "n"]
+
+    def holding(ranked: DataFrame) -> DataFrame:
+        inside = (F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank"))
+        return ranked.where(inside).withColumn("rank", F.col("rank") - (F.col("upto") - F.col("c"))).select(*columns)
+
+    def counted_in(targets: DataFrame, parts: int | None) -> DataFrame:
+        # At most two targets per fraction: an array beside each value instead of a join.
+        held = targets.agg(F.collect_list(F.struct(*columns)).alias("t")).scalar()
+        found = values.withColumn("_t", held).select(
+            "v", F.explode(F.filter("_t", lambda t: (F.col("v") >= t["low"]) & (F.col("v") <= t["high"]))).alias("t")
+        ).select("v", "t.name", "t.side", "t.rank", "t.low", "t.high", "t.n")
+        width = F.col("high") - F.col("low")
+        part = F.when(width > 0, F.floor((F.col("v") - F.col("low")) / width * (parts - 1))) if parts else F.col("v")
+        counted = found.groupBy("name", "side", "rank", "n", F.coalesce(part, F.lit(0)).alias("b")).agg(
             F.count(F.lit(1)).alias("c"), F.min("v").alias("low"), F.max("v").alias("high")
         )
-        upto = F.sum("c").over(W.partitionBy("name", "side").orderBy("b"))
-        targets = (
-            counted.withColumn("upto", upto)
-            .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
-            .select("name", "side", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("rank"), "low", "high")
-        )
-    inside = values.join(F.broadcast(targets), F.col("v").between(F.col("low"), F.col("high")))
-    counted = inside.groupBy("name", "side", "rank", "v").agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(W.partitionBy("name", "side").orderBy("v"))
-    picked = (
-        counted.withColumn("upto", upto)
-        .where((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
-        .select("name", "side", "v")
-    )
-    size = total.select("n").scalar()
+        return counted.withColumn("upto", F.sum("c").over(W.partitionBy("name", "side").orderBy("low")))
+
+    picked = holding(counted_in(holding(counted_in(holding(targets), _PARTS)), None))
 
     def interpolated(name: str, fraction: float) -> Column:
-        position = F.lit(fraction) * (F.max("_n") - 1)
+        position = F.lit(fraction) * (F.max("n") - 1)
         share = position - F.floor(position)
-        low = F.max(F.when((F.col("name") == name) & (F.col("side") == 0), F.col("v")))
-        high = F.max(F.when((F.col("name") == name) & (F.col("side") == 1), F.col("v")))
+        low = F.max(F.when((F.col("name") == name) & (F.col("side") == 0), F.col("low")))
+        high = F.max(F.when((F.col("name") == name) & (F.col("side") == 1), F.col("low")))
         return F.coalesce(low + (high - low) * share, F.lit(0.0)).alias(name)
 
-    return picked.withColumn("_n", size).agg(*[interpolated(n, f) for n, f in fractions.items()])
+    return picked.agg(*[interpolated(n, f) for n, f in fractions.items()])

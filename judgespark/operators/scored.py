@@ -210,7 +210,7 @@ def join_accounting(
         count("missing_labels", lambda k: ok_if(k, f"row_copies > 0 AND label_{k} IS NULL")),
         count("paired", lambda k: ok_if(k, f"row_copies > 0 AND label_{k} IS NOT NULL")),
         count("missing_outcomes", lambda k: f"IF(row_copies > 0 AND {ok(k)} + failed_{k} = 0, 1L, 0L)"),
-        f"array_sort(array_remove(split(concat_ws(',', {seen}), ','), '')) AS pillars_seen",
+        f"array_sort(array_compact(array({seen}))) AS pillars_seen",
     ]
     return ledger.agg(*[F.expr(m) for m in measures])
 
@@ -221,8 +221,8 @@ def missing_outcomes(
     """The distinct (record, pillar) pairs that no outcome covers."""
     active = list(pillars or PILLARS)
     ledger = record_ledger(rows, outcomes, pillars, how="left")
-    absent = ", ".join(  # pillar names hold no commas
+    absent = ", ".join(
         f"IF(failed_{k} + {' + '.join(f'ok_{k}_{s}' for s in SCORES)} = 0, {quoted(p)}, NULL)"
         for k, p in enumerate(active)
     )
-    return ledger.selectExpr("record_id", f"explode(array_remove(split(concat_ws(',', {absent}), ','), '')) AS pillar")
+    return ledger.selectExpr("record_id", f"explode(array_compact(array({absent}))) AS pillar")

@@ -357,24 +357,46 @@ def row_index(spark, sf_dir):
 _LINE = "record_id || chr(9) || user_input || chr(9) || agent_output || chr(9) || category"
 
 
-def _tree_sql(rows: str, fanout: int, levels: int = 5) -> str:
+def tree_sql(lines: str, order: str, levels: int = 7, fanout: int = 1000) -> str:
+    """The root digest, as column ``line``, of the column ``line`` of ``lines`` by ``order``."""
     sql = (
-        f"SELECT row_index // {fanout} AS pos, sha256(string_agg({_LINE}, chr(10) ORDER BY row_index)) AS line"
-        f" FROM {rows} GROUP BY ALL"
+        f"SELECT nth // {fanout} AS pos, sha256(string_agg(line, chr(10) ORDER BY nth)) AS line"
+        f" FROM (SELECT line, row_number() OVER (ORDER BY {order}) - 1 AS nth FROM ({lines})) GROUP BY ALL"
     )
     for _ in range(levels - 1):
         sql = (
             f"SELECT pos // {fanout} AS pos, CASE WHEN count(*) = 1 THEN max(line) ELSE"
             f" sha256(string_agg(line, chr(10) ORDER BY pos)) END AS line FROM ({sql}) GROUP BY pos // {fanout}"
         )
-    return f"SELECT 'sha256:' || substr(line, 1, 16) AS dataset_fingerprint FROM ({sql})"
+    return sql
 
 
-@query("i18_dataset_fingerprint", q.with_ctes(_tree_sql("eval_rows", 1000), "eval_rows"))
+def fingerprint_sql(where: str = "TRUE", rows: str = "eval_rows") -> str:
+    lines = f"SELECT {_LINE} AS line, row_index FROM {rows} WHERE {where}"
+    return f"SELECT 'sha256:' || substr(line, 1, 16) AS dataset_fingerprint FROM ({tree_sql(lines, 'row_index')})"
+
+
+@query("i18_dataset_fingerprint", q.with_ctes(fingerprint_sql(), "eval_rows"))
 def dataset_fingerprint(spark, sf_dir):
     return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir))
 
 
+_GAPS = "row_index % 7 <> 3 AND row_index % 1000 < 900"
+
+
+@query("i18_fingerprint_with_gaps", q.with_ctes(fingerprint_sql(_GAPS), "eval_rows"))
+def fingerprint_with_gaps(spark, sf_dir):
+    """Positions as failed rows leave them."""
+    return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir).where(_GAPS))
+
+
+@query("i18_fingerprint_far_positions", q.with_ctes(fingerprint_sql(), "eval_rows"))
+def fingerprint_far_positions(spark, sf_dir):
+    """Positions as partition-wise numbering gives them; the digest is that of the dense ones."""
+    far = F.col("row_index") * 1_000_003 * 1_000_000 + 5
+    return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir).withColumn("row_index", far))
+
+
 @query(
     "i19_latest_rows",
     q.with_ctes("SELECT record_id, row_index, user_input, category FROM latest", "latest"),

@@ -14,6 +14,7 @@ from judgespark.operators.skew import skew_join
 from judgespark.plans import inputs
 from judgespark.plans import sqltext as q
 from judgespark.plans.agreement import base, report_of, reviewer_report_of, reviews_of, sliced_of
+from judgespark.plans.ingestion import fingerprint_sql, tree_sql
 from judgespark.plans.registry import query
 from judgespark.plans.reports import diagnostics_of, gates_of
 from judgespark.plans.scratch import shared_folder
@@ -881,17 +882,31 @@ _ENTRY_JSON = (
 )
 
 
+_ENTRIES_SQL = (
+    "SELECT kb_id, array_to_string(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) > 127"
+    " THEN printf('\\u%04x', unicode(c)) ELSE c END), '') AS j"
+    f" FROM (SELECT 'kb_' || item_id AS kb_id, {_ENTRY_JSON} AS j FROM benchmark)"
+)
+
+
 @query(
     "k11_kb_fingerprint",
-    f"SELECT 'kb.v1:sha256:' || substr(sha256('[' || string_agg(j, ',' ORDER BY kb_id) || ']'), 1, 12) AS kb_fingerprint"
-    " FROM (SELECT kb_id, array_to_string(list_transform(string_split(j, ''), lambda c: CASE WHEN unicode(c) > 127"
-    " THEN printf('\\u%04x', unicode(c)) ELSE c END), '') AS j"
-    f" FROM (SELECT 'kb_' || item_id AS kb_id, {_ENTRY_JSON} AS j FROM benchmark))",
+    "SELECT 'kb.v1:sha256:' || substr(line, 1, 12) AS kb_fingerprint FROM"
+    f" ({tree_sql(f'SELECT sha256(j) AS line FROM ({_ENTRIES_SQL})', 'line')})",
 )
 def kb_fingerprint(spark, sf_dir):
     return kb.kb_fingerprint(kb_of(spark, sf_dir), "kb.v1")
 
 
+@query(
+    "k11_small_kb_fingerprint",
+    "SELECT 'kb.v1:sha256:' || substr(sha256('[' || string_agg(j, ',' ORDER BY kb_id) || ']'), 1, 12) AS kb_fingerprint"
+    f" FROM ({_ENTRIES_SQL})",
+)
+def small_kb_fingerprint(spark, sf_dir):
+    return kb.small_kb_fingerprint(kb_of(spark, sf_dir), "kb.v1")
+
+
 @query(
     "k12_entry_by_id",
     "SELECT 'kb_' || item_id AS kb_id, text AS question_or_utterance_pattern FROM benchmark WHERE item_id = 7",
@@ -1147,7 +1162,13 @@ _PARAMS = {
 }
 
 
-@query("v21_run_metadata", " UNION ALL ".join(f"SELECT '{k}' AS key, {v} AS value" for k, v in _PARAMS.items()))
+@query(
+    "v21_run_metadata",
+    q.with_ctes(
+        " UNION ALL ".join(f"SELECT '{k}' AS key, {v} AS value" for k, v in _PARAMS.items())
+        + f" UNION ALL SELECT 'dataset_fingerprint', dataset_fingerprint FROM ({fingerprint_sql()})",
+        "eval_rows",
+    ),
+)
 def run_metadata(spark, sf_dir):
-    params = sinks.metadata_params(run_metadata_of(spark, sf_dir))
-    return params.where("key <> 'dataset_fingerprint'")
+    return sinks.metadata_params(run_metadata_of(spark, sf_dir))

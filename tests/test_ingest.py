@@ -228,11 +228,59 @@ def test_percentiles_with_outliers_and_ties(spark):
     assert tuple(row) == tuple(interpolated(f) for f in (0.5, 0.9, 0.999))
 
 
+def test_fingerprint_needs_no_dense_positions(spark):
+    rows = [(i, f"r{i}", "u", "a", "c") for i in range(20)]
+    schema = "row_index long, record_id string, user_input string, agent_output string, category string"
+    df = spark.createDataFrame(rows, schema)
+    prints = {
+        ingest.dataset_fingerprint(df.withColumn("row_index", F.col("row_index") * step + at), fanout=6).first()[0]
+        for step, at in ((1, 0), (200, 3), (1, 10**15), (10**17, 10**15 + 5))
+    }
+    assert len(prints) == 1
+    for i in range(20):
+        far = df.withColumn("row_index", F.when(F.col("row_index") == i, F.lit(10**18 + i)).otherwise(F.col("row_index")))
+        changed = far.withColumn("user_input", F.when(F.col("row_index") == 10**18 + i, "x").otherwise(F.col("user_input")))
+        prints.add(ingest.dataset_fingerprint(changed, fanout=6).first()[0])
+        if i == 3:
+            break
+    assert len(prints) == 5
+
+
+@pytest.mark.parametrize("scales", [(1e300, 1e200, 1e100, 1.0), (1e-300, -5.0, -1e250, 0.0)])
+def test_percentiles_at_several_scales(spark, scales):
+    rng = random.Random(4)
+    values = [s * (1 + rng.random() * 1e-9) for s in scales for _ in range(150)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    row = ordinal.exact_percentiles(df, F.col("v"), {"a": 0.1, "b": 0.4, "c": 0.6, "d": 0.99}).first()
+    ordered = sorted(values)
+
+    def interpolated(f):
+        position = f * (len(ordered) - 1)
+        low, high = ordered[int(position)], ordered[-int(-position // 1)]
+        return low + (high - low) * (position - int(position))
+
+    assert tuple(row) == pytest.approx(tuple(interpolated(f) for f in (0.1, 0.4, 0.6, 0.99)), rel=1e-15)
+
+
+def test_percentiles_read_three_times(spark):
+    df = spark.range(10).selectExpr("CAST(id AS DOUBLE) AS v")
+    df.write.mode("overwrite").parquet(spark.conf.get("spark.checkpoint.dir") + "/percentiles")
+    df = spark.read.parquet(spark.conf.get("spark.checkpoint.dir") + "/percentiles")
+    out = ordinal.exact_percentiles(df, F.col("v"), {"p50": 0.5, "p95": 0.95})
+    assert tuple(out.first()) == pytest.approx((4.5, 8.55))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_dense_ordinal(spark):
     keys = [3_000_000, 5, 1_048_576, 7, 9_999_999_999]
     df = spark.createDataFrame([(k,) for k in keys], "k long")
     found = {r.k: r.o for r in ordinal.dense_ordinal(df, ["k"], "o").collect()}
     assert found == {k: i for i, k in enumerate(sorted(keys))}
+    many = spark.range(9000).selectExpr("id * id AS k", "id AS i").union(spark.sql("SELECT -(1L << 62), -1L"))
+    ranked = ordinal.dense_ordinal(many.repartition(5), ["k"], "o").collect()
+    assert all(r.o == r.i + 1 for r in ranked) and len(ranked) == 9001
+    assert ordinal.dense_ordinal(df.where("false"), ["k"], "o").count() == 0
 
 
 # --- readers ------------------------------------------------------------------

@@ -300,7 +300,7 @@ def test_kb_rules_and_fingerprint(spark):
     lists = [f.name for f in KB_ENTRY.fields if f.dataType.typeName() == "array"]
     payload = {**{f.name: None for f in KB_ENTRY.fields}, **{n: [] for n in lists}, **good, "kb_id": "kb_0", "topic_list": ["t"], "intent": "i0", "version": "1.0"}
     blob = json.dumps([payload], sort_keys=True, separators=(",", ":"))
-    assert kb.kb_fingerprint(one, "v").first()[0] == "v:sha256:" + hashlib.sha256(blob.encode()).hexdigest()[:12]
+    assert kb.small_kb_fingerprint(one, "v").first()[0] == "v:sha256:" + hashlib.sha256(blob.encode()).hexdigest()[:12]
 
 
 # --- sinks ----------------------------------------------------------------------
