@@ -46,7 +46,8 @@ def skew_join(
 ) -> DataFrame:
     """Join ``big`` to ``small`` on ``keys``, spreading hot keys of ``big`` over salted pieces.
 
-    ``small`` rows of a hot key are copied once per salt; rows of other keys are not copied.
+    Rows of hot keys are joined apart: ``small`` rows of a hot key are copied once per salt; rows of
+    other keys are joined plainly.
     ``spread_by`` picks the piece of a ``big`` row and must be a function of the row's own values,
     so that a recomputed task sends the row to the same piece. The hot-key table is broadcast; its
     size is bounded by ``1 / share`` whatever the data.
@@ -54,16 +55,19 @@ def skew_join(
     if how not in ("inner", "left"):
         raise ValueError(f"how must be 'inner' or 'left', got {how!r}")
     hot = hot_keys(big, keys, share, min_rows)
-    salts = F.coalesce(F.col("n_salts"), F.lit(1))
+    # Everything else meets on the keys alone, so a side that is partitioned by them stays where it
+    # is. All three joins read one broadcast table; without hot keys the other branch ends there.
+    cold = big.join(F.broadcast(hot), list(keys), "left").where("n_salts IS NULL").drop("n_salts")
+    cold = cold.join(small, list(keys), how)
     left = (
         big.withColumn("_spread", F.xxhash64(spread_by))
-        .join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.pmod(F.col("_spread"), salts.cast("long")).cast("int"))
+        .join(F.broadcast(hot), list(keys), "inner")
+        .withColumn("_salt", F.pmod(F.col("_spread"), F.col("n_salts").cast("long")).cast("int"))
         .drop("_spread", "n_salts")
     )
     right = (
-        small.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+        small.join(F.broadcast(hot), list(keys), "inner")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("n_salts") - 1)))
         .drop("n_salts")
     )
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+    return cold.unionByName(left.join(right, [*keys, "_salt"], how).drop("_salt"))
