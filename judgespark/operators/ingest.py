@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,27 @@ def mapping_issues(mapping: Mapping[str, str], source_columns: Sequence[str]) ->
     return issues
 
 
+def mapping_report(spark: SparkSession, mapping: Mapping[str, str], source_columns: Sequence[str]) -> DataFrame:
+    """:func:`mapping_issues` as a table ``(column, issue, detail)``."""
+    schema = "column string, issue string, detail string"
+    return spark.createDataFrame(mapping_issues(mapping, source_columns), schema)
+
+
+def mapping_errors(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame:
+    """Rules of the mapping itself that are broken, as a table ``(column, issue)``: unknown targets, blank
+    sources, and sources that a target before already uses."""
+    rows, used = [], set()
+    for target, source in mapping.items():
+        if target not in NORMALIZED_FIELDS:
+            rows.append((target, "unknown_target"))
+        if not str(source).strip():
+            rows.append((target, "blank_source"))
+        elif source in used:
+            rows.append((target, "source_used_twice"))
+        used.add(source)
+    return spark.createDataFrame(rows, "column string, issue string")
+
+
 # --- cells --------------------------------------------------------------------
 
 

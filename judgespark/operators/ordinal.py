@@ -45,6 +45,14 @@ def dense_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     )
 
 
+def global_ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the 0-based position of each row by a text column: ranks by its first characters' codes, then by it."""
+    code = lambda i: F.coalesce(F.ascii(F.substring(column, i, 1)).cast("long"), F.lit(0))
+    # Three characters as one number that grows with the text.
+    place = (F.shiftleft(code(1), 42) + F.shiftleft(code(2), 21) + code(3)).alias("_place")
+    return dense_ordinal(df.select("*", place), ["_place", column], name).drop("_place")
+
+
 def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOUT) -> DataFrame:
     """SHA-256 over ``text`` in ``index`` order as a tree with ``fanout`` children per node.
 

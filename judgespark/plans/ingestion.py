@@ -477,6 +477,64 @@ def json_envelope(spark, sf_dir):
     return readers.load_dataset(spark, rows).select(columns).union(readers.load_dataset(spark, data).select(columns))
 
 
+@query("s1_csv_split", _TURNS_SQL.replace("text FROM", "replace(text, chr(10), ' ') AS text FROM"))
+def csv_split(spark, sf_dir):
+    """Cells on one line, so that a file can be split over tasks."""
+    path = shared_folder(spark) + "/turns.csv"
+    turns = _turns(spark, sf_dir).withColumn("text", F.replace("text", F.lit("\n"), F.lit(" ")))
+    turns.write.csv(path, header=True, quote='"', escape='"')
+    return readers.load_dataset(spark, path, multi_line=False)
+
+
+@query("s5_one_line_envelopes", _TURNS_SQL)
+def one_line_envelopes(spark, sf_dir):
+    """A folder of envelopes on one line each, many files."""
+    path = shared_folder(spark) + "/rows.json"
+    turns = readers.with_row_index(_turns(spark, sf_dir), "_position")
+    part = F.floor(F.col("_position") / DOCUMENT_ROWS).alias("part")
+    row = F.struct("conv_id", "turn", "role", "text")
+    documents = turns.groupBy(part).agg(F.to_json(F.struct(F.collect_list(row).alias("rows"))).alias("value"))
+    documents.write.partitionBy("part").text(path)
+    return readers.load_dataset(spark, path).select("conv_id", "turn", "role", "text")
+
+
+@query("s5_empty_envelope", "SELECT count(*) AS n, 0 AS rows FROM conversations")
+def empty_envelope(spark, sf_dir):
+    """An envelope without rows beside the table's own row count."""
+    path = shared_folder(spark) + "/empty.json"
+    turns = _turns(spark, sf_dir)
+    turns.limit(1).select(F.lit('{"rows": []}').alias("value")).write.text(path)
+    rows = readers.load_dataset(spark, path).count()
+    return turns.agg(F.count(F.lit(1)).alias("n"), F.lit(rows).cast("int").alias("rows"))
+
+
+_BAD_MAPPING = {"record_id": "conv_id", "user_input": "text", "agent_output": "reply", "turn_index": "turn"}
+
+
+@query(
+    "i13_mapping_issues",
+    "SELECT 'category' AS \"column\", 'missing_required_mapping' AS issue WHERE (SELECT count(*) FROM conversations) >= 0"
+    " UNION ALL SELECT 'agent_output', 'unknown_source_column' WHERE NOT EXISTS (SELECT 1 FROM (DESCRIBE conversations)"
+    " WHERE column_name = 'reply')",
+)
+def mapping_issues(spark, sf_dir):
+    columns = inputs.table(spark, sf_dir, "conversations").columns
+    return ingest.mapping_report(spark, _BAD_MAPPING, columns).select("column", "issue")
+
+
+@query(
+    "i14_mapping_rules",
+    "SELECT column_name AS \"column\", 'unknown_target' AS issue FROM (DESCRIBE conversations)"
+    " WHERE column_name IN ('conv_id', 'turn', 'role', 'text')"
+    " UNION ALL VALUES ('intent', 'blank_source'), ('topic', 'source_used_twice')",
+)
+def mapping_rules(spark, sf_dir):
+    """The table's own column names are no targets; a blank source and one used twice are reported too."""
+    columns = inputs.table(spark, sf_dir, "conversations").columns
+    mapping = {**{c: c for c in columns}, "intent": " ", "category": "kind", "topic": "kind"}
+    return ingest.mapping_errors(spark, mapping)
+
+
 @query(
     "s6_ragged_rows",
     "SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN text END AS text,"

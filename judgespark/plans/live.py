@@ -45,3 +45,23 @@ def live_agreement(spark, sf_dir):
         outcome_stream(spark, sf_dir), rows, folder + "/parts", folder + "/checkpoint", available_now=True
     ).awaitTermination()
     return live.live_agreement(spark, folder + "/parts").select(*_COLUMNS)
+
+
+@query("w2_live_agreement_resent", q.with_ctes(f"SELECT {', '.join(_COLUMNS)} FROM report", "report"))
+def live_agreement_resent(spark, sf_dir):
+    """Every outcome is sent twice and counts once, over several micro-batches."""
+    folder = shared_folder(spark)
+    rows = live.prepare_rows(inputs.eval_rows(spark, sf_dir), folder + "/rows")
+    lines = inputs.table(spark, sf_dir, "lineitem")
+    lines.repartition(2).write.parquet(folder + "/sent")
+    lines.repartition(2).write.mode("append").parquet(folder + "/sent")
+    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/sent")
+    live.start_agreement(
+        inputs.outcomes_from(stream),
+        rows,
+        folder + "/parts",
+        folder + "/checkpoint",
+        available_now=True,
+        unique_by=("outcome_index", "record_id", "pillar", "latency_ms"),
+    ).awaitTermination()
+    return live.live_agreement(spark, folder + "/parts").select(*_COLUMNS)

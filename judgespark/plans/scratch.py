@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh subfolder of the checkpoint folder the session names.
+    """A fresh subfolder of the checkpoint folder the session names, or of its warehouse where that is unset.
 
-    Without that setting a temporary folder is used on a local master only: on a cluster the
-    executors would not share it.
+    On a cluster all executors share both; a machine's own temporary folder is never used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="judgespark-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
     return f"{base.rstrip('/')}/judgespark-{uuid.uuid4().hex}"

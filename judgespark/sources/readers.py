@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from judgespark.operators.ordinal import global_ordinal
 from judgespark.schema import KB_ENTRY
 
 # File extension -> reader.
@@ -43,11 +44,15 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool =
     )
 
 
-def read_ndjson(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_ndjson(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None) -> DataFrame:
     """One object per line; columns are the union of all keys."""
     return spark.read.json(path, schema=schema, mode="FAILFAST")
 
 
+def _no_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], T.StructType([]))
+
+
 def _unwrap(df: DataFrame) -> DataFrame:
     """Rows of a ``{"rows": [...]}`` or ``{"data": [...]}`` document; other objects are one row."""
     for name in ("rows", "data"):
@@ -56,31 +61,59 @@ def _unwrap(df: DataFrame) -> DataFrame:
             if isinstance(dtype, T.ArrayType) and isinstance(dtype.elementType, T.StructType):
                 return df.select(F.inline(F.col(name)))
             if isinstance(dtype, T.ArrayType):
+                # Arrays that are all empty are read as arrays of text.
+                if df.where(F.size(name) > 0).isEmpty():
+                    return _no_rows(df.sparkSession)
                 raise ValueError("JSON rows must be objects")
     return df
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A JSON document (array of objects, envelope or single object), else one object per line.
+def _json_files(spark: SparkSession, path: str) -> tuple[list[str], list[str], list[str]]:
+    """Files of one array, of one other document, and of one object per line.
 
-    Only the first lines are looked at to tell the layouts apart.
+    A file's first line tells: several lines that start with a whole object are objects per line.
+    Per file, only its name, one character and two flags reach the driver.
     """
-    head = [r.value.strip() for r in spark.read.text(path).where("trim(value) <> ''").limit(2).collect()]
-    if not head:
-        return spark.createDataFrame([], T.StructType([]))
-    if head[0][0] not in "[{":
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"), F.ltrim("value").alias("value")
+    )
+    first = F.min_by(
+        F.struct(
+            F.substring("value", 1, 1).alias("sign"),
+            (F.substring("value", 1, 1).eqNullSafe("{") & F.get_json_object("value", "$").isNotNull()).alias("whole"),
+        ),
+        "id",
+    )
+    files = lines.where("value <> ''").groupBy("file").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).collect()
+    if any(f["first"]["sign"] not in ("[", "{") for f in files):
         raise ValueError("the top-level JSON value must be an array or object")
-    if head[0][0] == "{" and len(head) == 2 and _is_object(head[0]):
-        return read_ndjson(spark, path, schema)
-    df = spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
-    return df if head[0][0] == "[" else _unwrap(df)
+    arrays = [f["file"] for f in files if f["first"]["sign"] == "["]
+    per_line = [f["file"] for f in files if f["first"]["whole"] and f["n"] > 1]
+    return arrays, [f["file"] for f in files if f["file"] not in {*arrays, *per_line}], per_line
 
 
-def _is_object(line: str) -> bool:
-    try:
-        return isinstance(json.loads(line), dict)
-    except ValueError:
-        return False
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, layout: str | None = None
+) -> DataFrame:
+    """JSON documents (array of objects, envelope or single object), or files with one object per line.
+
+    The layout is told file by file, which reads the text once; ``layout`` ("array", "document" or
+    "lines") states it for all files instead.
+    """
+    if layout not in (None, "array", "document", "lines"):
+        raise ValueError(f"unknown layout {layout!r}")
+    if layout is None:
+        arrays, documents, per_line = _json_files(spark, path)
+    else:
+        arrays, documents, per_line = ([path] if layout == kind else [] for kind in ("array", "document", "lines"))
+    parts = []
+    if arrays:
+        parts.append(spark.read.json(arrays, schema=schema, multiLine=True, mode="FAILFAST"))
+    if documents:
+        parts.append(_unwrap(spark.read.json(documents, schema=schema, multiLine=True, mode="FAILFAST")))
+    if per_line:
+        parts.append(read_ndjson(spark, per_line, schema))
+    return union_ragged(*parts) if parts else _no_rows(spark)
 
 
 def scrub_nans(df: DataFrame) -> DataFrame:
@@ -97,12 +130,19 @@ def scrub_nans(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
-def load_dataset(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Read ``path`` by its extension."""
+def load_dataset(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    multi_line: bool = True,
+    layout: str | None = None,
+) -> DataFrame:
+    """Read ``path`` by its extension. ``multi_line=False`` lets a CSV or TSV file be split over tasks,
+    ``layout`` states how JSON files are laid out."""
     readers = {
-        "csv": lambda: read_csv(spark, path),
-        "tsv": lambda: read_csv(spark, path, sep="\t"),
-        "json": lambda: read_json(spark, path, schema),
+        "csv": lambda: read_csv(spark, path, multi_line=multi_line),
+        "tsv": lambda: read_csv(spark, path, sep="\t", multi_line=multi_line),
+        "json": lambda: read_json(spark, path, schema, layout),
         "ndjson": lambda: read_ndjson(spark, path, schema),
         "parquet": lambda: spark.read.parquet(path),
     }
@@ -173,8 +213,7 @@ def load_kb_dir(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """
     entries = spark.read.schema(KB_ENTRY).json(path, multiLine=True, mode="FAILFAST", pathGlobFilter="*.json")
     named = entries.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"))
-    # One row per file of a hand-written directory.
-    ordered = named.withColumn("entry_index", F.row_number().over(W.orderBy("file_name")).cast("long") - 1)
+    ordered = global_ordinal(named, "file_name", "entry_index")
     return _with_defaults(ordered), _meta_version(spark, path)
 
 

@@ -53,25 +53,40 @@ def start_agreement(
     pillars: Sequence[str] | None = None,
     attributes: Sequence[str] = (),
     available_now: bool = False,
+    unique_by: Sequence[str] = (),
 ) -> StreamingQuery:
-    """Write the crosstab of each micro-batch under ``parts``.
+    """Keep the running crosstab of all micro-batches under ``parts``.
 
     ``rows`` must be unique per record (see ``prepare_rows``). A batch is folded to one row per record before it
-    meets the rows, and a replayed batch overwrites its own part, so no outcome counts twice and
-    the stream keeps no state.
+    meets the rows, and its counts are added to those up to the batch before. Two parts take
+    turns, so a replayed batch starts from the same counts, and there are never more than two parts.
+    With ``unique_by`` an outcome that is sent again, told by those columns, counts once; the
+    stream then keeps their values as state.
     """
+    stream = outcomes.dropDuplicates(list(unique_by)) if unique_by else outcomes
+    keys = [*attributes, "pillar", "judge", "human"]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         ledger = record_ledger(rows, batch, pillars, attributes, unique_rows=True)
         counts = ledger_crosstab(ledger, pillars, attributes)
-        counts.coalesce(1).write.mode("overwrite").parquet(f"{parts}/batch_id={batch_id}")
+        if batch_id:
+            before = batch.sparkSession.read.schema(counts.schema).parquet(_part(parts, batch_id - 1))
+            counts = counts.unionByName(before).groupBy(*keys).agg(F.sum("n").alias("n"))
+        marked = counts.withColumn("batch_id", F.lit(batch_id).cast("long"))
+        marked.coalesce(1).write.mode("overwrite").parquet(_part(parts, batch_id))
 
-    return _write(outcomes, "append", publish, checkpoint, available_now)
+    return _write(stream, "append", publish, checkpoint, available_now)
+
+
+def _part(parts: str, batch_id: int) -> str:
+    return f"{parts}/turn={batch_id % 2}"
 
 
 def live_crosstab(spark: SparkSession, parts: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Running crosstab: the sum of all parts."""
-    counts = spark.read.parquet(parts).groupBy(*keys, "pillar", "judge", "human")
+    """Running crosstab: the part of the last batch."""
+    both = spark.read.parquet(parts)
+    last = both.agg(F.max("batch_id")).scalar()
+    counts = both.where(F.col("batch_id") == last).groupBy(*keys, "pillar", "judge", "human")
     return counts.agg(F.sum("n").alias("n"))
 
 
