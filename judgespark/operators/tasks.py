@@ -14,6 +14,7 @@ from judgespark.functions.text import reasons
 from judgespark.operators.crosstab import quoted
 from judgespark.operators.ordinal import dense_ordinal, exact_percentiles
 from judgespark.operators.skew import skew_join
+from judgespark.schema import NORMALIZED_FIELDS
 
 EXECUTION_ERROR = "JudgeExecutionError"
 CONFIG_FIELDS = (
@@ -71,13 +72,16 @@ def judge_configs(spark: SparkSession, configs: Mapping[str, Mapping[str, object
 def with_cache_keys(
     tasks: DataFrame,
     configs: DataFrame,
-    row_columns: Sequence[str],
+    row_columns: Sequence[str] | None = None,
     kb_fingerprint: str | None = None,
 ) -> DataFrame:
     """Add ``cache_key``: a digest of everything that can change the outcome of a task.
 
-    The run id stays out on purpose. Configurations are one row per pillar and broadcast.
+    All normalized columns of the row count, unless ``row_columns`` names fewer. The run id stays
+    out on purpose. Configurations are one row per pillar and broadcast.
     """
+    if row_columns is None:
+        row_columns = [c for c in NORMALIZED_FIELDS if c in tasks.columns]
     joined = tasks.join(
         F.broadcast(configs.select("pillar", F.struct(*CONFIG_FIELDS).alias("_config"))), "pillar"
     )

@@ -146,14 +146,31 @@ CONFIGS = {
     }
     for p in PILLARS
 }
-_KEY_COLUMNS = ("agent_output", "category", "record_id", "user_input")
+_KEY_COLUMNS = (
+    "agent_output",
+    "category",
+    "conversation_id",
+    "intent",
+    "label_bias_discrimination",
+    "label_completeness",
+    "label_factual_accuracy",
+    "label_hallucination",
+    "label_relevance",
+    "label_toxicity",
+    "model_name",
+    "record_id",
+    "reviewer_id",
+    "reviewer_name",
+    "topic",
+    "user_input",
+)
 q.define(
     "keyed_tasks",
     ["latest"],
     f"""SELECT row_index, record_id, pillar, sha256(CAST(json_object('kb_fingerprint', 'kb.v1', 'max_output_tokens', 1024,
   'model_alias', 'judge-default', 'model_name', 'model-x', 'pillar', pillar, 'prompt_version', pillar || '.v1',
-  'row', json_object('agent_output', agent_output, 'category', category, 'record_id', record_id, 'user_input',
-  user_input), 'rubric_version', 'v1.0', 'temperature', 0::DOUBLE) AS VARCHAR)) AS cache_key
+  'row', json_object({', '.join(f"'{c}', {c}" for c in _KEY_COLUMNS)}), 'rubric_version', 'v1.0',
+  'temperature', 0::DOUBLE) AS VARCHAR)) AS cache_key
   FROM latest CROSS JOIN {q.pillar_values()}""",
 )
 
@@ -161,7 +178,7 @@ q.define(
 def keyed_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored.latest_rows(inputs.eval_rows(spark, sf_dir))
     plan = tasks.plan_tasks(rows, PILLARS)
-    return tasks.with_cache_keys(plan, tasks.judge_configs(spark, CONFIGS), _KEY_COLUMNS, "kb.v1")
+    return tasks.with_cache_keys(plan, tasks.judge_configs(spark, CONFIGS), kb_fingerprint="kb.v1")
 
 
 @query("t3_cache_keys", q.with_ctes("SELECT row_index, pillar, cache_key FROM keyed_tasks", "keyed_tasks"))
