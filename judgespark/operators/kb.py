@@ -158,32 +158,18 @@ def _row_values(rows: DataFrame, row_key: str) -> DataFrame:
     )
 
 
-def candidate_signals(
-    rows: DataFrame,
-    kb: DataFrame,
-    row_key: str = "row_index",
-    max_broadcast: int = MAX_BROADCAST_POSTINGS,
-) -> DataFrame:
-    """``(row_key, entry_index, intent, row_topic, row_category, keyword_overlap)`` per candidate.
-
-    Against a broadcast bank a row's values stay in one task, so the counts per (row, entry) are
-    combined before the shuffle. A larger bank is joined by value, with values that are frequent
-    among the rows spread over several tasks.
-    """
-    postings = _postings(kb)
+def _meet(values: DataFrame, postings: DataFrame, row_key: str, small: bool) -> DataFrame:
+    """Rows and entries that share a value; frequent values of a large bank are spread over tasks."""
     keys = ["signal", "value"]
-    values = _row_values(rows, row_key)
-    if _fits(postings, max_broadcast):
-        found = values.join(F.broadcast(postings), keys)
-    else:
-        found = skew_join(values, postings, keys, F.col(row_key))
+    return values.join(F.broadcast(postings), keys) if small else skew_join(values, postings, keys, F.col(row_key))
 
-    def hits(kind: str) -> Column:
-        return F.count_if(F.col("kind") == kind)
 
-    grouped = found.groupBy(row_key, "entry_index").agg(
-        F.max("pattern_size").alias("pattern_size"), *[hits(k).alias(f"_{k}") for k in SIGNALS]
-    )
+def _hits(kind: str) -> Column:
+    return F.count_if(F.col("kind") == kind).alias(f"_{kind}")
+
+
+def _signals(grouped: DataFrame, row_key: str) -> DataFrame:
+    """Signal scores from the hits per (row, entry) and the size of the entry's pattern."""
     # A pattern without keywords has size 0 and no overlap.
     share = F.least(F.try_divide(F.col("_keyword_overlap"), F.col("pattern_size")), F.lit(1.0)) * KEYWORD_WEIGHT
     topic = F.col("_row_topic") > 0
@@ -198,6 +184,59 @@ def candidate_signals(
     )
 
 
+def candidate_signals(
+    rows: DataFrame,
+    kb: DataFrame,
+    row_key: str = "row_index",
+    max_broadcast: int = MAX_BROADCAST_POSTINGS,
+) -> DataFrame:
+    """``(row_key, entry_index, intent, row_topic, row_category, keyword_overlap)`` per candidate.
+
+    These are all pairs of a row and an entry that share anything, as many as frequent words make;
+    matching needs only :func:`leading_signals`. Against a broadcast bank a row's values stay in one
+    task, so the counts per (row, entry) are combined before the shuffle.
+    """
+    postings = _postings(kb)
+    found = _meet(_row_values(rows, row_key), postings, row_key, _fits(postings, max_broadcast))
+    grouped = found.groupBy(row_key, "entry_index").agg(
+        F.max("pattern_size").alias("pattern_size"), *[_hits(k) for k in SIGNALS]
+    )
+    return _signals(grouped, row_key)
+
+
+def leading_signals(
+    rows: DataFrame,
+    kb: DataFrame,
+    row_key: str = "row_index",
+    max_broadcast: int = MAX_BROADCAST_POSTINGS,
+) -> DataFrame:
+    """The candidates of :func:`candidate_signals` among which each row's best entry is.
+
+    Keywords alone score less than any other signal. So rows meet entries by intent, topic and
+    category first, keywords are counted only for those pairs, and only rows without such a pair
+    look for entries by keyword, with the words that some entry has.
+    """
+    postings, values = _postings(kb), _row_values(rows, row_key)
+    small = _fits(postings, max_broadcast)
+    words = F.col("signal") == "keyword"
+    strong = _meet(values.where(~words), postings.where(~words), row_key, small).groupBy(row_key, "entry_index").agg(
+        F.max("pattern_size").alias("pattern_size"), *[_hits(k) for k in SIGNALS if k != "keyword_overlap"]
+    )
+    row_words = rows.select(row_key, keywords(F.col("user_input")).alias("_words"))
+    patterns = kb.select("entry_index", keywords(F.col("question_or_utterance_pattern")).alias("_pattern"))
+    with_words = strong.join(F.broadcast(patterns) if small else patterns, "entry_index").join(row_words, row_key)
+    overlap = F.size(F.array_intersect("_words", "_pattern")).cast("long").alias("_keyword_overlap")
+    with_words = with_words.select(*strong.columns, overlap)
+
+    known = postings.where(words).select("value").distinct()
+    weak = values.where(words).join(F.broadcast(known) if small else known, "value", "left_semi")
+    weak = weak.join(strong.select(row_key).distinct(), row_key, "left_anti")
+    by_word = _meet(weak, postings.where(words), row_key, small).groupBy(row_key, "entry_index").agg(
+        F.max("pattern_size").alias("pattern_size"), *[_hits(k) for k in SIGNALS]
+    )
+    return _signals(with_words.unionByName(by_word), row_key)
+
+
 def _score() -> Column:
     """Sum of the signals, added as decimals so that a sum on the threshold is exact."""
     parts = [F.coalesce(F.col(s).cast("decimal(6,4)"), F.lit(0).cast("decimal(6,4)")) for s in SIGNALS]
@@ -255,7 +294,7 @@ def match_rows(
         raise ValueError(f"threshold must lie in [0, 1], got {threshold}")
     names = kb.select("entry_index", "kb_id")
     lookup = F.broadcast(names) if _fits(names, MAX_BROADCAST_ENTRIES) else names
-    best = best_candidates(candidate_signals(rows, kb, row_key, max_broadcast), row_key).join(lookup, "entry_index", "left")
+    best = best_candidates(leading_signals(rows, kb, row_key, max_broadcast), row_key).join(lookup, "entry_index", "left")
     joined = rows.select(row_key).join(best, row_key, "left")
     # An empty bank is a fact about the bank, not about a row.
     bank_empty = kb.agg((F.count(F.lit(1)) == 0).alias("e")).scalar()

@@ -772,7 +772,7 @@ def candidate_signals_large(spark, sf_dir):
 
 @query("k5_best_entry", q.with_ctes("SELECT row_index, entry_index, score FROM best", "best"))
 def best_entry(spark, sf_dir):
-    candidates = kb.candidate_signals(kb_rows(spark, sf_dir), kb_of(spark, sf_dir))
+    candidates = kb.leading_signals(kb_rows(spark, sf_dir), kb_of(spark, sf_dir))
     return kb.best_candidates(candidates).select("row_index", "entry_index", "score")
 
 
