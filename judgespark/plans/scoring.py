@@ -310,8 +310,7 @@ def rubric_blocks(spark, sf_dir):
 @query(
     "t6_system_prompts",
     q.with_ctes(
-        "SELECT row_index, pillar, strpos(system, 'one rubric pillar: ' || pillar || '.') > 0 AS names_pillar,"
-        " length(system) AS size FROM (SELECT row_index, pillar, replace(replace('"
+        "SELECT row_index, pillar, system AS system_prompt FROM (SELECT row_index, pillar, replace(replace('"
         + prompts.SYSTEM_TEMPLATE.replace("'", "''")
         .replace("%3$s", "1")
         .replace("%4$s", "5")
@@ -323,10 +322,7 @@ def rubric_blocks(spark, sf_dir):
     ),
 )
 def system_prompts(spark, sf_dir):
-    names = F.col("system_prompt").contains(F.concat(F.lit("one rubric pillar: "), F.col("pillar"), F.lit(".")))
-    return prompts_of(spark, sf_dir).select(
-        "row_index", "pillar", names.alias("names_pillar"), F.length("system_prompt").cast("long").alias("size")
-    )
+    return prompts_of(spark, sf_dir).select("row_index", "pillar", "system_prompt")
 
 
 # --- raw outputs: one JSON cell per line item, covering every check -----------------------------------
@@ -1082,40 +1078,63 @@ def diagnostics_metrics(spark, sf_dir):
     "s16_outcome_snapshot",
     q.with_ctes(
         "SELECT outcome_index, record_id, pillar, latency_ms, CASE WHEN failed THEN 'ProviderTimeoutError' END AS error_type,"
-        " judge_score AS score, (SELECT count(*) > 500 FROM outcomes) AS outcomes_truncated FROM (SELECT *,"
-        " row_number() OVER (PARTITION BY outcome_index ORDER BY latency_ms) AS copy FROM outcomes) WHERE copy = 1"
-        " ORDER BY outcome_index LIMIT 500",
+        " judge_score AS score, (SELECT count(*) > 500 FROM outcomes) AS outcomes_truncated FROM outcomes"
+        " ORDER BY CAST(regexp_replace(record_id, '\\D', '', 'g') AS BIGINT), pillar, latency_ms, outcome_index LIMIT 500",
         "outcomes",
     ),
 )
 def outcome_snapshot(spark, sf_dir):
-    """The first 500 outcomes; line items that share an index are reduced to one first."""
-    one = F.row_number().over(W.partitionBy("outcome_index").orderBy("latency_ms"))
-    unique = inputs.outcomes(spark, sf_dir).withColumn("_copy", one).where("_copy = 1").drop("_copy")
-    return sinks.outcome_snapshot(unique)
+    """The first 500 outcomes by row and pillar; the row's number is in its record id."""
+    numbered = inputs.outcomes(spark, sf_dir).withColumn(
+        "row_index", F.regexp_replace("record_id", "\\D", "").cast("long")
+    )
+    return sinks.outcome_snapshot(numbered, order=("row_index", "pillar", "latency_ms", "outcome_index"))
+
+
+_TAGS_SQL = (
+    f"CASE WHEN {q.first_tag()} IS NULL OR judge_score = 5 THEN CAST([] AS VARCHAR[])"
+    f" WHEN judge_score < 3 THEN [{q.first_tag()}, 'second'] ELSE [{q.first_tag()}] END"
+)
 
 
 @query(
     "s17_trace_rows",
     q.with_ctes(
-        """SELECT o.pillar || '@' || o.record_id AS name, r.category, o.latency_ms, r.user_input,
-  CASE WHEN NOT o.failed THEN o.judge_score END AS score, coalesce(o.input_tokens, 0) AS input_tokens,
+        f"""SELECT o.pillar || '@' || o.record_id AS name, o.record_id, o.pillar, r.category, o.latency_ms, o.attempts,
+  CASE WHEN NOT o.failed THEN 'v1' END AS prompt_version, CASE WHEN NOT o.failed THEN 'v1.0' END AS rubric_version,
+  r.user_input, r.agent_output, CASE WHEN NOT o.failed THEN o.judge_score END AS score,
+  CASE WHEN NOT o.failed THEN o.confidence END AS confidence,
+  CASE WHEN NOT o.failed THEN 'score ' || o.judge_score || ' on ' || o.pillar END AS decision_summary,
+  CASE WHEN NOT o.failed THEN array_to_string({_TAGS_SQL}, ',') END AS failure_tags, o.model_name AS model,
+  coalesce(o.input_tokens, 0) AS input_tokens, o.output_tokens,
   coalesce(o.input_tokens, 0) + o.output_tokens AS total_tokens, CASE WHEN o.failed THEN 'ERROR' ELSE 'DEFAULT' END AS level,
   CASE WHEN o.failed THEN 'provider timed out' END AS status_message
-FROM outcomes o JOIN latest r USING (record_id)""",
+FROM (SELECT * FROM outcomes) o JOIN (SELECT record_id, category, user_input, agent_output FROM latest) r
+  ON r.record_id = o.record_id""",
         "outcomes",
         "latest",
     ),
 )
 def trace_rows(spark, sf_dir):
-    return sinks.trace_rows(*base(spark, sf_dir)).select(
+    return sinks.trace_rows(*base(spark, sf_dir)).selectExpr(
         "name",
+        "metadata.record_id",
+        "metadata.pillar",
         "metadata.category",
         "metadata.latency_ms",
+        "metadata.attempts",
+        "metadata.prompt_version",
+        "metadata.rubric_version",
         "input.user_input",
-        F.col("output.score").alias("score"),
-        F.col("usage.input").alias("input_tokens"),
-        F.col("usage.total").alias("total_tokens"),
+        "input.agent_output",
+        "output.score AS score",
+        "output.confidence AS confidence",
+        "output.decision_summary AS decision_summary",
+        "array_join(output.failure_tags, ',') AS failure_tags",
+        "model",
+        "usage.input AS input_tokens",
+        "usage.output AS output_tokens",
+        "usage.total AS total_tokens",
         "level",
         "status_message",
     )
@@ -1143,14 +1162,19 @@ def redaction(spark, sf_dir):
         "SELECT pillar, record_id, NOT failed AS ok, latency_ms, attempts, model_name, 'run-1' AS run_id,"
         " CASE WHEN failed THEN 'provider timed out' END AS error,"
         " CASE WHEN failed THEN 'ProviderTimeoutError' END AS error_type, '{}' AS extras,"
-        " CASE WHEN NOT failed THEN CAST(judge_score AS VARCHAR) END AS score, input_tokens, output_tokens,"
-        " input_tokens + output_tokens AS total_tokens FROM outcomes",
+        " CASE WHEN NOT failed THEN CAST(json_object('pillar', pillar, 'score', judge_score, 'confidence', confidence,"
+        " 'decision_summary', 'score ' || judge_score || ' on ' || pillar, 'evidence_for_score', NULL,"
+        f" 'failure_tags', {_TAGS_SQL},"
+        " 'why_not_higher', CASE WHEN judge_score < 5 THEN 'some claims lack support' END,"
+        " 'why_not_lower', CASE WHEN judge_score > 1 THEN 'the core answer is usable' END, 'rubric_anchor', judge_score,"
+        " 'elements_present', CAST([] AS VARCHAR[]), 'elements_missing', CAST([] AS VARCHAR[]),"
+        " 'raw_model_name', model_name, 'prompt_version', 'v1', 'rubric_version', 'v1.0') AS VARCHAR) END AS result,"
+        " input_tokens, output_tokens, input_tokens + output_tokens AS total_tokens FROM outcomes",
         "outcomes",
     ),
 )
 def export_rows(spark, sf_dir):
-    exported = sinks.export_rows(inputs.outcomes(spark, sf_dir))
-    return exported.withColumn("score", F.get_json_object("result", "$.score")).drop("result")
+    return sinks.export_rows(inputs.outcomes(spark, sf_dir))
 
 
 def run_metadata_of(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,10 +153,12 @@ def metadata_params(metadata: DataFrame, pillars: Sequence[str] = PILLARS) -> Da
 # --- outcomes -----------------------------------------------------------------
 
 
-def outcome_snapshot(outcomes: DataFrame, max_outcomes: int = 500) -> DataFrame:
-    """The first outcomes in order, each with a flag whether the run has more."""
+def outcome_snapshot(
+    outcomes: DataFrame, max_outcomes: int = 500, order: Sequence[str] = ("outcome_index",)
+) -> DataFrame:
+    """The first outcomes in ``order``, each with a flag whether the run has more."""
     first = (
-        outcomes.orderBy("outcome_index")
+        outcomes.orderBy(*order)
         .limit(max_outcomes)
         .select("outcome_index", "record_id", "pillar", "latency_ms", "error_type", F.col("result.score").alias("score"))
     )
