@@ -135,7 +135,8 @@ def worst_status(spark, sf_dir):
 
 _GATE_JSON = (
     "version string, worst_status string,"
-    " pillars map<string, struct<overall: string, gates: array<struct<metric: string, status: string, detail: string>>>>"
+    " pillars map<string, struct<overall: string, gates: array<struct<metric: string, status: string,"
+    " value: double, detail: string>>>>"
 )
 
 
@@ -143,7 +144,7 @@ _GATE_JSON = (
     "g5_gate_json",
     q.with_ctes(
         f"SELECT '1' AS version, (SELECT {_LABEL.format(f'max({_RANK})')} FROM gate_status) AS worst_status, pillar,"
-        " overall, metric, status, detail FROM gates JOIN pillar_gate USING (pillar)",
+        " overall, metric, status, value, detail FROM gates JOIN pillar_gate USING (pillar)",
         "gates",
         "gate_status",
         "pillar_gate",
@@ -361,8 +362,10 @@ def partial_baseline(spark, sf_dir):
 
 _DIAGNOSTICS_JSON = (
     "dataset_fingerprint string, baseline_run_id string, baseline_compatible boolean, pillars map<string, struct<"
-    "support: bigint, judge_pmf: map<string, double>, mean_residual_judge_minus_human: double,"
-    " ols_human_on_judge: struct<slope: double, r_squared: double>, js_vs_baseline: double>>"
+    "support: bigint, judge_pmf: map<string, double>, human_pmf: map<string, double>,"
+    " mean_residual_judge_minus_human: double, pct_positive_residual: double,"
+    " ols_human_on_judge: struct<slope: double, intercept: double, r_squared: double>,"
+    " js_vs_baseline: double, psi_vs_baseline: double>>"
 )
 
 
@@ -370,7 +373,8 @@ _DIAGNOSTICS_JSON = (
     "d9_diagnostics_json",
     q.with_ctes(
         f"SELECT '{FINGERPRINT}' AS dataset_fingerprint, 'run-0' AS baseline_run_id, TRUE AS baseline_compatible, pillar,"
-        f" support, {_pmf('judge', 3)} AS p3, mean_residual, ols_slope, ols_r2, js_vs_baseline"
+        f" support, {', '.join(f'{_pmf(side, s)} AS {side}_p{s}' for side in ('judge', 'human') for s in SCORES)},"
+        " mean_residual, pct_positive_residual, ols_slope, ols_intercept, ols_r2, js_vs_baseline, psi_vs_baseline"
         " FROM ols JOIN drift USING (pillar)",
         "ols",
         "drift",
@@ -392,11 +396,14 @@ def diagnostics_json(spark, sf_dir):
         "baseline_compatible",
         "pillar",
         "p.support AS support",
-        "p.judge_pmf['3'] AS p3",
+        *[f"p.{side}_pmf['{s}'] AS {side}_p{s}" for side in ("judge", "human") for s in SCORES],
         "p.mean_residual_judge_minus_human AS mean_residual",
+        "p.pct_positive_residual AS pct_positive_residual",
         "p.ols_human_on_judge.slope AS ols_slope",
+        "p.ols_human_on_judge.intercept AS ols_intercept",
         "p.ols_human_on_judge.r_squared AS ols_r2",
         "round(p.js_vs_baseline, 12) AS js_vs_baseline",
+        "round(p.psi_vs_baseline, 12) AS psi_vs_baseline",
     )
 
 
