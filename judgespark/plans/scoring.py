@@ -928,6 +928,29 @@ def entry_by_id(spark, sf_dir):
     return kb.kb_entry(kb_of(spark, sf_dir), "kb_7").select("kb_id", "question_or_utterance_pattern")
 
 
+@query(
+    "s10_kb_dir",
+    "SELECT row_number() OVER (ORDER BY item_id) - 1 AS entry_index, 'kb_' || item_id AS kb_id,"
+    " text AS question_or_utterance_pattern, 'dir.v7' AS version FROM benchmark",
+)
+def kb_dir(spark, sf_dir):
+    """The bank as a directory of one file per entry, beside a ``_meta.json`` and a draft that do not count."""
+    path = shared_folder(spark)
+    fields = [f.name for f in KB_ENTRY.fields]
+    one_file = kb_of(spark, sf_dir).coalesce(1).sortWithinPartitions("entry_index").select(fields)
+    one_file.write.option("maxRecordsPerFile", 1).json(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name, text in (("_meta.json", '{"version": "dir.v7"}'), ("_draft.json", '{"kb_id": "draft"}')):
+        target = jvm.org.apache.hadoop.fs.Path(path, name)
+        stream = target.getFileSystem(conf).create(target)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+    loaded, version = readers.load_kb_dir(spark, path)
+    return loaded.select(
+        "entry_index", "kb_id", "question_or_utterance_pattern", F.lit(version).alias("version")
+    )
+
+
 @query(
     "s10_kb_file",
     "SELECT item_id AS entry_index, 'kb_' || item_id AS kb_id, text AS question_or_utterance_pattern, 'seed.v1' AS version"
