@@ -4,8 +4,8 @@ Rounds give every run of equal symbols, and then every pair of a left and a righ
 symbol's name is a hash of what it stands for and its side a bit of its name, so the names are the
 same in the whole corpus, and equal stretches get equal symbols except near their ends. How far a
 boundary depends on its surroundings is carried along, so each window knows which boundaries inside it
-are told by its own words. The pair of symbols around such a boundary is an anchor: repeated pairs of
-high-level symbols reveal the repeats, which are then verified on the whole windows
+are told by its own words. The two symbols before such a boundary and the two after it are an anchor:
+repeated anchors of high-level symbols reveal the repeats, which are then verified on the whole windows
 (``judgespark.llm.repeats``). The number of rounds follows from the window: the most for which a window
 without runs always has an anchor inside; a window in a long run is compared as a whole.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from judgespark.llm.common import Rolling, lists, mix, numbered, record, steps, stored, text_of, word_hashes, words
 from judgespark.llm.repeats import CONTEXTS, contexts, gathered, open_and_closed, pick_anchors, windows
 
-WINDOW = 20
+WINDOW, SIDE = 20, 2
 _RUN, _LEFT, _RIGHT, _ALONE, _WHOLE = (np.uint64(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 _NO_ID = np.iinfo(np.int64).max
 
@@ -36,10 +36,10 @@ def rounds_for(window: int) -> int:
     """The most rounds after which every window without runs has an anchor that it can tell by itself.
 
     Without runs, a symbol of round r has at most 2**r words and its boundary depends on 2 * (2**r - 1)
-    words on either side. An anchor needs its two symbols as well, and within the places that are
+    words on either side. An anchor needs its symbols as well, and within the places that are
     left there must be a boundary, which comes at every 2**r words at least.
     """
-    left = lambda r: window + 1 - 2 * (2 * (2**r - 1) + 2**r)
+    left = lambda r: window + 1 - 2 * (2 * (2**r - 1) + SIDE * 2**r)
     r = 0
     while left(r + 1) >= 2 ** (r + 1):
         r += 1
@@ -92,11 +92,20 @@ class Parse:
         return at
 
     def anchors(self):
-        """``(low, high, key, place)`` of each boundary between two symbols."""
+        """``(low, high, key, place)`` of each boundary with ``SIDE`` symbols of its document on both sides."""
         low, high = self._around()
-        at = np.flatnonzero(~self._mark[1:] & ~self._mark[:-1]) + 1
-        key = mix(self.name[at - 1] * _LEFT + self.name[at] * _RIGHT + _WHOLE)
-        return low[at], high[at], key, self.start[at]
+        n = max(len(self.name) - 2 * SIDE + 1, 0)
+        whole = np.ones(n, bool)
+        for j in range(2 * SIDE):
+            whole &= ~self._mark[j : j + n]
+        at = np.flatnonzero(whole) + SIDE
+        key = np.full(len(at), _WHOLE)
+        for j in range(-SIDE, SIDE):
+            key = mix(key * _LEFT + self.name[at + j])
+        near = range(1 - SIDE, SIDE)  # the boundaries between those symbols
+        low = np.min([low[at + j] for j in near], axis=0)
+        high = np.max([high[at + j] for j in near], axis=0)
+        return low, high, key, self.start[at]
 
 
 def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
