@@ -63,6 +63,7 @@ _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
 _TABLE = np.random.default_rng(20240229).integers(0, 2**64, (2, 256), dtype=np.uint64)
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))  # odd, so they have inverses
+_POWERS_STEP = 1 << 20
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -77,7 +78,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least ``n + 1`` of each."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, STEP_BYTES + 1)
+        size = (n // _POWERS_STEP + 1) * _POWERS_STEP
         base = int(_BASE[which])
         have = []
         for b in (base, pow(base, -1, 2**64)):

@@ -1,6 +1,6 @@
 """Repeated byte strings by suffix arrays.
 
-The table is read in shards of a few megabytes. A shard's suffixes are sorted by Larsson-Sadakane
+The table is read in shards of a megabyte. A shard's suffixes are sorted by Larsson-Sadakane
 refinement, common prefixes of neighbours are found by Kasai's method, and each group of places that
 start the same ``width`` bytes closes all its places but the first: within a shard, all is told.
 
@@ -31,7 +31,7 @@ from judgespark.llm.substring_dedup import _ids, covered, spans_of
 from judgespark.llm.suffix_array import later_copies
 
 WIDTH, ANCHOR, PIECE = 100, 24, 8
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 def _in_order(rows, data, offsets):
