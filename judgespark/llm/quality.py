@@ -117,24 +117,29 @@ def _halves(column: np.ndarray, value: np.ndarray, bounds: np.ndarray) -> np.nda
     return (value / np.maximum(length, 1e-12)[group]).astype(np.float32)
 
 
-def fit(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, latent: int) -> Space:
-    """Rarity of the columns and first singular directions of the labelled texts, by random projection."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, latent: int) -> Space:
+    """Rarity of the columns and first singular directions of the labelled texts, by random projection.
+
+    One table of texts by columns is held, and nothing else of that size.
+    """
     n = len(rows)
-    column = np.concatenate([np.asarray(c, np.int64) for c, _ in rows]) if n else np.zeros(0, np.int64)
-    weight = np.concatenate([np.asarray(w, np.float32) for _, w in rows]) if n else np.zeros(0, np.float32)
-    bounds = np.concatenate([[0], np.cumsum([len(c) for c, _ in rows])]).astype(np.int64)
-    rarity = np.log((1 + n) / (1 + np.bincount(column, minlength=COLUMNS))).astype(np.float32) + 1
+    held = np.zeros(COLUMNS, np.int64)
+    for column, _ in rows:
+        held[column] += 1  # a text has a column once
+    rarity = np.log((1 + n) / (1 + held)).astype(np.float32) + 1
     latent = min(latent, max(n, 1))
-    value = _halves(column, weight * rarity[column], bounds)
     table = np.zeros((n, COLUMNS), np.float32)
-    table[np.repeat(np.arange(n), np.diff(bounds)), column] = value
+    for at, (column, weight) in enumerate(rows):
+        table[at, column] = _halves(column, weight * rarity[column], np.array([0, len(column)]))
     axes = np.random.default_rng(11).standard_normal((COLUMNS, latent + 16)).astype(np.float32)
     for _ in range(4):
         axes = np.linalg.qr(table.T @ (table @ axes))[0]
     _, _, turn = np.linalg.svd(table @ axes, full_matrices=False)
     axes = np.ascontiguousarray((axes @ turn.T)[:, :latent])
-    space = Space(rarity, axes, np.zeros((0, latent), np.float32), np.zeros(0))
-    return space._replace(vectors=space.project(column, weight, bounds), labels=labels.astype(np.float64))
+    vectors = table @ axes
+    length = np.linalg.norm(vectors, axis=1, keepdims=True)
+    vectors = np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
+    return Space(rarity, axes, vectors, labels.astype(np.float64))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
