@@ -30,6 +30,7 @@ from judgespark.llm.common import lower, mix, numbered, record, signed, steps, s
 STATES, PASSES, CLASSES = 12, 2, 256
 SYMBOL_SHARE, SYMBOL_LEAST, KNOWN_SHARE = 1e-5, 5, 5e-7
 START_DOCS, START_ROUNDS, START_STRETCH = 600, 30, 128
+STEP_BYTES = 2 << 20  # of text in a step, which holds a few numbers for each token and state
 STRETCH = 2048  # tokens that one training sequence has at most; the next one follows from any state
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _SMOOTH, _FOLLOW = 10.0, 0.1
@@ -244,7 +245,7 @@ def _expect(vocab: Vocabulary, model: Model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for _, data, offsets in steps(batches):
+        for _, data, offsets in steps(batches, limit=STEP_BYTES):
             t = tokens(data, offsets)
             symbol, _ = vocab.look_up(t)
             counts, _ = expected_counts(model, symbol, *_stretches(t, STRETCH))
@@ -291,7 +292,7 @@ def _score(vocab: Vocabulary, model: Model):
     log_mass = np.log10(vocab.class_mass)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in steps(batches):
+        for rows, data, offsets in steps(batches, limit=STEP_BYTES):
             t = tokens(data, offsets)
             symbol, at = vocab.look_up(t)
             n = np.diff(t.first)
