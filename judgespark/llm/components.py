@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from judgespark.llm.common import lookup, stored
+from judgespark.llm.common import HOT_ROWS, lookup, stored
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
     """``(u, v, least)``: each pair with the least node of ``u`` and its neighbours. A node with very
     many neighbours is folded on the map side, and its pairs get their ``least`` by broadcast."""
     least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("least"), F.count(F.lit(1)).alias("_n"))
-    return lookup(pairs, stored(least), "u", "_n").drop("_n")
+    least = stored(least)
+    if least.where(F.col("_n") > HOT_ROWS).isEmpty():
+        return pairs.join(least.hint("merge"), "u").drop("_n")
+    return lookup(pairs, least, "u", "_n").drop("_n")
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

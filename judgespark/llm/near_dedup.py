@@ -92,7 +92,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``(id, shingles)`` of the wanted documents."""
+    """``(id, shingles)`` of the wanted documents.
+
+    Their number grows with the table, so the texts meet it in a shuffle at every size.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches):
@@ -100,7 +103,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), _arrays(signed(sets), bounds)], names=["id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), text_of().alias("text"))
-    return rows.join(wanted, "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
+    return rows.join(wanted.hint("merge"), "id", "left_semi").mapInArrow(run, "id long, shingles array<long>")
 
 
 def _near(percent: int):
@@ -209,7 +212,8 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     labels = stored(components(links))
     more = stored(_rest(members, labels, sets, percent))
     if not more.isEmpty():
-        labels = stored(components(links.unionByName(more)))
+        stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        labels = stored(components(stars.unionByName(more)))
 
     named = classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", "rows", F.coalesce("label", "id").alias("component_id")
