@@ -101,6 +101,12 @@ class Rolling:
         length = (end - start).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         return mix((self._sums[end] - self._sums[start]) * self._down[start] + length)
 
+    def every(self, size: int) -> np.ndarray:
+        """The hashes of all stretches of one size, as :meth:`of` gives them."""
+        n = max(len(self._sums) - size, 0)
+        length = np.uint64(size * 0xA24BAED4963EE407 % 2**64)
+        return mix((self._sums[size:] - self._sums[:n]) * self._down[:n] + length)
+
 
 def byte_symbols(data: np.ndarray, which: int = 0) -> np.ndarray:
     return _TABLE[which][data]

@@ -13,6 +13,24 @@ def _words_at(padded: np.ndarray, at: np.ndarray) -> np.ndarray:
     return view[at].astype(np.uint64)
 
 
+def _first(key: np.ndarray) -> np.ndarray:
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    return first
+
+
+def _group(first: np.ndarray) -> np.ndarray:
+    """Where the group of each place begins."""
+    return np.maximum.accumulate(np.where(first, np.arange(len(first), dtype=np.int32), np.int32(0)))
+
+
+def _several(first: np.ndarray) -> np.ndarray:
+    """The places in groups of more than one."""
+    alone = first.copy()
+    alone[:-1] &= first[1:]
+    return np.flatnonzero(~alone)
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes sorted by at least their first ``depth`` bytes, and the places in that order whose suffix
     shares at least half of them, if ``depth`` is past the first round, with the one before.
@@ -29,39 +47,32 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     used[data] = True
     bits = max(int(used.sum()).bit_length(), 1)
     sorted_to = min(63 // bits, depth)
-    code = (np.cumsum(used) * used)[data].astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for j in range(sorted_to):
-        key <<= np.uint64(bits)
-        key[: max(n - j, 0)] |= code[j:]
-    order = np.argsort(key)
-    key = key[order]
-    rank = np.empty(n, np.int64)
-    first = np.ones(n, bool)
-    np.not_equal(key[1:], key[:-1], out=first[1:])
-    starts = np.flatnonzero(first)
-    sizes = np.diff(np.append(starts, n))
-    rank[order] = np.repeat(starts, sizes)
-    several = np.repeat(sizes > 1, sizes)
-    near, active = np.flatnonzero(~first), np.flatnonzero(several)  # places in the order
+    key, have = (np.cumsum(used) * used)[data].astype(np.uint64), 1
+    while have < sorted_to:  # as many again, or the few left, of those that follow
+        more = min(have, sorted_to - have)
+        next_ = np.zeros(n, np.uint64)
+        next_[: max(n - have, 0)] = key[have:] >> np.uint64(bits * (have - more))
+        key = (key << np.uint64(bits * more)) | next_
+        have += more
+    order = np.argsort(key).astype(np.int32)
+    first = _first(key[order])
+    rank = np.empty(n, np.int32)
+    rank[order] = _group(first)
+    near, active = np.flatnonzero(~first), _several(first)  # places in the order
     while len(active) and sorted_to < depth:
         who = order[active]
-        on = who + sorted_to
-        own = rank[who]
-        follow = np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)
-        key = (own.astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
+        on = who + np.int32(sorted_to)
+        follow = np.where(on < n, rank[np.minimum(on, n - 1)] + np.int32(1), np.int32(0))
+        key = (rank[who].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
         by = np.argsort(key)
-        who, key = who[by], key[by]
+        who = who[by]
         order[active] = who
-        first = np.ones(len(active), bool)
-        np.not_equal(key[1:], key[:-1], out=first[1:])
-        starts = np.flatnonzero(first)
-        sizes = np.diff(np.append(starts, len(active)))
-        rank[who] = np.repeat(active[starts], sizes)
+        first = _first(key[by])
+        rank[who] = active[_group(first)]
         sorted_to *= 2
         if sorted_to <= depth:
             near = active[~first]  # sorting again inside a group leaves its places
-        active = active[np.repeat(sizes > 1, sizes)]
+        active = active[_several(first)]
     return order, near
 
 

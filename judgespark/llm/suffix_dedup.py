@@ -32,6 +32,7 @@ from judgespark.llm.suffix_array import later_copies
 
 WIDTH, ANCHOR, PIECE = 100, 24, 8
 SHARD_BYTES = 1 << 20
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def _in_order(rows, data, offsets):
@@ -52,12 +53,10 @@ def _window_starts(offsets: np.ndarray, width: int) -> np.ndarray:
     return np.cumsum(change)[:-1] > 0
 
 
-def _anchors(data: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(first: Rolling, width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The name of the short string at each place, and the anchor of the window at each place."""
-    n = len(data)
-    at = np.arange(max(n - size + 1, 0))
-    name = Rolling(byte_symbols(data)).of(at, at + size)
-    least = (mix(name) >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
+    name = first.every(size)
+    least = _ranked(name, np.arange(len(name)))
     span, have = width - size + 1, 1
     if len(least) < span:
         return name, np.zeros(0, np.int64)
@@ -66,7 +65,25 @@ def _anchors(data: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.nd
         have *= 2
     if have < span:
         least = np.minimum(least[: have - span], least[span - have :])
-    return name, (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return name, _place(least)
+
+
+def _ranked(name: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Half of a name, then its place: the least of a window is its anchor."""
+    return (name & ~_LOW) | at.astype(np.uint64)
+
+
+def _place(ranked: np.ndarray) -> np.ndarray:
+    return (ranked & _LOW).astype(np.int64)
+
+
+def _anchors_of(first: Rolling, start: np.ndarray, width: int, size: int) -> np.ndarray:
+    """The anchors of the windows at a few places."""
+    out = np.empty(len(start), np.int64)
+    for a in range(0, len(start), 8192):
+        at = start[a : a + 8192, None] + np.arange(width - size + 1)
+        out[a : a + 8192] = _place(_ranked(first.of(at, at + size), at).min(axis=1))
+    return out
 
 
 def _find(width: int, size: int):
@@ -75,7 +92,8 @@ def _find(width: int, size: int):
             ids, numbers, data, offsets = _in_order(rows, data, offsets)
             valid = _window_starts(offsets, width)
             late = later_copies(data, valid, width)
-            name, anchor = _anchors(data, width, size)
+            hashes = Rolling(byte_symbols(data))
+            name, anchor = _anchors(hashes, width, size)
             at = np.flatnonzero(valid)
             head = np.ones(len(at), bool)
             head[1:] = (at[1:] != at[:-1] + 1) | (anchor[at[1:]] != anchor[at[:-1]])
@@ -84,7 +102,7 @@ def _find(width: int, size: int):
             live = np.add.reduceat(~late[at], heads) > 0 if len(heads) else np.zeros(0, bool)
             start, n = at[heads][live], n[live]
             place = anchor[start]
-            whole = Rolling(byte_symbols(data, 1), 1).of(start, start + n - 1 + width)
+            whole = hashes.of(start, start + n - 1 + width)
             doc = np.searchsorted(offsets, start, "right") - 1
             kf = mix(whole + (place - start).astype(np.uint64))
             yield contexts(name[place], kf, ids[doc], numbers[doc], start - offsets[doc], n)
@@ -121,8 +139,8 @@ def _pieces(width: int, size: int, piece: int):
         for rows, data, offsets in steps(batches, limit=SHARD_BYTES):
             ids, numbers = _ids(rows)
             doc, start, n = spans_of(rows, offsets[:-1])
-            _, anchor = _anchors(data, width, size)
-            place = anchor[start]
+            hashes = Rolling(byte_symbols(data))
+            place = _anchors_of(hashes, start, width, size)
             # Piece j of an anchor holds the windows that start j * piece to j * piece + piece - 1 before it.
             low, high = (place - start - n + 1) // piece, (place - start) // piece
             count = high - low + 1
@@ -131,9 +149,8 @@ def _pieces(width: int, size: int, piece: int):
             from_ = np.maximum(place[which] - (j + 1) * piece + 1, start[which])
             to = np.minimum(place[which] - j * piece, start[which] + n[which] - 1)
             core_from, core_to = place[which] - j * piece, place[which] - (j + 1) * piece + 1 + width
-            first, second = (Rolling(byte_symbols(data, w), w) for w in (0, 1))
-            k = mix(first.of(core_from, core_to) + np.uint64(1))
-            kf = mix(second.of(from_, to + width) + (place[which] - from_).astype(np.uint64))
+            k = mix(hashes.of(core_from, core_to) + np.uint64(1))
+            kf = mix(hashes.of(from_, to + width) + (place[which] - from_).astype(np.uint64))
             doc = doc[which]
             yield contexts(k, kf, ids[doc], numbers[doc], from_ - offsets[doc], to - from_ + 1)
 
