@@ -9,6 +9,10 @@ from judgespark.llm import exact_dedup, mixing, near_dedup, packing, quality
 from judgespark.llm.common import numbered, scratch
 from judgespark.llm.queries import QUALITY_THRESHOLD, quality_space, word_bpe
 
+# Of the shingles of five words that two documents have, the share in both above which they are near
+# duplicates. `op5_minhash_dedup` has a threshold of its own.
+NEAR_PERCENT = 80
+
 
 def _good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
@@ -25,7 +29,8 @@ def _distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    dropped = near_dedup.near_groups(docs).where("NOT kept").select("doc_id").distinct()
+    groups = near_dedup.near_groups(docs, percent=NEAR_PERCENT, bands=near_dedup.bands_for(NEAR_PERCENT))
+    dropped = groups.where("NOT kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 

@@ -17,6 +17,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,11 +31,20 @@ from judgespark.llm.components import components
 
 SHINGLE, PERCENT = 5, 85
 BANDS, BAND_ROWS = 16, 5
+MISS = 1e-6
 BLOCK = 128
 
-_RNG = np.random.default_rng(5)
-_A = _RNG.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 2**64, BANDS * BAND_ROWS, dtype=np.uint64)
+
+def bands_for(percent: int, miss: float = MISS) -> int:
+    """Bands with which a pair at ``percent`` shares no bucket at most as often as ``miss``."""
+    meets = (percent / 100) ** BAND_ROWS
+    return math.ceil(math.log(miss) / math.log1p(-meets)) if meets < 1 else 1
+
+
+def _universal(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and offsets of ``n`` universal hashes."""
+    rng = np.random.default_rng(5)
+    return rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**64, n, dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,30 +69,31 @@ def _arrays(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values))
 
 
-def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def signatures(docs: DataFrame, size: int = SHINGLE, bands: int = BANDS) -> DataFrame:
     """``(doc_id, n_shingles, digest, signature)`` of every row; no signature without words."""
+    factor, offset = _universal(bands * BAND_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in steps(batches):
             sets, bounds = shingle_sets(data, offsets, size)
             n = np.diff(bounds)
             some = np.flatnonzero(n)
-            minima = np.zeros((len(n), len(_A)), np.int32)
+            minima = np.zeros((len(n), len(factor)), np.int32)
             digest = np.zeros((len(n), 2), np.uint64)
             if len(some):
                 at = bounds[some]
-                for i in range(len(_A)):
-                    value = sets * _A[i]
-                    value += _B[i]
+                for i in range(len(factor)):
+                    value = sets * factor[i]
+                    value += offset[i]
                     minima[some, i] = (np.minimum.reduceat(value, at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 digest[some, 0] = np.add.reduceat(mix(sets), at)
-                digest[some, 1] = np.add.reduceat(mix(sets ^ _B[0]), at)
+                digest[some, 1] = np.add.reduceat(mix(sets ^ offset[0]), at)
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column(0),
                     pa.array(n.astype(np.int64)),
                     pa.array([d.tobytes() for d in digest], pa.binary()),
-                    _arrays(minima.ravel(), np.arange(len(n) + 1) * len(_A)),
+                    _arrays(minima.ravel(), np.arange(len(n) + 1) * len(factor)),
                 ],
                 names=["doc_id", "n_shingles", "digest", "signature"],
             )
@@ -175,9 +186,9 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     return dealt.join(sets, "id").groupBy("key", "cell").applyInPandas(_near(percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs`` (a stored table)."""
-    rows = stored(signatures(docs, size))
+    rows = stored(signatures(docs, size, bands))
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(
         some.groupBy("digest").agg(
@@ -186,7 +197,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
         )
     )
     band = lambda b: F.xxhash64(F.lit(b), F.slice("signature", b * BAND_ROWS + 1, BAND_ROWS))
-    banded = classes.select("id", F.explode(F.array(*[band(b) for b in range(BANDS)])).alias("key"))
+    banded = classes.select("id", F.explode(F.array(*[band(b) for b in range(bands)])).alias("key"))
     buckets = banded.groupBy("key").agg(
         F.min("id").alias("hub"), F.max("id").alias("_last"), F.count(F.lit(1)).alias("members")
     )
@@ -200,7 +211,7 @@ def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     pairs = pairs.join(side("a"), "a").join(side("b"), "b")
     same = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     # The share of equal minima estimates the similarity; a true link misses this bound once in 10**7.
-    likely = same >= int(BANDS * BAND_ROWS * (percent / 100 - 0.25))
+    likely = same >= int(bands * BAND_ROWS * (percent / 100 - 0.25))
     fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
     pairs = stored(pairs.where(fits & likely).select("a", "b"))
     full = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"f_{x}"))

@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from judgespark.llm.common import stored
-from llm.helpers import DOCS, SF_DIR
+from llm.helpers import DOCS, SF_DIR, docs
 from llm.test_mixing import brute_targets
 from llm.test_near_dedup import brute as brute_near
 from llm.test_packing import check as check_pieces
@@ -56,6 +56,20 @@ def test_near_keeps_the_first_of_each_group(stages):
     assert sorted(r["doc_id"] for r in rows(after)) == sorted(i for i, (_, c) in groups.items() if i == c)
 
 
+def test_near_links_from_a_similarity_of_080(spark):
+    """Pairs of about 0.80 to 0.85, which the stage must link, and of 0.77, which it must not."""
+    texts = {}
+    for n, words in enumerate((50, 52, 54, 56, 46, 44)):  # an end of five new words: words - 9 shared of words + 1
+        base = [f"p{n}w{i}" for i in range(words)]
+        texts[2 * n], texts[2 * n + 1] = " ".join(base), " ".join(base[:-5] + [f"p{n}n{i}" for i in range(5)])
+    texts |= {100 + i: " ".join(f"q{i}w{j}" for j in range(40)) for i in range(3)}
+    groups = brute_near(texts, percent=80)
+    kept = corpus_pipeline._unlike(spark, stored(docs(spark, texts)), SF_DIR)
+    want = sorted(i for i, (_, c) in groups.items() if i == c)
+    assert sorted(r.doc_id for r in kept.collect()) == want
+    assert len(want) < len(texts) and want != sorted(i for i, (_, c) in brute_near(texts).items() if i == c)
+
+
 def test_mixing_meets_the_targets(stages):
     _, before, after = stages[3]
     size = lambda t: len((t or "").encode().split())
