@@ -4,8 +4,8 @@ Tokens are lower-cased words and one end. Words above a share of all training to
 symbols of their own, every other word is one of a few classes of endings; within a class a word has its add-one share.
 Latent states emit symbols and follow each other; they are trained by Baum-Welch:
 each step of the corpus gives expected counts of its own stretches, which are summed over partitions, and
-every pass reads all training texts. The first model comes from a bounded sample (``START_DOCS``), which
-only breaks the symmetry. A text's likelihood is exact, by the scaled forward recursion over all of
+every pass reads all training texts, and passes go on until their summed log likelihood settles
+(``SETTLED``). The first model is seeded noise around the shares of the symbols. A text's likelihood is exact, by the scaled forward recursion over all of
 its tokens. Counts of words cover the whole corpus. Words above a share of all tokens, of which
 there can be ``1 / share``, are known in every task; all others meet their counts in a shuffle.
 
@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from judgespark.llm.common import lower, mix, numbered, record, signed, steps, stored, text_of, word_hashes, words
 
-STATES, PASSES, CLASSES = 12, 2, 256
+STATES, CLASSES = 12, 256
+SETTLED = 1e-3  # gain of a pass, as a share of the log likelihood, at which training ends
 SYMBOL_SHARE, SYMBOL_LEAST, KNOWN_SHARE = 1e-5, 5, 5e-7
-START_DOCS, START_ROUNDS, START_STRETCH = 600, 30, 128
 STEP_BYTES = 2 << 20  # of text in a step, which holds a few numbers for each token and state
+SYMBOL_BYTES = 1 << 20  # of symbols in a step of training, four a token
 STRETCH = 2048  # tokens that one training sequence has at most; the next one follows from any state
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _SMOOTH, _FOLLOW = 10.0, 0.1
@@ -221,38 +222,42 @@ def _stretches(t: Tokens, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.append(at, t.first[-1]), np.isin(at, t.first[:-1])
 
 
-def first_model(texts: list[bytes], vocab: Vocabulary, states: int, rounds: int) -> Model:
-    """A model of the sample, from seeded noise around the shares of the symbols."""
+def first_model(vocab: Vocabulary, states: int) -> Model:
+    """Seeded noise around the shares of the symbols."""
     base, rng = vocab.base(), np.random.default_rng(7)
     noise = rng.gamma(1.0, 1.0, (len(base), states)) + 0.2
     emit = base[:, None] * noise
     follow = np.full((states, states), 1.0 / states) + 3 * np.eye(states)
-    model = Model(np.full(states, 1 / states), np.full(states, 1 / states), follow / follow.sum(1, keepdims=True), emit / emit.sum(0))
-    if not texts:
-        return model
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    t = tokens(data, np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
-    symbol, _ = vocab.look_up(t)
-    first, begins = _stretches(t, START_STRETCH)
-    for _ in range(rounds):
-        counts, _ = expected_counts(model, symbol, first, begins)
-        model = from_counts(counts, base)
-    return model
-
-
-def _expect(vocab: Vocabulary, model: Model):
-    """Expected counts of a task: ``(kind, state, to, n)``; kinds 0 start, 1 any, 2 follow, 3 emit."""
+    return Model(np.full(states, 1 / states), np.full(states, 1 / states), follow / follow.sum(1, keepdims=True), emit / emit.sum(0))
+
+
+def _encode(vocab: Vocabulary):
+    """The symbols of each text, four bytes each, so that no pass looks words up again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
         for _, data, offsets in steps(batches, limit=STEP_BYTES):
             t = tokens(data, offsets)
-            symbol, _ = vocab.look_up(t)
-            counts, _ = expected_counts(model, symbol, *_stretches(t, STRETCH))
+            symbol = vocab.look_up(t)[0].astype(np.int32)
+            yield record({"symbols": pa.array([symbol[a:b].tobytes() for a, b in zip(t.first[:-1], t.first[1:])], pa.binary())})
+
+    return run
+
+
+def _expect(model: Model):
+    """Expected counts of a task: ``(kind, state, to, n)``; kinds 0 start, 1 any, 2 follow, 3 emit, 4 log likelihood."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, log = None, 0.0
+        for _, data, offsets in steps(batches, "symbols", SYMBOL_BYTES):
+            first = offsets // 4
+            t = Tokens(data.view(np.int32), data[:0], first)
+            counts, gain = expected_counts(model, t.hash, *_stretches(t, STRETCH))
             total = counts if total is None else Model(*(a + b for a, b in zip(total, counts)))
+            log += gain
         if total is None:
             return
-        for kind, table in enumerate((total.start[:, None], total.any[:, None], total.follow, total.emit.T)):
+        tables = (total.start[:, None], total.any[:, None], total.follow, total.emit.T, np.array([[log]]))
+        for kind, table in enumerate(tables):
             state, to = np.nonzero(table)
             yield record(
                 {
@@ -266,21 +271,23 @@ def _expect(vocab: Vocabulary, model: Model):
     return run
 
 
-def train(texts: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> Model:
-    """``passes`` of Baum-Welch over all of ``texts`` (a column ``text``, with ``_order`` for the sample)."""
-    sample = texts.orderBy("_order").limit(START_DOCS).select(F.encode("text", "UTF-8").alias("text")).toArrow()
-    model = first_model(sample.column(0).to_pylist(), vocab, states, START_ROUNDS)
-    base = vocab.base()
-    for _ in range(passes):
-        parts = texts.select("text").mapInArrow(_expect(vocab, model), "kind int, state int, to int, n double")
-        # At most (symbols + states + 2) * states rows: symbols are bounded by their share.
+def train(texts: DataFrame, vocab: Vocabulary, states: int = STATES, settled: float = SETTLED) -> Model:
+    """Baum-Welch over all of ``texts`` (a column ``text``) until a pass gains at most ``settled`` of the log likelihood."""
+    coded = stored(texts.select("text").mapInArrow(_encode(vocab), "symbols binary"))
+    model, base, before = first_model(vocab, states), vocab.base(), -math.inf
+    while True:
+        parts = coded.mapInArrow(_expect(model), "kind int, state int, to int, n double")
+        # At most (symbols + states + 2) * states + 1 rows: symbols are bounded by their share.
         sums = parts.groupBy("kind", "state", "to").agg(F.sum("n").alias("n")).toArrow()
         kind, state, to, n = (sums.column(c).to_numpy() for c in ("kind", "state", "to", "n"))
         tables = [np.zeros((states, w)) for w in (1, 1, states, len(base))]
         for i, table in enumerate(tables):
             table[state[kind == i], to[kind == i]] = n[kind == i]
         model = from_counts(Model(tables[0][:, 0], tables[1][:, 0], tables[2], tables[3].T), base)
-    return model
+        log = float(n[kind == 4].sum())
+        if log - before <= settled * abs(log):
+            return model
+        before = log
 
 
 _PARTS = "_row long, n_tokens long, known long, base double, score double, rare array<struct<word:long,n:int>>"
@@ -325,15 +332,15 @@ def _score(vocab: Vocabulary, model: Model):
     return run
 
 
-def scores(docs: DataFrame, train_on: Column, states: int = STATES, passes: int = PASSES) -> DataFrame:
+def scores(docs: DataFrame, train_on: Column, states: int = STATES, settled: float = SETTLED) -> DataFrame:
     """Per row of ``docs`` (a stored table): ``doc_id, trained, n_tokens, n_known, train_tokens, base_score, score``,
     both scores log10 probabilities; ``train_on`` tells the training rows."""
     rows = numbered(docs).select("_row", "doc_id", F.coalesce(train_on, F.lit(True)).alias("trained"), text_of().alias("text"))
-    texts = rows.where("trained").select("text", F.xxhash64("doc_id", F.length("text")).alias("_order"))
-    counted = texts.select("text").mapInArrow(_counts, "word long, n long, kind int")
+    texts = rows.where("trained").select("text")
+    counted = texts.mapInArrow(_counts, "word long, n long, kind int")
     counts = stored(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("kind").alias("kind")))
     vocab = vocabulary(counts)
-    model = train(texts, vocab, states, passes)
+    model = train(texts, vocab, states, settled)
     parts = stored(rows.select("_row", "text").mapInArrow(_score(vocab, model), _PARTS))
     # No rare word has more than KNOWN_SHARE of all tokens, so no key of this join is large.
     rare = parts.select("_row", F.explode("rare").alias("r")).select("_row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))

@@ -129,3 +129,21 @@ def test_no_training_rows_repeats_nulls_and_empty_table(spark):
     none = hmm.scores(df, F.lit(False)).collect()
     assert {r.n_known for r in none} == {0} and {r.train_tokens for r in none} == {0} and {r.base_score for r in none} == {0.0}
     assert hmm.scores(spark.createDataFrame([], DOCS), F.lit(True)).count() == 0
+
+
+def test_training_settles_on_all_texts(spark):
+    """A rare kind of texts, too few to be in any sample, is learned too: another round gains next to nothing."""
+    rng = np.random.default_rng(4)
+    common = [" ".join(rng.choice(["a", "b", "c", "d"], 12)) for _ in range(2000)]
+    rare = ["u v w x y z " * 60] * 12
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(common + rare)], "_order long, text string")
+    counted = texts.select("text").mapInArrow(hmm._counts, "word long, n long, kind int")
+    vocab = hmm.vocabulary(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("kind").alias("kind")))
+    m, logs = hmm.train(texts, vocab), []
+    data = [t.encode() for t in common + rare]
+    t = hmm.tokens(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    for _ in range(2):
+        counts, log = hmm.expected_counts(m, vocab.look_up(t)[0], *hmm._stretches(t, hmm.STRETCH))
+        m = hmm.from_counts(counts, vocab.base())
+        logs.append(log)
+    assert logs[1] - logs[0] <= 2 * 1e-3 * abs(logs[0])
