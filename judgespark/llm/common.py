@@ -136,6 +136,11 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = ST
             at = to
 
 
+def inside_words(data: np.ndarray) -> np.ndarray:
+    """Which bytes are part of a word."""
+    return _WORD[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words, and the number of words before each document."""
     inside = _WORD[data]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.llm import ann, exact_dedup, hmm, mixing, near_dedup, packing, quality, secrets, substring_dedup, suffix_dedup
+from judgespark.llm import ann, exact_dedup, hmm, mixing, near_dedup, packing, periodic, quality, secrets, substring_dedup, suffix_dedup
 from judgespark.llm.common import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -170,3 +170,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_score").alias("score"),
         (F.col("_score") >= QUALITY_THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+def with_periodic_part(docs: DataFrame) -> DataFrame:
+    """Of every tenth document, by a hash of its id, the words from one on repeat the first few of them."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    chosen = chosen.withColumn("n", F.size("words"))
+    chosen = chosen.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    left = F.col("n") - F.col("a")
+    chosen = chosen.withColumn("p", (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int")))
+    both = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), left))
+    return chosen.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(both, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse(with_periodic_part(documents(spark, sf_dir)))
+    longer = lambda best, r: F.when(
+        best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r
+    ).otherwise(best)
+    run = "struct<start:bigint,length:bigint,period:bigint>"
+    out = out.withColumn("best", F.aggregate("runs", F.lit(None).cast(run), longer))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
