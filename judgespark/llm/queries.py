@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.llm import ann, exact_dedup, hmm, mixing, near_dedup, packing, periodic, quality, secrets, substring_dedup, suffix_dedup
+from judgespark.llm import ann, exact_dedup, hard_negatives, hmm, mixing, near_dedup, packing, periodic, quality, secrets, substring_dedup, suffix_dedup
 from judgespark.llm.common import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +203,35 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), ""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op12_hard_negatives",
+    """
+    WITH e AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS alike,
+               list_inner_product(a.v, b.v)::BIGINT AS score
+        FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    ), p AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score,
+               row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id)::INTEGER AS positive_rank
+        FROM s WHERE alike QUALIFY positive_rank <= 5
+    )
+    SELECT anchor_id, positive_id,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+           s.vec_id AS negative_id, positive_score, s.score AS negative_score, positive_rank
+    FROM p JOIN s USING (anchor_id)
+    WHERE NOT s.alike AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+    QUALIFY rank <= 5
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.eligible(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", label)
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
