@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from judgespark.llm import ann, exact_dedup, hard_negatives, hmm, mixing, near_dedup, packing, periodic, quality, secrets, substring_dedup, suffix_dedup
+from judgespark.llm import ann, exact_dedup, genetic_packing, hard_negatives, hmm, mixing, near_dedup, packing, periodic, quality, secrets, substring_dedup, suffix_dedup
 from judgespark.llm.common import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -235,3 +235,14 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.eligible(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", label)
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op13_best_fit_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return genetic_packing.pack(documents(spark, sf_dir), byte_bpe())
