@@ -1,4 +1,4 @@
 """All registered queries. Importing this module fills the registry."""
 
-from judgespark.plans import agreement, ingestion, live, reports, scoring  # noqa: F401
+from judgespark.plans import agreement, ingestion, live, reports, runs, scoring  # noqa: F401
 from judgespark.plans.registry import QUERIES, SQL  # noqa: F401
