@@ -600,7 +600,7 @@ def disagreement_table(spark, sf_dir):
 @query(
     "j5_filtered_display_rows",
     q.with_ctes(
-        f"SELECT * FROM shown WHERE (record_id, pillar) IN (SELECT record_id, pillar FROM items WHERE {_FILTER_SQL})",
+        f"SELECT shown.* FROM shown SEMI JOIN (SELECT record_id, pillar FROM items WHERE {_FILTER_SQL}) USING (record_id, pillar)",
         "shown",
         "items",
     ),

@@ -30,6 +30,7 @@ from judgespark.schema import (
     TURN,
 )
 from judgespark.sources import readers, sinks
+from judgespark.sources.outcome_store import OutcomeStore
 
 # --- chat rows: every assistant turn is a record ----------------------------------
 
@@ -186,49 +187,54 @@ def cache_keys(spark, sf_dir):
     return keyed_tasks(spark, sf_dir).select("row_index", "pillar", "cache_key")
 
 
-def outcome_store(spark: SparkSession, sf_dir: str, plan: DataFrame) -> DataFrame:
-    """Stored outcomes of an earlier run, keyed like the tasks."""
+def outcome_store(spark: SparkSession, sf_dir: str, plan: DataFrame) -> OutcomeStore:
+    """Outcomes of an earlier run, stored in two batches with a compaction between them, the second one sent twice."""
     keys = plan.select("record_id", "pillar", "cache_key")
-    earlier = skew_join(
-        inputs.outcomes(spark, sf_dir), keys, ["record_id", "pillar"], F.col("outcome_index")
-    )
-    return tasks.storable_outcomes(earlier)
+    earlier = skew_join(inputs.outcomes(spark, sf_dir), keys, ["record_id", "pillar"], F.col("outcome_index"))
+    store = OutcomeStore(spark, shared_folder(spark), buckets=16)
+    store.append(earlier.where("outcome_index % 3 = 0"), "first")
+    store.compact()
+    for _ in range(2):
+        store.append(earlier.where("outcome_index % 3 <> 0"), "second")
+    return store
 
 
+# The first batch keeps a key that both have.
 q.define(
     "stored",
-    ["outcomes", "keyed_tasks"],
-    "SELECT record_id, pillar, max(outcome_index) AS outcome_index FROM outcomes WHERE NOT failed AND pillar <> 'tone'"
-    " AND record_id IN (SELECT record_id FROM keyed_tasks) GROUP BY ALL",
+    ["outcomes"],
+    "SELECT record_id, pillar, max(outcome_index) FILTER (WHERE outcome_index % 3 = 0) AS early,"
+    " coalesce(early, max(outcome_index)) AS outcome_index"
+    " FROM outcomes WHERE NOT failed AND pillar <> 'tone' GROUP BY record_id, pillar",
 )
 
 
 @query(
     "t4_cache_hits",
     q.with_ctes(
-        "SELECT k.row_index, k.pillar, s.outcome_index, 'run-1' AS run_id FROM keyed_tasks k"
-        " JOIN stored s USING (record_id, pillar)",
-        "keyed_tasks",
+        "SELECT row_index, pillar, outcome_index, 'run-1' AS run_id FROM latest"
+        f" CROSS JOIN {q.pillar_values()} JOIN stored USING (record_id, pillar)",
+        "latest",
         "stored",
     ),
 )
 def cache_hits(spark, sf_dir):
     plan = keyed_tasks(spark, sf_dir)
-    hits = tasks.cached_outcomes(plan, outcome_store(spark, sf_dir, plan))
+    hits = outcome_store(spark, sf_dir, plan).lookup(plan, "now").hits
     return hits.select("row_index", "pillar", "outcome_index", "run_id")
 
 
 @query(
     "t4_cache_misses",
     q.with_ctes(
-        "SELECT row_index, pillar FROM keyed_tasks WHERE (record_id, pillar) NOT IN (SELECT record_id, pillar FROM stored)",
-        "keyed_tasks",
+        f"SELECT row_index, pillar FROM latest CROSS JOIN {q.pillar_values()} ANTI JOIN stored USING (record_id, pillar)",
+        "latest",
         "stored",
     ),
 )
 def cache_misses(spark, sf_dir):
     plan = keyed_tasks(spark, sf_dir)
-    return tasks.uncached_tasks(plan, outcome_store(spark, sf_dir, plan)).select("row_index", "pillar")
+    return outcome_store(spark, sf_dir, plan).lookup(plan, "now").misses.select("row_index", "pillar")
 
 
 _NEEDS_CONTEXT = ", ".join(f"'{p}'" for p, i in RUBRIC_INPUTS.items() if "retrieved_context" in i)
