@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 
 from judgespark.schema import OUTCOME, PILLARS, RUBRIC_TAGS, RUBRIC_VERSION
@@ -40,8 +42,8 @@ def pillar_case(number: str) -> str:
     return f"CASE {number} {cases} ELSE 'tone' END"
 
 
-def outcomes_from(lineitem: DataFrame) -> DataFrame:
-    """One grader outcome per line item; works on batch and streaming input."""
+def outcomes_from(lineitem: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """One grader outcome per line item, with ``more`` columns of it; works on batch and streaming input."""
     tags = " ".join(f"WHEN '{p}' THEN '{tags[0]}'" for p, tags in RUBRIC_TAGS.items())
     evidence = OUTCOME["result"].dataType["evidence_for_score"].dataType.simpleString()
     result = f"""named_struct(
@@ -74,6 +76,7 @@ def outcomes_from(lineitem: DataFrame) -> DataFrame:
         "l_suppkey % 13 = 0 AS failed",
         "CAST(1 + (l_orderkey * 7 + l_linenumber * 3 + l_partkey % 4) % 5 AS INT) AS score",
         "l_discount * 10 AS confidence",
+        *more,
     ).selectExpr("*", f"CASE pillar {tags} END AS tag")
     return base.selectExpr(
         "outcome_index",
@@ -91,6 +94,7 @@ def outcomes_from(lineitem: DataFrame) -> DataFrame:
         f"""CASE WHEN NOT failed THEN named_struct('prompt', 'v1', 'rubric', '{RUBRIC_VERSION}') END
              AS prompt_versions""",
         "CAST(map() AS map<string,string>) AS extras",
+        *more,
     )
 
 

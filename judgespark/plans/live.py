@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from judgespark.operators.crosstab import METRIC_COLUMNS
 from judgespark.plans import inputs
@@ -65,3 +66,32 @@ def live_agreement_resent(spark, sf_dir):
         unique_by=("outcome_index", "record_id", "pillar", "latency_ms"),
     ).awaitTermination()
     return live.live_agreement(spark, folder + "/parts").select(*_COLUMNS)
+
+
+@query("w2_live_agreement_bounded", q.with_ctes(f"SELECT {', '.join(_COLUMNS)} FROM report", "report"))
+def live_agreement_bounded(spark, sf_dir):
+    """Every outcome is sent twice, and the state that tells so lasts for an hour of outcome time."""
+    folder = shared_folder(spark)
+    rows = live.prepare_rows(inputs.eval_rows(spark, sf_dir), folder + "/rows")
+    # Outcome time runs through the batches, a second time some minutes behind.
+    lines = inputs.table(spark, sf_dir, "lineitem").withColumn("part", F.pmod(F.col("l_orderkey"), F.lit(4)).cast("int"))
+    clock = F.lit("2024-01-01").cast("timestamp")
+    sent = lines.withColumn("sent_at", clock + F.make_dt_interval(hours="part"))
+    again = lines.withColumn("sent_at", clock + F.make_dt_interval(hours="part", mins=F.lit(1)))
+    for part in range(4):
+        now = sent.where(F.col("part") == part).unionByName(again.where(F.col("part") == part))
+        now.repartition(2, "l_suppkey").write.mode("append").parquet(folder + "/sent")
+    schema = spark.read.parquet(folder + "/sent").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder + "/sent")
+    outcomes = inputs.outcomes_from(stream, ["sent_at"])
+    live.start_agreement(
+        outcomes,
+        rows,
+        folder + "/parts",
+        folder + "/checkpoint",
+        available_now=True,
+        unique_by=("outcome_index", "record_id", "pillar", "latency_ms"),
+        event_time="sent_at",
+        delay="1 hour",
+    ).awaitTermination()
+    return live.live_agreement(spark, folder + "/parts").select(*_COLUMNS)

@@ -45,6 +45,17 @@ def prepare_rows(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def unique_outcomes(
+    outcomes: DataFrame, unique_by: Sequence[str], event_time: str | None = None, delay: str = "1 hour"
+) -> DataFrame:
+    """The first of the outcomes that agree on ``unique_by``; with ``event_time``, the state lasts for ``delay``."""
+    if not unique_by:
+        return outcomes
+    if event_time is None:
+        return outcomes.dropDuplicates(list(unique_by))
+    return outcomes.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(unique_by))
+
+
 def start_agreement(
     outcomes: DataFrame,
     rows: DataFrame,
@@ -54,16 +65,20 @@ def start_agreement(
     attributes: Sequence[str] = (),
     available_now: bool = False,
     unique_by: Sequence[str] = (),
+    event_time: str | None = None,
+    delay: str = "1 hour",
 ) -> StreamingQuery:
     """Keep the running crosstab of all micro-batches under ``parts``.
 
     ``rows`` must be unique per record (see ``prepare_rows``). A batch is folded to one row per record before it
     meets the rows, and its counts are added to those up to the batch before. Two parts take
     turns, so a replayed batch starts from the same counts, and there are never more than two parts.
-    With ``unique_by`` an outcome that is sent again, told by those columns, counts once; the
-    stream then keeps their values as state.
+    With ``unique_by`` an outcome that is sent again, told by those columns, counts once. The stream then
+    keeps their values as state: for ever, or, with the time column ``event_time``, until the latest time seen is
+    ``delay`` past an outcome's own. An outcome may come again, or for the first time, that much late;
+    one that is later still does not count, as nothing could tell by then whether it had.
     """
-    stream = outcomes.dropDuplicates(list(unique_by)) if unique_by else outcomes
+    stream = unique_outcomes(outcomes, unique_by, event_time, delay)
     keys = [*attributes, "pillar", "judge", "human"]
 
     def publish(batch: DataFrame, batch_id: int) -> None:
@@ -73,7 +88,8 @@ def start_agreement(
             before = batch.sparkSession.read.schema(counts.schema).parquet(_part(parts, batch_id - 1))
             counts = counts.unionByName(before).groupBy(*keys).agg(F.sum("n").alias("n"))
         marked = counts.withColumn("batch_id", F.lit(batch_id).cast("long"))
-        marked.coalesce(1).write.mode("overwrite").parquet(_part(parts, batch_id))
+        # Without attributes there are at most 25 rows a pillar; with them, as many files as they need.
+        (marked if attributes else marked.coalesce(1)).write.mode("overwrite").parquet(_part(parts, batch_id))
 
     return _write(stream, "append", publish, checkpoint, available_now)
 
