@@ -9,7 +9,9 @@ from judgespark.operators import crosstab, reviewers, scored, slices
 from judgespark.plans import inputs
 from judgespark.plans import sqltext as q
 from judgespark.plans.registry import query
+from judgespark.plans.scratch import shared_folder
 from judgespark.schema import OVERALL, PILLARS, SCORES
+from judgespark.sources.slice_store import SliceStore
 
 ITEM_COLUMNS = (
     "outcome_index, record_id, pillar, judge_score, human_score, category, reviewer_name, reviewer_id, intent, topic,"
@@ -280,6 +282,19 @@ def all_dimensions(spark, sf_dir):
     return sliced_of(spark, sf_dir).select(*_SLICED_COLUMNS)
 
 
+@query("l6_all_dimensions_kept", _sliced_sql())
+def all_dimensions_kept(spark, sf_dir):
+    """The same from changes: a base and three more, the rows and outcomes of a record in different ones."""
+    rows, outcomes = base(spark, sf_dir)
+    store = SliceStore(spark, shared_folder(spark), buckets=16)
+    for change in range(1, 5):
+        mine = rows.where(F.pmod(F.xxhash64("row_index"), F.lit(4)) == change - 1)
+        store.apply(change, mine, outcomes.where(F.pmod(F.xxhash64("outcome_index"), F.lit(4)) == change - 1))
+        if change == 2:
+            store.compact()
+    return store.report(4).select(*_SLICED_COLUMNS)
+
+
 q.define(
     "by_outcome",
     ["items"],
