@@ -11,11 +11,11 @@ import json
 from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgespark.functions.text import is_emptyish, null_if_emptyish, parse_json, strip
+from judgespark.functions.text import is_emptyish, null_if_emptyish, parse_json, reasons, strip
 from judgespark.operators.ordinal import DIGEST_FANOUT, dense_ordinal, tree_digest
 from judgespark.schema import (
     CHUNK,
@@ -96,6 +96,34 @@ def mapping_errors(spark: SparkSession, mapping: Mapping[str, str]) -> DataFrame
     return spark.createDataFrame(rows, "column string, issue string")
 
 
+def mapping_table_issues(mappings: DataFrame, columns: DataFrame) -> DataFrame:
+    """``(dataset, column, issue)`` of many mappings at once.
+
+    ``mappings`` has ``(dataset, position, target, source)`` and ``columns`` the ``(dataset, column)`` that the sources
+    have. Unmapped required fields and unknown source columns, as :func:`mapping_issues` tells them for one.
+    """
+    required = F.explode(F.array(*[F.lit(f) for f in REQUIRED_FIELDS])).alias("column")
+    mapped = mappings.select("dataset", F.col("target").alias("column"))
+    missing = mappings.select("dataset").distinct().select("dataset", required).join(mapped, ["dataset", "column"], "left_anti")
+    known = columns.select("dataset", F.col("column").alias("source"))
+    unknown = mappings.join(known, ["dataset", "source"], "left_anti")
+    return missing.withColumn("issue", F.lit("missing_required_mapping")).unionByName(
+        unknown.select("dataset", F.col("target").alias("column"), F.lit("unknown_source_column").alias("issue"))
+    )
+
+
+def mapping_table_errors(mappings: DataFrame) -> DataFrame:
+    """``(dataset, column, issue)``: the rules of :func:`mapping_errors` over a table of mappings, by ``position``."""
+    blank = F.trim(F.coalesce("source", F.lit(""))) == ""
+    nth = F.row_number().over(Window.partitionBy("dataset", "source").orderBy("position", "target"))
+    checks = {
+        "unknown_target": ~F.col("target").isin(list(NORMALIZED_FIELDS)),
+        "blank_source": blank,
+        "source_used_twice": ~blank & (F.col("_nth") > 1),
+    }
+    return mappings.withColumn("_nth", nth).select("dataset", F.col("target").alias("column"), F.explode(reasons(checks)).alias("issue"))
+
+
 # --- cells --------------------------------------------------------------------
 
 
@@ -421,8 +449,9 @@ def dataset_fingerprint(rows: DataFrame, fanout: int = DIGEST_FANOUT) -> DataFra
     their number. Rows on one position count in the order of their lines.
     """
     line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in REQUIRED_FIELDS])
-    numbered = dense_ordinal(rows.select("row_index", line.alias("line")), ["row_index", "line"], "position")
-    root = tree_digest(numbered, "position", "line", fanout)
+    lines, n = rows.select("row_index", line.alias("line")), rows.count()
+    numbered = dense_ordinal(lines, ["row_index", "line"], "position", n)
+    root = tree_digest(numbered, "position", "line", fanout, n)
     return root.select(
         F.concat(F.lit("sha256:"), F.substring("digest", 1, 16)).alias("dataset_fingerprint")
     )

@@ -28,6 +28,8 @@ from judgespark.schema import (
 
 # Broadcast limits: entries, and keyword postings (keyword, entry) of the whole bank.
 MAX_BROADCAST_ENTRIES = 20_000
+# A row can share words with all entries of a bank that small.
+SMALL_BANK_ENTRIES = 1_000
 MAX_BROADCAST_POSTINGS = 1_000_000
 
 SIGNALS = ("intent", "row_topic", "row_category", "keyword_overlap")
@@ -84,10 +86,8 @@ def kb_fingerprint(kb: DataFrame, version: str) -> DataFrame:
 
     The entries' digests, in their own order, are the lines of a digest tree.
     """
-    digests = _entry_texts(kb).select(F.sha2("text", 256).alias("digest"))
-    place = F.conv(F.substring("digest", 1, 15), 16, 10).cast("long")
-    numbered = dense_ordinal(digests.withColumn("place", place), ["place", "digest"], "position")
-    root = tree_digest(numbered, "position", "digest")
+    digests, n = _entry_texts(kb).select(F.sha2("text", 256).alias("digest")), kb.count()
+    root = tree_digest(dense_ordinal(digests, ["digest"], "position", n), "position", "digest", rows=n)
     return root.select(
         F.concat(F.lit(f"{version}:sha256:"), F.substring("digest", 1, 12)).alias("kb_fingerprint")
     )
@@ -294,7 +294,9 @@ def match_rows(
         raise ValueError(f"threshold must lie in [0, 1], got {threshold}")
     names = kb.select("entry_index", "kb_id")
     lookup = F.broadcast(names) if _fits(names, MAX_BROADCAST_ENTRIES) else names
-    best = best_candidates(leading_signals(rows, kb, row_key, max_broadcast), row_key).join(lookup, "entry_index", "left")
+    # All candidates in one pass over the rows, as long as a row cannot have too many.
+    signals = candidate_signals if _fits(names, SMALL_BANK_ENTRIES) else leading_signals
+    best = best_candidates(signals(rows, kb, row_key, max_broadcast), row_key).join(lookup, "entry_index", "left")
     joined = rows.select(row_key).join(best, row_key, "left")
     # An empty bank is a fact about the bank, not about a row.
     bank_empty = kb.agg((F.count(F.lit(1)) == 0).alias("e")).scalar()

@@ -10,29 +10,35 @@ from pyspark.sql import functions as F
 
 DIGEST_FANOUT = 1000
 _DIGEST_LEVELS = 7  # fanout ** 7 exceeds every BIGINT position
-_BLOCKS = 4096
+_BLOCKS, _BLOCK_ROWS, _DRAWS = 4096, 1 << 16, 8
 _MANTISSA, _PARTS = 1 << 15, 1 << 18
 
 
-def _block(bounds: Column, key: Column) -> Column:
+def _block(bounds: Column, key: Column, blocks: int) -> Column:
     """How many of the sorted ``bounds`` lie below ``key``, by halving."""
-    halves = F.array(*[F.lit(_BLOCKS >> i) for i in range(1, _BLOCKS.bit_length())])
+    halves = F.array(*[F.lit(1 << i) for i in range(blocks.bit_length() - 1, -1, -1)])
     past = lambda at, step: (at + step <= F.size(bounds)) & (F.try_element_at(bounds, at + step) < key)
     return F.aggregate(halves, F.lit(0), lambda at, step: at + F.when(past(at, step), step).otherwise(0))
 
 
-def dense_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add the 0-based position of each row in the order of ``order``.
+def dense_ordinal(df: DataFrame, order: Sequence[str], name: str, rows: int | None = None) -> DataFrame:
+    """Add the 0-based position of each row in the order of ``order``, columns of any sortable type.
 
-    ``order[0]`` must be an integer without NULLs. Rows are ranked inside 4,096 blocks between
-    approximate quantiles of it, so blocks hold about equally many rows wherever the values lie, and
-    block offsets come from a running sum over one count per block. Rows with one value of
-    ``order[0]`` share a block.
+    Rows are ranked inside blocks of some 65,536, 4,096 at most, and block offsets come from a running sum over one
+    count per block. Blocks are cut at rows of a sample, drawn once and then part of the plan, so a
+    recomputed task puts every row where it was. They hold about equally many rows whatever the values
+    are; only rows that agree on all of ``order`` share one in any case. ``rows``, if known, saves a count.
     """
-    key = F.col(order[0])
-    cuts = [i / _BLOCKS for i in range(1, _BLOCKS)]
-    bounds = df.agg(F.array_distinct(F.percentile_approx(key, cuts, 10 * _BLOCKS)).alias("b")).scalar()
-    blocked = df.withColumn("_bounds", bounds).withColumn("_block", _block(F.col("_bounds"), key)).drop("_bounds")
+    keys = df.select(*order)
+    n = keys.count() if rows is None else rows
+    blocks = min(_BLOCKS, -(-n // _BLOCK_ROWS))
+    if blocks <= 1:
+        return df.withColumn(name, (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
+    drawn = keys.sample(min(1.0, _DRAWS * blocks / n), seed=1).orderBy(*order).collect()
+    cuts = [drawn[i * len(drawn) // blocks] for i in range(1, blocks)] if drawn else []
+    held = df.sparkSession.createDataFrame(cuts, keys.schema)
+    bounds = held.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("b")).scalar()
+    blocked = df.withColumn("_bounds", bounds).withColumn("_block", _block(F.col("_bounds"), F.struct(*order), blocks)).drop("_bounds")
     counts = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
@@ -45,20 +51,13 @@ def dense_ordinal(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     )
 
 
-def global_ordinal(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Add the 0-based position of each row by a text column: ranks by its first characters' codes, then by it."""
-    code = lambda i: F.coalesce(F.ascii(F.substring(column, i, 1)).cast("long"), F.lit(0))
-    # Three characters as one number that grows with the text.
-    place = (F.shiftleft(code(1), 42) + F.shiftleft(code(2), 21) + code(3)).alias("_place")
-    return dense_ordinal(df.select("*", place), ["_place", column], name).drop("_place")
-
-
-def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOUT) -> DataFrame:
+def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOUT, rows: int | None = None) -> DataFrame:
     """SHA-256 over ``text`` in ``index`` order as a tree with ``fanout`` children per node.
 
     ``index`` holds dense positions from 0 (see :func:`dense_ordinal`). A node hashes its children's
-    lines joined by line breaks; a node above the leaves with one child passes its digest on. The
-    levels are enough for every BIGINT position. Returns one row ``digest``.
+    lines joined by line breaks; a node above the leaves with one child passes its digest on. There are
+    levels enough for every BIGINT position, or, with their number known, for ``rows``: more would
+    only pass the root on. Returns one row ``digest``.
     """
 
     def fold(children: DataFrame, leaf: bool) -> DataFrame:
@@ -74,7 +73,10 @@ def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOU
         )
 
     level = fold(df.select(F.col(index).alias("_pos"), F.col(text).alias("_line")), leaf=True)
-    for _ in range(_DIGEST_LEVELS - 1):
+    levels = _DIGEST_LEVELS
+    if rows is not None:
+        levels = next(i for i in range(1, 65) if fanout**i >= rows)
+    for _ in range(levels - 1):
         level = fold(level, leaf=False)
     return level.agg(F.coalesce(F.max("_line"), F.sha2(F.lit(""), 256)).alias("digest"))
 

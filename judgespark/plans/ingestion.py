@@ -381,13 +381,11 @@ def dataset_fingerprint(spark, sf_dir):
     return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir))
 
 
-_GAPS = "row_index % 7 <> 3 AND row_index % 1000 < 900"
-
-
-@query("i18_fingerprint_with_gaps", q.with_ctes(fingerprint_sql(_GAPS), "eval_rows"))
+@query("i18_fingerprint_with_gaps", q.with_ctes(fingerprint_sql(), "eval_rows"))
 def fingerprint_with_gaps(spark, sf_dir):
-    """Positions as failed rows leave them."""
-    return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir).where(_GAPS))
+    """All rows, on positions with gaps of several sizes; the digest is that of the dense ones."""
+    gaps = F.expr("row_index * 3 + row_index DIV 900 * 10000")
+    return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir).withColumn("row_index", gaps))
 
 
 @query("i18_fingerprint_far_positions", q.with_ctes(fingerprint_sql(), "eval_rows"))
@@ -508,31 +506,70 @@ def empty_envelope(spark, sf_dir):
     return turns.agg(F.count(F.lit(1)).alias("n"), F.lit(rows).cast("int").alias("rows"))
 
 
-_BAD_MAPPING = {"record_id": "conv_id", "user_input": "text", "agent_output": "reply", "turn_index": "turn"}
+def conversation_mappings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Each conversation as a dataset of its own: a mapping onto one text column per role, and the columns it has."""
+    turns = inputs.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("dataset"), "role")
+    column = F.explode(F.array(F.lit("conv_id"), F.concat(F.lit("text_"), F.col("role")))).alias("column")
+    mappings = turns.select("dataset").distinct().selectExpr(
+        "dataset",
+        "inline(filter(array("
+        + ", ".join(
+            f"struct({k} AS position, '{t}' AS target, '{source}' AS source, {when} AS wanted)"
+            for k, (t, source, when) in enumerate(
+                [
+                    ("record_id", "conv_id", "true"),
+                    ("user_input", "text_user", "true"),
+                    ("agent_output", "text_assistant", "true"),
+                    ("category", "text_system", "dataset % 3 <> 0"),
+                    ("intent", " ", "dataset % 4 = 0"),
+                    ("topic", "text_user", "dataset % 5 = 0"),
+                    ("mood", "conv_id", "dataset % 7 = 0"),
+                ]
+            )
+        )
+        + "), m -> m.wanted))",
+    ).drop("wanted")
+    return mappings, turns.select("dataset", column).distinct()
+
+
+q.define(
+    "mappings",
+    [],
+    """SELECT dataset, position, target, source FROM (SELECT DISTINCT conv_id AS dataset FROM conversations) CROSS JOIN (VALUES
+  (0, 'record_id', 'conv_id', 1, TRUE), (1, 'user_input', 'text_user', 1, TRUE), (2, 'agent_output', 'text_assistant', 1, TRUE),
+  (3, 'category', 'text_system', 3, FALSE), (4, 'intent', ' ', 4, TRUE), (5, 'topic', 'text_user', 5, TRUE),
+  (6, 'mood', 'conv_id', 7, TRUE)) AS m(position, target, source, n, at_zero) WHERE (dataset % n = 0) = at_zero""",
+)
 
 
 @query(
     "i13_mapping_issues",
-    "SELECT 'category' AS \"column\", 'missing_required_mapping' AS issue WHERE (SELECT count(*) FROM conversations) >= 0"
-    " UNION ALL SELECT 'agent_output', 'unknown_source_column' WHERE NOT EXISTS (SELECT 1 FROM (DESCRIBE conversations)"
-    " WHERE column_name = 'reply')",
+    q.with_ctes(
+        """SELECT dataset, target AS "column", 'missing_required_mapping' AS issue
+FROM (SELECT DISTINCT dataset FROM mappings) CROSS JOIN (VALUES ('record_id'), ('user_input'), ('agent_output'), ('category')) AS r(target)
+ANTI JOIN mappings USING (dataset, target)
+UNION ALL
+SELECT dataset, target, 'unknown_source_column' FROM mappings
+ANTI JOIN (SELECT DISTINCT conv_id AS dataset, unnest(['conv_id', 'text_' || role]) AS source FROM conversations) USING (dataset, source)""",
+        "mappings",
+    ),
 )
 def mapping_issues(spark, sf_dir):
-    columns = inputs.table(spark, sf_dir, "conversations").columns
-    return ingest.mapping_report(spark, _BAD_MAPPING, columns).select("column", "issue")
+    return ingest.mapping_table_issues(*conversation_mappings(spark, sf_dir))
 
 
 @query(
     "i14_mapping_rules",
-    "SELECT column_name AS \"column\", 'unknown_target' AS issue FROM (DESCRIBE conversations)"
-    " WHERE column_name IN ('conv_id', 'turn', 'role', 'text')"
-    " UNION ALL VALUES ('intent', 'blank_source'), ('topic', 'source_used_twice')",
+    q.with_ctes(
+        """SELECT dataset, target AS "column", 'unknown_target' AS issue FROM mappings WHERE target = 'mood'
+UNION ALL SELECT dataset, target, 'blank_source' FROM mappings WHERE trim(source) = ''
+UNION ALL SELECT dataset, target, 'source_used_twice' FROM mappings m WHERE trim(source) <> '' AND EXISTS (
+  SELECT 1 FROM mappings e WHERE e.dataset = m.dataset AND e.source = m.source AND e.position < m.position)""",
+        "mappings",
+    ),
 )
 def mapping_rules(spark, sf_dir):
-    """The table's own column names are no targets; a blank source and one used twice are reported too."""
-    columns = inputs.table(spark, sf_dir, "conversations").columns
-    mapping = {**{c: c for c in columns}, "intent": " ", "category": "kind", "topic": "kind"}
-    return ingest.mapping_errors(spark, mapping)
+    return ingest.mapping_table_errors(conversation_mappings(spark, sf_dir)[0])
 
 
 @query(

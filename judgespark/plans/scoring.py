@@ -943,8 +943,9 @@ def kb_dir(spark, sf_dir):
     """The bank as a directory of one file per entry, beside a ``_meta.json`` and a draft that do not count."""
     path = shared_folder(spark)
     fields = [f.name for f in KB_ENTRY.fields]
-    one_file = kb_of(spark, sf_dir).coalesce(1).sortWithinPartitions("entry_index").select(fields)
-    one_file.write.option("maxRecordsPerFile", 1).json(path)
+    # Names follow the tasks, and these the entries, in ranges.
+    entries = kb_of(spark, sf_dir).repartitionByRange("entry_index").sortWithinPartitions("entry_index").select(fields)
+    entries.write.option("maxRecordsPerFile", 1).json(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name, text in (("_meta.json", '{"version": "dir.v7"}'), ("_draft.json", '{"kb_id": "draft"}')):
         target = jvm.org.apache.hadoop.fs.Path(path, name)

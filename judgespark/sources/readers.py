@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from judgespark.operators.ordinal import global_ordinal
+from judgespark.operators.ordinal import dense_ordinal
 from judgespark.schema import KB_ENTRY
 
 # File extension -> reader.
@@ -213,7 +213,7 @@ def load_kb_dir(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
     """
     entries = spark.read.schema(KB_ENTRY).json(path, multiLine=True, mode="FAILFAST", pathGlobFilter="*.json")
     named = entries.select("*", F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file_name"))
-    ordered = global_ordinal(named, "file_name", "entry_index")
+    ordered = dense_ordinal(named, ["file_name"], "entry_index")
     return _with_defaults(ordered), _meta_version(spark, path)
 
 

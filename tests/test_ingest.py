@@ -341,3 +341,29 @@ def test_kb_directory(spark, tmp_path):
     assert rows[0].version == "1.0" and rows[0].required_elements == []
     write(tmp_path / "_meta.json", '{"version": "team.v2"}')
     assert readers.load_kb_dir(spark, str(tmp_path))[1] == "team.v2"
+
+
+def test_many_mappings_at_once(spark):
+    one = {"record_id": "id", "user_input": "q", "category": "q", "mood": "id", "topic": " "}
+    rows = [("a", i, t, s) for i, (t, s) in enumerate(one.items())] + [("b", i, f, f) for i, f in enumerate(ingest.REQUIRED_FIELDS)]
+    mappings = spark.createDataFrame(rows, "dataset string, position int, target string, source string")
+    columns = spark.createDataFrame([("a", "id"), ("a", " "), *[("b", f) for f in ingest.REQUIRED_FIELDS]], "dataset string, column string")
+    issues = {tuple(r) for r in ingest.mapping_table_issues(mappings, columns).collect()}
+    assert issues == {("a", c, i) for c, i, _ in ingest.mapping_issues(one, ["id", " "])}
+    errors = {tuple(r) for r in ingest.mapping_table_errors(mappings).collect()}
+    assert errors == {("a", *r) for r in ingest.mapping_errors(spark, one).collect()}
+    assert ingest.mapping_table_issues(mappings.limit(0), columns).count() == 0
+
+
+def test_positions_by_blocks_cut_at_samples(spark, monkeypatch):
+    from judgespark.operators import ordinal
+
+    monkeypatch.setattr(ordinal, "_BLOCK_ROWS", 50)
+    values = [("part-%05d" % (i * 7919 % 1000), i % 3) for i in range(1000)] + [(None, 5), ("part-", 1), ("part-", 1)]
+    df = spark.createDataFrame(values, "name string, x int").repartition(5)
+    got = [(r.name, r.x) for r in sorted(ordinal.dense_ordinal(df, ["name", "x"], "at").collect(), key=lambda r: r.at)]
+    assert got == sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
+    assert sorted(r.at for r in ordinal.dense_ordinal(df, ["name", "x"], "at").collect()) == list(range(1003))
+    lines = df.selectExpr("coalesce(name, '') AS line", "CAST(x AS STRING) AS y")
+    numbered = ordinal.dense_ordinal(lines, ["line", "y"], "at")
+    assert ordinal.tree_digest(numbered, "at", "line", 10, 1003).first() == ordinal.tree_digest(numbered, "at", "line", 10).first()
