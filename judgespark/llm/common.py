@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -154,8 +155,30 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+_SEEDS = np.array([0x6A09E667F3BCC909, 0xBB67AE8584CAA73B], np.uint64)
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG_WORD = 64
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    return Rolling(byte_symbols(data, which), which).of(starts, ends)
+    """64-bit names of words: eight bytes after eight are mixed in, so words of up to eight bytes and one length never
+    share a name, and no kind of pattern does; words above 64 bytes have a keyed digest."""
+    size = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+    out = mix(size.astype(np.uint64) ^ _SEEDS[which])
+    at, some = starts, np.flatnonzero(size <= _LONG_WORD)
+    left = size
+    while len(some):
+        out[some] = mix(out[some] ^ (eights[at[some]] & _LOW[np.minimum(left[some], 8)]))
+        at, left = at + 8, left - 8
+        some = some[left[some] > 0]
+    long = np.flatnonzero(size > _LONG_WORD)
+    if len(long):
+        key = int(_SEEDS[which]).to_bytes(8, "little")
+        digests = [blake2b(data[a:b].tobytes(), digest_size=8, key=key).digest() for a, b in zip(starts[long], ends[long])]
+        out[long] = np.frombuffer(b"".join(digests), "<u8")
+    return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -186,8 +186,13 @@ def _rest(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int)
     return dealt.join(sets, "id").groupBy("key", "cell").applyInPandas(_near(percent), "a long, b long")
 
 
-def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs`` (a stored table)."""
+def near_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, bands: int | None = None) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs`` (a stored table).
+
+    By default there are bands enough that a pair right at ``percent`` shares no bucket once in a million (``MISS``),
+    and more similar ones more rarely; a pair that shares one is never lost.
+    """
+    bands = bands_for(percent) if bands is None else bands
     rows = stored(signatures(docs, size, bands))
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stored(

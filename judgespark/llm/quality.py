@@ -142,26 +142,32 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, latent: i
     return Space(rarity, axes, vectors, labels.astype(np.float64))
 
 
+_TABLE = "doc_id long, label double, columns array<int>, weights array<float>"
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of each labelled document, the least of a task where an id repeats, so a task holds one for each label."""
+    held: dict[tuple[int, float], tuple[list, list]] = {}
     for rows, data, offsets in steps(batches):
         column, weight, bounds = terms(data, offsets)
-        bounds = pa.array(bounds.astype(np.int32))
-        yield record(
-            {
-                "label": rows.column(0),
-                "columns": pa.ListArray.from_arrays(bounds, pa.array(column)),
-                "weights": pa.ListArray.from_arrays(bounds, pa.array(weight)),
-            }
-        )
+        for i, key in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+            mine = column[bounds[i] : bounds[i + 1]].tolist(), weight[bounds[i] : bounds[i + 1]].tolist()
+            held[key] = min(held.get(key, mine), mine)
+    if held:
+        ids, labels = zip(*held)
+        columns, weights = zip(*held.values())
+        yield record({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(labels, pa.float64()), "columns": pa.array(columns, pa.list_(pa.int32())), "weights": pa.array(weights, pa.list_(pa.float32()))})
 
 
 def learn(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS, latent: int = LATENT) -> Space:
-    """Fit on at most ``fit_docs`` of ``labels (doc_id, label)``. A text has at most ``COLUMNS`` terms, so what
-    comes to the driver is bounded, however long the texts are."""
+    """Fit on at most ``fit_docs`` of ``labels (doc_id, label)``. A text has at most ``COLUMNS`` terms, and of rows
+    with one id only the one with the least terms counts, so what comes to the driver is bounded,
+    however long the texts are and however often an id repeats."""
     some = labels.where("label IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("label").cast("double").alias("label"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_docs)
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("label", "text")
-    table = texts.mapInArrow(_features, "label double, columns array<int>, weights array<float>").toArrow()
+    some = some.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_docs)
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "label", "text")
+    found = texts.mapInArrow(_features, _TABLE).groupBy("doc_id", "label").agg(F.min(F.struct("columns", "weights")).alias("f"))
+    table = found.select("doc_id", "label", "f.*").orderBy("doc_id", "label").select("label", "columns", "weights").toArrow()
     rows = list(zip(*(_split(table.column(c).combine_chunks()) for c in ("columns", "weights"))))
     return fit(rows, table.column("label").to_numpy(), latent)
 

@@ -21,3 +21,11 @@ def sample_texts(sf_dir=SF_DIR):
 
     table = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"])
     return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
+
+
+def alike_modulo_powers_of_two():
+    """Two words of 1,024 letters that polynomial hashes modulo powers of two take for one."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))

@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from judgespark.llm import hmm
+from judgespark.llm import common, hmm
 from judgespark.llm.queries import hash_of_id
-from llm.helpers import DOCS, docs, sample_texts
+from llm.helpers import DOCS, alike_modulo_powers_of_two, docs, sample_texts
 
 
 def model(symbols, states, seed=0):
@@ -134,16 +134,33 @@ def test_no_training_rows_repeats_nulls_and_empty_table(spark):
 def test_training_settles_on_all_texts(spark):
     """A rare kind of texts, too few to be in any sample, is learned too: another round gains next to nothing."""
     rng = np.random.default_rng(4)
-    common = [" ".join(rng.choice(["a", "b", "c", "d"], 12)) for _ in range(2000)]
+    usual = [" ".join(rng.choice(["a", "b", "c", "d"], 12)) for _ in range(2000)]
     rare = ["u v w x y z " * 60] * 12
-    texts = spark.createDataFrame([(i, t) for i, t in enumerate(common + rare)], "_order long, text string")
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(usual + rare)], "_order long, text string")
     counted = texts.select("text").mapInArrow(hmm._counts, "word long, n long, kind int")
     vocab = hmm.vocabulary(counted.groupBy("word").agg(F.sum("n").alias("n"), F.min("kind").alias("kind")))
     m, logs = hmm.train(texts, vocab), []
-    data = [t.encode() for t in common + rare]
+    data = [t.encode() for t in usual + rare]
     t = hmm.tokens(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
     for _ in range(2):
         counts, log = hmm.expected_counts(m, vocab.look_up(t)[0], *hmm._stretches(t, hmm.STRETCH))
         m = hmm.from_counts(counts, vocab.base())
         logs.append(log)
     assert logs[1] - logs[0] <= 2 * 1e-3 * abs(logs[0])
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    a, b = alike_modulo_powers_of_two()
+    got = {r.doc_id: r for r in hmm.scores(docs(spark, {1: f"{a} x", 2: f"{b} x"}), F.col("doc_id") == 1).collect()}
+    assert (got[1].n_known, got[2].n_known) == (3, 2)
+
+
+def test_names_of_words():
+    words_ = [bytes([97 + i % 3]) * n for i in range(3) for n in (1, 7, 8, 9, 16, 63, 64, 65, 500)] + [b"ab\0", b"ab", b"ab\0\0"]
+    data = np.frombuffer(b" ".join(words_), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words_]) - 1
+    starts = ends - [len(w) for w in words_]
+    one, two = (common.word_hashes(data, starts, ends, k) for k in (0, 1))
+    assert len(set(one.tolist())) == len(set(words_)) and not set(one.tolist()) & set(two.tolist())
+    assert (common.word_hashes(data[5:], starts[9:] - 5, ends[9:] - 5) == one[9:]).all()
+    assert len(common.word_hashes(data[:0], starts[:0], ends[:0])) == 0

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from judgespark.llm.components import components
+from judgespark.llm import near_dedup
 from judgespark.llm.near_dedup import near_groups
-from llm.helpers import DOCS, docs, sample_texts
+from llm.helpers import DOCS, alike_modulo_powers_of_two, by_id, docs, sample_texts
 
 
 def shingles(text):
@@ -104,3 +105,14 @@ def test_components(spark, n):
         root[max(x, y)] = min(x, y)
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for e in edges if e[0] != e[1] for x in e}
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    a, b = alike_modulo_powers_of_two()
+    got = by_id(near_dedup.near_groups(docs(spark, [a, b, a])))
+    assert [got[i]["component_id"] for i in range(3)] == [0, 1, 0]
+
+
+def test_bands_miss_a_pair_at_the_threshold_once_in_a_million():
+    for percent in (60, 80, 85, 95):
+        assert (1 - (percent / 100) ** near_dedup.BAND_ROWS) ** near_dedup.bands_for(percent) <= near_dedup.MISS

@@ -52,7 +52,7 @@ def test_exact_keeps_the_last_of_equal_texts(stages):
 
 def test_near_keeps_the_first_of_each_group(stages):
     _, before, after = stages[2]
-    groups = brute_near({r["doc_id"]: r["text"] for r in rows(before)})
+    groups = brute_near({r["doc_id"]: r["text"] for r in rows(before)}, percent=corpus_pipeline.NEAR_PERCENT)
     assert sorted(r["doc_id"] for r in rows(after)) == sorted(i for i, (_, c) in groups.items() if i == c)
 
 

@@ -65,3 +65,10 @@ def test_nulls_empty_and_long_texts_repeats_clashes_and_empty_tables(spark):
     none = quality.learn(df, labels.where("false"))
     assert {r._score for r in quality.scores(df, none).collect()} == {0.5}
     assert quality.scores(spark.createDataFrame([], DOCS), space).count() == 0
+
+
+def test_sample_is_bounded_where_an_id_repeats(spark):
+    df = docs(spark, {1: "some words here"}).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("k").repartition(4)
+    df = df.unionByName(docs(spark, {2: "other words there"}))
+    labels = spark.createDataFrame([(1, 0), (2, 1)] + [(1, 0)] * 30, "doc_id long, label int")
+    assert sorted(quality.learn(df, labels, fit_docs=20).labels) == [0.0, 1.0]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from judgespark.llm import substring_dedup as sd
-from llm.helpers import DOCS, docs, sample_texts
+from llm.helpers import DOCS, alike_modulo_powers_of_two, docs, sample_texts
 
 
 def brute(texts, window):
@@ -90,3 +90,9 @@ def test_every_plain_window_has_an_anchor(window):
         if letters > 3:
             assert (anchor >= 0).all()
     assert sd.rounds_for(20) == 1 and sd.rounds_for(200) > 2
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    a, b = alike_modulo_powers_of_two()
+    rest = [f"w{i}" for i in range(19)]
+    check(spark, [" ".join([a, *rest]), " ".join([b, *rest])])
