@@ -5,7 +5,8 @@ symbols of their own, every other word is one of a few classes of endings; withi
 Latent states emit symbols and follow each other; they are trained by Baum-Welch:
 each step of the corpus gives expected counts of its own stretches, which are summed over partitions, and
 every pass reads all training texts, and passes go on until their summed log likelihood settles
-(``SETTLED``). The first model is seeded noise around the shares of the symbols. A text's likelihood is exact, by the scaled forward recursion over all of
+(``SETTLED``). Texts of more than ``STRETCH`` tokens are trained on in stretches, whose first states have a
+distribution of their own. The first model is seeded noise around the shares of the symbols. A text's likelihood is exact, by the scaled forward recursion over all of
 its tokens. Counts of words cover the whole corpus. Words above a share of all tokens, of which
 there can be ``1 / share``, are known in every task; all others meet their counts in a shuffle.
 
@@ -31,7 +32,7 @@ STATES, CLASSES = 12, 256
 SETTLED = 1e-3  # gain of a pass, as a share of the log likelihood, at which training ends
 SYMBOL_SHARE, SYMBOL_LEAST, KNOWN_SHARE = 1e-5, 5, 5e-7
 STEP_BYTES = 2 << 20  # of text in a step, which holds a few numbers for each token and state
-SYMBOL_BYTES = 1 << 20  # of symbols in a step of training, four a token
+SYMBOL_BYTES = 2 << 20  # of symbols in a step of training, four a token
 STRETCH = 2048  # tokens that one training sequence has at most; the next one follows from any state
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _SMOOTH, _FOLLOW = 10.0, 0.1
@@ -152,12 +153,12 @@ def _by_time(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def expected_counts(model: Model, symbol: np.ndarray, first: np.ndarray, begins: np.ndarray):
     """Baum-Welch counts of sequences: of start, any, follow and emit, and the log likelihood.
 
-    ``begins`` tells which sequences begin a text.
+    ``begins`` tells which sequences begin a text. Tables of the model's precision, sums in double precision.
     """
     order, begin, token = _by_time(first)
     seen = symbol[token]
     emit = model.emit[seen]
-    alpha, scale = np.empty_like(emit), np.empty(len(seen))
+    alpha, scale = np.empty_like(emit), np.empty(len(seen), emit.dtype)
     steps_ = len(begin) - 1
     prior = np.where(begins[order][:, None], model.start, model.any)
     for t in range(steps_):
@@ -176,7 +177,7 @@ def expected_counts(model: Model, symbol: np.ndarray, first: np.ndarray, begins:
         beta = ahead[c:d] @ back
         gamma[a : a + n] *= beta
         ahead[a : a + n] *= beta
-    follow = np.zeros_like(model.follow)
+    follow = np.zeros(model.follow.shape)
     for t0 in range(0, steps_ - 1, 256):  # pairs of neighbours, a stretch of times at once
         t1 = min(t0 + 256, steps_ - 1)
         later = np.arange(begin[t0 + 1], begin[t1 + 1])
@@ -185,10 +186,11 @@ def expected_counts(model: Model, symbol: np.ndarray, first: np.ndarray, begins:
     follow *= model.follow
     texts = begins[order][: begin[1] if steps_ else 0]
     head = gamma[: len(texts)]
-    counts = np.empty_like(model.emit)
+    counts = np.empty(model.emit.shape)
     for k in range(counts.shape[1]):
         counts[:, k] = np.bincount(seen, gamma[:, k], minlength=len(counts))
-    return Model(head[texts].sum(0), gamma.sum(0), follow, counts), float(np.log(scale).sum())
+    sums = head[texts].sum(0, dtype=np.float64), gamma.sum(0, dtype=np.float64)
+    return Model(*sums, follow, counts), float(np.log(scale).sum(dtype=np.float64))
 
 
 def log_likelihoods(model: Model, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -247,11 +249,11 @@ def _expect(model: Model):
     """Expected counts of a task: ``(kind, state, to, n)``; kinds 0 start, 1 any, 2 follow, 3 emit, 4 log likelihood."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, log = None, 0.0
+        total, log, half = None, 0.0, Model(*(x.astype(np.float32) for x in model))
         for _, data, offsets in steps(batches, "symbols", SYMBOL_BYTES):
             first = offsets // 4
             t = Tokens(data.view(np.int32), data[:0], first)
-            counts, gain = expected_counts(model, t.hash, *_stretches(t, STRETCH))
+            counts, gain = expected_counts(half, t.hash, *_stretches(t, STRETCH))
             total = counts if total is None else Model(*(a + b for a, b in zip(total, counts)))
             log += gain
         if total is None:
