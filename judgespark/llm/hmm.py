@@ -158,54 +158,56 @@ def expected_counts(model: Model, symbol: np.ndarray, first: np.ndarray, begins:
     order, begin, token = _by_time(first)
     seen = symbol[token]
     emit = model.emit[seen]
-    alpha, scale = np.empty_like(emit), np.empty(len(seen), emit.dtype)
-    steps_ = len(begin) - 1
-    prior = np.where(begins[order][:, None], model.start, model.any)
+    kind, states = emit.dtype, emit.shape[1]
+    ones, alpha, scale = np.ones(states, kind), np.empty_like(emit), np.empty(len(seen), kind)
+    at = begin.tolist()
+    steps_ = len(at) - 1
+    texts = begins[order][: at[1] if steps_ else 0]
     for t in range(steps_):
-        a, b = begin[t], begin[t + 1]
-        before = prior[: b - a] if not t else alpha[begin[t - 1] : begin[t - 1] + b - a] @ model.follow
-        now = before * emit[a:b]
-        scale[a:b] = s = now.sum(1)
-        np.divide(now, s[:, None], out=alpha[a:b])
-    # Backward: `ahead` holds emission times beta over scale, what a state sees of the next token.
-    ahead = emit / scale[:, None]
-    gamma = alpha.copy()
-    back = model.follow.T.copy()
+        now = alpha[at[t] : at[t + 1]]
+        if t:
+            np.matmul(alpha[at[t - 1] : at[t - 1] + len(now)], model.follow, out=now)
+        else:
+            now[:] = np.where(texts[:, None], model.start, model.any)
+        now *= emit[at[t] : at[t + 1]]
+        s = np.matmul(now, ones, out=scale[at[t] : at[t + 1]])
+        now /= s[:, None]
+    # Backward: `emit` becomes emission times beta over scale, what a state sees of the next token; `alpha` becomes gamma.
+    emit /= scale[:, None]
+    back, follow = model.follow.T.copy(), np.zeros((states, states))
+    room, pairs = np.empty((texts.size, states), kind), np.empty((states, states), kind)
     for t in range(steps_ - 2, -1, -1):
-        a, c, d = begin[t], begin[t + 1], begin[t + 2]
-        n = d - c
-        beta = ahead[c:d] @ back
-        gamma[a : a + n] *= beta
-        ahead[a : a + n] *= beta
-    follow = np.zeros(model.follow.shape)
-    for t0 in range(0, steps_ - 1, 256):  # pairs of neighbours, a stretch of times at once
-        t1 = min(t0 + 256, steps_ - 1)
-        later = np.arange(begin[t0 + 1], begin[t1 + 1])
-        time = np.repeat(np.arange(t0, t1), np.diff(begin[t0 + 1 : t1 + 2]))
-        follow += alpha[later - begin[time + 1] + begin[time]].T @ ahead[later]
+        later = emit[at[t + 1] : at[t + 2]]
+        n = len(later)
+        beta = np.matmul(later, back, out=room[:n])
+        now = alpha[at[t] : at[t] + n]
+        follow += np.matmul(now.T, later, out=pairs)
+        now *= beta
+        emit[at[t] : at[t] + n] *= beta
     follow *= model.follow
-    texts = begins[order][: begin[1] if steps_ else 0]
-    head = gamma[: len(texts)]
     counts = np.empty(model.emit.shape)
-    for k in range(counts.shape[1]):
-        counts[:, k] = np.bincount(seen, gamma[:, k], minlength=len(counts))
-    sums = head[texts].sum(0, dtype=np.float64), gamma.sum(0, dtype=np.float64)
-    return Model(*sums, follow, counts), float(np.log(scale).sum(dtype=np.float64))
+    for k in range(states):
+        counts[:, k] = np.bincount(seen, alpha[:, k], minlength=len(counts))
+    head = alpha[: len(texts)][texts].sum(0, dtype=np.float64)
+    return Model(head, counts.sum(0), follow, counts), float(np.log(scale).sum(dtype=np.float64))
 
 
 def log_likelihoods(model: Model, symbol: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The natural log of each sequence's probability, by the scaled forward recursion."""
     order, begin, token = _by_time(first)
     out = np.zeros(len(first) - 1)
-    state, seen, log = None, symbol[token], np.zeros(len(first) - 1)
-    for t in range(len(begin) - 1):
-        a, b = begin[t], begin[t + 1]
-        before = model.start if state is None else state[: b - a] @ model.follow
-        now = before * model.emit[seen[a:b]]
-        s = now.sum(1)
-        log[: b - a] += np.log(s)
-        state = now / s[:, None]
-    out[order] = log
+    seen, scale, ones, at = symbol[token], np.empty(len(token)), np.ones(model.emit.shape[1]), begin.tolist()
+    state = None
+    for t in range(len(at) - 1):
+        a, b = at[t], at[t + 1]
+        now = model.emit[seen[a:b]]
+        now *= model.start if state is None else state[: b - a] @ model.follow
+        s = np.matmul(now, ones, out=scale[a:b])
+        now /= s[:, None]
+        state = now
+    # Tokens lie by time, sequences in one order at every time: a token's sequence is its place there.
+    which = np.arange(len(scale)) - np.repeat(begin[:-1], np.diff(begin))
+    out[order] = np.bincount(which, np.log(scale), minlength=len(out))
     return out
 
 

@@ -106,6 +106,28 @@ def check(spark, texts):
     return got
 
 
+def test_scores_equal_a_plain_forward_recursion(spark, monkeypatch):
+    """The whole score, shares inside classes included, token by token from the model that was trained."""
+    texts, seen, train = {i: f"the w{i % 9} w{i % 50} x{i} the É{i % 7}" for i in range(150)} | {150: None, 151: "the " * 3000}, [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda rows, vocab, *a: seen.append((vocab, train(rows, vocab, *a))) or seen[0][1])
+    got = {r.doc_id: r.score for r in hmm.scores(docs(spark, texts), hash_of_id(7) != 2).collect()}
+    (vocab, m), data = seen[0], {i: (t or "").encode() for i, t in texts.items()}
+    parts = {i: hmm.tokens(np.frombuffer(d, np.uint8), np.array([0, len(d)])) for i, d in data.items()}
+    n = Counter(h for i, t in parts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for h in t.hash.tolist())
+    kind = {h: k for t in parts.values() for h, k in zip(t.hash.tolist(), t.kind.tolist())}
+    own = {h for h in n if n[h] > max(sum(n.values()) * hmm.SYMBOL_SHARE, hmm.SYMBOL_LEAST - 1)}
+    mass = dict.fromkeys(range(hmm.CLASSES), 1)
+    for h in n.keys() - own:
+        mass[kind[h]] += n[h] + 1
+    for i, t in parts.items():
+        state, log = m.start, 0.0
+        for at, (h, s) in enumerate(zip(t.hash.tolist(), vocab.look_up(t)[0].tolist())):
+            assert (s < vocab.symbols) == (h in own)
+            state = (state if not at else state @ m.follow) * m.emit[s] * (1 if h in own else (n[h] + 1) / mass[kind[h]])
+            log, state = log + math.log10(state.sum()), state / state.sum()
+        assert got[i] == pytest.approx(log, rel=1e-9)
+
+
 def test_sample_beats_the_base_on_held_out_texts(spark):
     got = check(spark, sample_texts())
     held = [r for r in got.values() if not r.trained]
