@@ -441,6 +441,17 @@ def preview(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.orderBy("row_index").limit(n)
 
 
+def fingerprint_lines(rows: DataFrame) -> DataFrame:
+    """``(row_index, line)``: the required columns of each row, tab-joined."""
+    line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in REQUIRED_FIELDS])
+    return rows.select("row_index", line.alias("line"))
+
+
+def fingerprint_of(root: DataFrame) -> DataFrame:
+    """The fingerprint as it is shown, from the root's ``digest``."""
+    return root.select(F.concat(F.lit("sha256:"), F.substring("digest", 1, 16)).alias("dataset_fingerprint"))
+
+
 def dataset_fingerprint(rows: DataFrame, fanout: int = DIGEST_FANOUT) -> DataFrame:
     """Content and order fingerprint over the required columns, one row.
 
@@ -448,10 +459,6 @@ def dataset_fingerprint(rows: DataFrame, fanout: int = DIGEST_FANOUT) -> DataFra
     their tab-joined lines are digested as a tree with ``fanout`` children per node, whatever
     their number. Rows on one position count in the order of their lines.
     """
-    line = F.concat_ws("\t", *[F.coalesce(F.col(c), F.lit("")) for c in REQUIRED_FIELDS])
-    lines, n = rows.select("row_index", line.alias("line")), rows.count()
+    lines, n = fingerprint_lines(rows), rows.count()
     numbered = dense_ordinal(lines, ["row_index", "line"], "position", n)
-    root = tree_digest(numbered, "position", "line", fanout, n)
-    return root.select(
-        F.concat(F.lit("sha256:"), F.substring("digest", 1, 16)).alias("dataset_fingerprint")
-    )
+    return fingerprint_of(tree_digest(numbered, "position", "line", fanout, n))

@@ -51,6 +51,20 @@ def dense_ordinal(df: DataFrame, order: Sequence[str], name: str, rows: int | No
     )
 
 
+def digest_nodes(children: DataFrame, fanout: int, leaf: bool, keep_from: int | None = None) -> DataFrame:
+    """The parents of the nodes ``(pos, line)`` of one level, as ``(pos, line)``; see :func:`tree_digest`.
+
+    With ``keep_from``, parents from that position on also have their ``children``, others null there.
+    """
+    held = F.array_sort(F.collect_list(F.struct("pos", "line")))
+    joined = F.sha2(F.array_join(F.transform(held, lambda x: x["line"]), "\n"), 256)
+    digest = joined if leaf else F.when(F.count(F.lit(1)) == 1, F.max("line")).otherwise(joined)
+    node = F.floor(F.col("pos") / fanout).alias("_node")
+    kept = [] if keep_from is None else [F.when(F.first("pos") >= keep_from * fanout, held).alias("children")]
+    nodes = children.groupBy(node).agg(digest.alias("line"), *kept)
+    return nodes.select(F.col("_node").alias("pos"), "line", *(["children"] if kept else []))
+
+
 def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOUT, rows: int | None = None) -> DataFrame:
     """SHA-256 over ``text`` in ``index`` order as a tree with ``fanout`` children per node.
 
@@ -59,26 +73,13 @@ def tree_digest(df: DataFrame, index: str, text: str, fanout: int = DIGEST_FANOU
     levels enough for every BIGINT position, or, with their number known, for ``rows``: more would
     only pass the root on. Returns one row ``digest``.
     """
-
-    def fold(children: DataFrame, leaf: bool) -> DataFrame:
-        ordered = F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", "_line"))), lambda x: x["_line"]
-        )
-        joined = F.sha2(F.array_join(ordered, "\n"), 256)
-        digest = joined if leaf else F.when(F.count(F.lit(1)) == 1, F.max("_line")).otherwise(joined)
-        return (
-            children.groupBy(F.floor(F.col("_pos") / fanout).alias("_node"))
-            .agg(digest.alias("_line"))
-            .withColumnRenamed("_node", "_pos")
-        )
-
-    level = fold(df.select(F.col(index).alias("_pos"), F.col(text).alias("_line")), leaf=True)
+    level = digest_nodes(df.select(F.col(index).alias("pos"), F.col(text).alias("line")), fanout, leaf=True)
     levels = _DIGEST_LEVELS
     if rows is not None:
         levels = next(i for i in range(1, 65) if fanout**i >= rows)
     for _ in range(levels - 1):
-        level = fold(level, leaf=False)
-    return level.agg(F.coalesce(F.max("_line"), F.sha2(F.lit(""), 256)).alias("digest"))
+        level = digest_nodes(level, fanout, leaf=False)
+    return level.agg(F.coalesce(F.max("line"), F.sha2(F.lit(""), 256)).alias("digest"))
 
 
 def exact_percentiles(df: DataFrame, value: Column, fractions: dict[str, float]) -> DataFrame:

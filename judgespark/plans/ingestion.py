@@ -12,6 +12,7 @@ from judgespark.plans.registry import query
 from judgespark.plans.scratch import shared_folder
 from judgespark.schema import PILLARS
 from judgespark.sources import readers
+from judgespark.sources.fingerprint_store import FingerprintStore
 
 # --- source cells, one row per order, covering every branch of the null, number and JSON rules ----
 
@@ -388,6 +389,17 @@ def fingerprint_with_gaps(spark, sf_dir):
     return ingest.dataset_fingerprint(inputs.eval_rows(spark, sf_dir).withColumn("row_index", gaps))
 
 
+@query("i18_fingerprint_of_batches", q.with_ctes(fingerprint_sql(), "eval_rows"))
+def fingerprint_of_batches(spark, sf_dir):
+    """All rows taken in as three batches, each of which reads only its own rows."""
+    rows, store = inputs.eval_rows(spark, sf_dir), FingerprintStore(spark, shared_folder(spark))
+    last = rows.agg(F.max("row_index")).first()[0] or 0
+    third = F.floor(F.col("row_index") * 3 / (last + 1))
+    for batch in range(3):
+        store.append(rows.where(third == batch), batch + 1)
+    return store.fingerprint()
+
+
 @query("i18_fingerprint_far_positions", q.with_ctes(fingerprint_sql(), "eval_rows"))
 def fingerprint_far_positions(spark, sf_dir):
     """Positions as partition-wise numbering gives them; the digest is that of the dense ones."""
