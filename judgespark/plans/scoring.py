@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from judgespark.functions.text import keywords, normal_form
-from judgespark.operators import gates, ingest, kb, outcomes, prompts, reviewers, rubric, scored, tasks
+from judgespark.operators import calls, gates, ingest, kb, outcomes, prompts, reviewers, rubric, scored, tasks
 from judgespark.operators.skew import skew_join
 from judgespark.plans import inputs
 from judgespark.plans import sqltext as q
@@ -29,7 +29,7 @@ from judgespark.schema import (
     STOPWORDS,
     TURN,
 )
-from judgespark.sources import readers, sinks
+from judgespark.sources import metric_sink, readers, sinks
 from judgespark.sources.outcome_store import OutcomeStore
 
 # --- chat rows: every assistant turn is a record ----------------------------------
@@ -624,6 +624,65 @@ def scorer_cap(spark, sf_dir):
     return used.agg(F.sum("n").alias("scored"), (F.count(F.lit(1)) <= 3).alias("within_cap"))
 
 
+PROVIDER_OF = {"relevance": "north", "toxicity": "south", "hallucination": "south"}
+PROVIDER_LANES = {"north": 2, "south": 3}
+
+
+def flaky_scorer(task: dict) -> dict:
+    """The scorer above behind a busy provider: some conversations need a second to fourth call."""
+    if task["attempt"] <= task["row_index"] // 100 % 4:
+        raise calls.Retryable("busy")
+    return length_scorer(task)
+
+
+def called_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat tasks in lanes, scored by the table function, with ``provider`` and ``lane`` to group by."""
+    registry = tasks.ScorerRegistry()
+    for pillar in PROVIDER_OF:
+        registry.register(pillar, flaky_scorer)
+    calls.register_scorers(spark, "score_chats", registry, calls.CallPolicy(initial_backoff_s=0.0, jitter_s=0.0))
+    plan = tasks.plan_tasks(chat_rows(spark, sf_dir), registry.pillars())
+    ready = tasks.gate_tasks(plan, rubric.default_rubrics(spark)).where(F.size("missing_inputs") == 0)
+    laned = calls.lanes(ready, PROVIDER_OF, PROVIDER_LANES)
+    return calls.call_scorers(laned, "score_chats", ["user_input", "agent_output"])
+
+
+@query(
+    "u2_retried_calls",
+    q.with_ctes(
+        "SELECT row_index, record_id, pillar, CAST(least(1 + conv_id % 4, 3) AS INTEGER) AS calls,"
+        " CASE WHEN conv_id % 4 < 3 AND NOT broken THEN 1 + length(agent_output) % 5 END AS score,"
+        " CASE WHEN conv_id % 4 = 3 THEN 'gave up after 3 calls: busy'"
+        " WHEN broken THEN 'Unhandled judge exception: no answer' END AS error,"
+        " CASE WHEN conv_id % 4 = 3 THEN 'Retryable' WHEN broken THEN 'RuntimeError' END AS error_type FROM chat_tasks",
+        "chat_tasks",
+    ),
+)
+def retried_calls(spark, sf_dir):
+    score = F.get_json_object("raw", "$.score").cast("long").alias("score")
+    return called_chats(spark, sf_dir).select("row_index", "record_id", "pillar", "calls", score, "error", "error_type")
+
+
+@query(
+    "u4_provider_lanes",
+    q.with_ctes(
+        "SELECT CASE WHEN pillar = 'relevance' THEN 'north' ELSE 'south' END AS provider, count(*) AS tasks,"
+        " CAST(sum(least(1 + conv_id % 4, 3)) AS BIGINT) AS calls, TRUE AS within_cap FROM chat_tasks GROUP BY 1",
+        "chat_tasks",
+    ),
+)
+def provider_lanes(spark, sf_dir):
+    """Tasks and calls per provider, and that no more lanes than its limit were used, over all pillars."""
+    used = calls.lanes(called_chats(spark, sf_dir), PROVIDER_OF, PROVIDER_LANES)
+    per_lane = used.groupBy("provider", "lane").agg(F.count(F.lit(1)).alias("tasks"), F.sum("calls").alias("calls"))
+    limit = F.create_map(*[F.lit(v) for pair in PROVIDER_LANES.items() for v in pair])
+    return per_lane.groupBy("provider").agg(
+        F.sum("tasks").alias("tasks"),
+        F.sum("calls").alias("calls"),
+        (F.count(F.lit(1)) <= F.first(limit[F.col("provider")])).alias("within_cap"),
+    )
+
+
 # --- knowledge bank: benchmark passages are entries, documents are rows -----------------------
 
 
@@ -1003,6 +1062,34 @@ def agreement_metrics(spark, sf_dir):
     return sinks.read_metrics(spark, path).select("run_id", "key", "value")
 
 
+@query(
+    "s11_committed_metrics",
+    q.with_ctes(
+        "SELECT run_id, 'agreement' AS section, 2 AS attempt, key, value FROM ("
+        + _long_sql("report", f"CASE WHEN pillar = '{OVERALL}' THEN 'overall' ELSE pillar END", _METRIC_COLUMNS)
+        + ") UNION ALL SELECT run_id, 'slices', 1, key, value FROM ("
+        + _long_sql(
+            "sliced",
+            "'slice/' || slice || '/' || pillar",
+            {c: c for c in ("support", "severity_aware_alignment")},
+            f"dimension = 'category' AND pillar <> '{OVERALL}'",
+        )
+        + ")",
+        "report",
+        "sliced",
+    ),
+)
+def committed_metrics(spark, sf_dir):
+    """Two sections of a run through the sink with a commit; the agreement section is written again."""
+    path = shared_folder(spark) + "/metrics"
+    agreement = sinks.agreement_metrics(report_of(spark, sf_dir), "run-1")
+    metric_sink.write_metrics(agreement.where("key NOT LIKE 'overall%'"), path, "run-1", "agreement", attempt=1)
+    metric_sink.write_metrics(agreement, path, "run-1", "agreement", attempt=2)
+    slices = sinks.slice_metrics(sliced_of(spark, sf_dir, ["category"]), "run-1")
+    metric_sink.write_metrics(slices, path, "run-1", "slices")
+    return metric_sink.read_metrics(spark, path, run_id="run-1")
+
+
 @query(
     "s12_slice_metrics",
     q.with_ctes(
