@@ -2,8 +2,9 @@
 
 Vectors are dealt to shards by a hash of their id, so equal vectors spread; a shard has about
 ``SHARD_ROWS``. Within a shard equal vectors are one node with several ids. Each shard's graph is one stored
-row of flat arrays. Queries meet every shard in blocks of bounded size; a shard gives its nearest to
-each query, with exact distances in double precision, and the shards' answers are ranked.
+row of flat arrays over vectors scaled by a power of two, so vectors of any size keep their order. Queries
+stream past every shard; a shard gives its nearest to each query, with exact distances of the original
+vectors in double precision, and the shards' answers are ranked.
 
 Null vectors, vectors of zeros or without components, and vectors holding null or non-finite components take no
 part, neither do rows without id. Of rows with one id, the one with the least vector counts. Vectors of another
@@ -13,6 +14,8 @@ tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +27,7 @@ from judgespark.llm.common import mix, stored
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 1024
 BEAM = 128
+FARTHEST = 400  # a target's exponent, at most, above that of its shard's vectors
 
 _INDEX = "dim int, shard long, ids binary, bounds binary, vectors binary, sizes array<int>, links binary"
 
@@ -37,6 +41,17 @@ def usable(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     return rows.groupBy("id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
+def _exponent(vectors: np.ndarray) -> int:
+    """The power of two that brings all components below 1."""
+    return int(np.frexp(np.abs(vectors).max())[1])
+
+
+def _lengths(gaps: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, without squares that leave the range of doubles."""
+    exponent = np.frexp(np.abs(gaps).max(1, initial=0.0))[1]
+    return np.ldexp(np.sqrt((np.ldexp(gaps, -exponent[:, None]) ** 2).sum(1)), exponent)
+
+
 def _shard_index(rows: pd.DataFrame) -> pd.DataFrame:
     ids = rows["id"].to_numpy()
     vectors = np.stack(rows["vector"].to_list())
@@ -47,7 +62,7 @@ def _shard_index(rows: pd.DataFrame) -> pd.DataFrame:
     _, first, which = np.unique(key, return_index=True, return_inverse=True)
     uniform = ((mix(ids[first].view(np.uint64)) >> np.uint64(11)).astype(np.float64) + 1) / 2**53
     level = np.minimum(-np.log(uniform) / np.log(hnsw.WIDTH), 12).astype(np.int64)
-    node, graph = hnsw.build(vectors[first], level)
+    node, graph = hnsw.build(np.ldexp(vectors[first], -_exponent(vectors)), level)
     place = np.empty(len(node), np.int64)
     place[node] = np.arange(len(node))
     of = place[which]
@@ -75,50 +90,63 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     return stored(dealt.groupBy("dim", "shard").applyInPandas(_shard_index, _INDEX))
 
 
-def _graph(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, hnsw.Graph]:
+def _graph(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, hnsw.Graph]:
     vectors = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
     flat, links, at = np.frombuffer(row["links"], np.int32).astype(np.int64), [], 0
     for level, size in enumerate(row["sizes"]):
-        width = hnsw.WIDTH if level else hnsw.BASE_WIDTH
+        width = hnsw.WIDTHS[min(level, 1)]
         links.append(flat[at : at + size * width].reshape(size, width))
         at += size * width
-    graph = hnsw.Graph(vectors.astype(np.float32), list(row["sizes"]), links)
-    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["bounds"], np.int64), vectors, graph
-
-
-def _search_shard(k: int, beam: int):
-    def run(shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(queries):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        ids, bounds, vectors, graph = _graph(shard.iloc[0])
-        targets = np.stack(queries["vector"].to_list())
-        out = []
-        for query, target, nodes in zip(queries["id"].to_list(), targets, hnsw.search(graph, targets, beam)):
-            nodes = nodes[nodes >= 0]
-            score = np.sqrt(((vectors[nodes] - target) ** 2).sum(1))
-            # More ids of one node than k + 1, the query's own among them, can't be needed.
-            many = np.minimum(bounds[nodes + 1] - bounds[nodes], k + 1)
-            own = ids[np.repeat(bounds[nodes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            score = np.repeat(score, many)
-            score, own = score[own != query], own[own != query]
-            best = np.lexsort((own, score))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": own[best], "score": score[best]}))
-        return pd.concat(out)
+    exponent = _exponent(vectors)
+    graph = hnsw.Graph(np.ldexp(vectors, -exponent), list(row["sizes"]), links)
+    return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["bounds"], np.int64), vectors, exponent, graph
+
+
+def _search(graph_row, query_ids: np.ndarray, targets: np.ndarray, k: int, beam: int) -> pd.DataFrame:
+    ids, bounds, vectors, exponent, graph = graph_row
+    # A target far outside the shard comes nearer in its direction, so that no square overflows.
+    own = np.frexp(np.abs(targets).max(1))[1]
+    scaled = np.ldexp(targets, -np.maximum(exponent, own - FARTHEST)[:, None])
+    out = []
+    for query, target, nodes in zip(query_ids, targets, hnsw.search(graph, scaled, beam)):
+        nodes = nodes[nodes >= 0]
+        score = _lengths(vectors[nodes] - target)
+        # More ids of one node than k + 1, the query's own among them, can't be needed.
+        many = np.minimum(bounds[nodes + 1] - bounds[nodes], k + 1)
+        own = ids[np.repeat(bounds[nodes], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        score = np.repeat(score, many)
+        score, own = score[own != query], own[own != query]
+        best = np.lexsort((own, score))[:k]
+        out.append(pd.DataFrame({"query_id": query, "vec_id": own[best], "score": score[best]}))
+    return pd.concat(out)
+
+
+def _stream(k: int, beam: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = None
+        for batch in batches:
+            starts = np.flatnonzero(batch["links"].notna().to_numpy())
+            for a, b in zip([0, *starts], [*starts, len(batch)]):
+                if a < b and batch["links"].iloc[a] is not None:
+                    graph = _graph(batch.iloc[a])
+                    a += 1
+                for c in range(a, b, QUERY_BLOCK):
+                    asked = batch.iloc[c : min(c + QUERY_BLOCK, b)]
+                    yield _search(graph, asked["id"].to_numpy(np.int64), np.stack(asked["vector"].to_list()), k, beam)
 
     return run
 
 
-def nearest(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query (from :func:`usable`), itself excluded."""
-    blocks = max(1, -(-queries.count() // query_block))
-    shards = index.select(F.col("dim").alias("to_dim"), F.col("shard").alias("to_shard"))
-    asked = queries.withColumn("to_block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
-    asked = asked.join(shards, F.col("dim") == F.col("to_dim"))
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    both = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("to_dim", "to_shard", "to_block"))
-    found = both.applyInPandas(
-        _search_shard(k, beam), "query_id long, vec_id long, score double"
-    )
+def nearest(index: DataFrame, queries: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
+    """``(query_id, rank, vec_id, score)``: the ``k`` nearest found of each query (from :func:`usable`), itself excluded.
+
+    A shard's graph is moved and opened once; the queries follow it in the order of its partition."""
+    shards = index.select("dim", "shard")
+    asked = queries.join(shards, "dim").select("dim", "shard", F.lit(1).alias("turn"), "id", "vector")
+    both = index.withColumn("turn", F.lit(0)).unionByName(asked, allowMissingColumns=True)
+    # Ranges put each shard in a partition of its own; hashes of a few shard numbers would collide.
+    dealt = both.repartitionByRange(4 * max(1, shards.count()), "dim", "shard").sortWithinPartitions("dim", "shard", "turn")
+    found = dealt.mapInPandas(_stream(k, beam), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

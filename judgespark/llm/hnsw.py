@@ -1,7 +1,8 @@
 """A hierarchical navigable small-world graph in flat arrays, built and searched many points at a time.
 
 Nodes are ordered by level, highest first, so the nodes of level ``l`` are the first ``sizes[l]``, and each
-level's links are one ``sizes[l] x width`` array of node numbers, -1 where there is none.
+level's links are one ``sizes[l] x width`` array of node numbers, -1 where there is none. The last link of a
+node is its bridge, so that a beam as wide as the graph finds every node.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ import numpy as np
 
 WIDTH, BASE_WIDTH = 16, 32
 BUILD_BEAM, BLOCK, STEP = 64, 128, 4
-_FAR = np.float32(np.inf)
+WIDTHS = (BASE_WIDTH + 1, WIDTH + 1)  # stored links of a node: in level 0, above
+_FAR = np.inf
 
 
 class Graph(NamedTuple):
-    points: np.ndarray  # nodes x dimensions, float32
+    points: np.ndarray  # nodes x dimensions, components of about 1 or less
     sizes: list[int]  # nodes of each level, from level 0
     links: list[np.ndarray]  # of each level
 
@@ -37,7 +39,7 @@ def search_level(points: np.ndarray, links: np.ndarray, to: np.ndarray, entry: n
     rows = len(to)
     seen = np.zeros((rows, n + 1), bool)  # the last column takes what is no node
     node = np.full((rows, beam), -1, np.int64)
-    far = np.full((rows, beam), _FAR, np.float32)
+    far = np.full((rows, beam), _FAR)
     done = np.ones((rows, beam), bool)
     found, distance = entry, _distances(points, entry, to)
     seen[np.arange(rows)[:, None], found] = True
@@ -87,7 +89,7 @@ def choose(points: np.ndarray, near: np.ndarray, far: np.ndarray, width: int) ->
     between = square[:, :, None] + square[:, None, :] - 2 * np.matmul(own, own.transpose(0, 2, 1))
     there = np.isfinite(far)
     taken = np.zeros((rows, many), bool)
-    blocked = np.full((rows, many), _FAR, np.float32)  # nearest chosen one to each candidate
+    blocked = np.full((rows, many), _FAR)  # nearest chosen one to each candidate
     count = np.zeros(rows, np.int64)
     for c in range(many):
         take = there[:, c] & (far[:, c] < blocked[:, c]) & (count < width)
@@ -131,6 +133,29 @@ def _descend(graph: Graph, level: int, to: np.ndarray) -> np.ndarray:
     return entry
 
 
+def bridges(points: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """One more link of each node, -1 for most: with them every node can be reached from the first.
+
+    Nodes that links do not lead to are hung on the nearest reached node that has no such link yet.
+    """
+    n = len(points)
+    extra = np.full((n, 1), -1, np.int64)
+    reached = np.zeros(n, bool)
+    for root in range(n):
+        if reached[root]:
+            continue
+        if root:
+            free = np.flatnonzero(reached & (extra[:, 0] < 0))
+            extra[free[((points[free] - points[root]) ** 2).sum(1).argmin()]] = root
+        edge = np.array([root])
+        while len(edge):
+            reached[edge] = True
+            edge = np.unique(links[edge])
+            edge = edge[edge >= 0]
+            edge = edge[~reached[edge]]
+    return extra
+
+
 def build(points: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, Graph]:
     """The graph of ``points``, whose nodes have the given levels, and the order of its nodes.
 
@@ -138,7 +163,7 @@ def build(points: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, Graph]:
     in what is there, led by the finished level above, and among itself.
     """
     order = np.argsort(-level, kind="stable")
-    points = np.ascontiguousarray(points[order], np.float32)
+    points = np.ascontiguousarray(points[order], np.float64)
     top = int(level.max(initial=0))
     sizes = [int((level >= l).sum()) for l in range(top + 1)]
     graph = Graph(points, sizes, [np.zeros((0, 0), np.int64)] * (top + 1))
@@ -161,7 +186,7 @@ def build(points: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, Graph]:
             chosen = choose(points, np.take_along_axis(near, best, 1), np.take_along_axis(far, best, 1), width)
             links[new] = chosen
             _link_back(points, links, new, chosen)
-        graph.links[l] = links
+        graph.links[l] = np.concatenate([links, bridges(points[: sizes[l]], links)], 1)
     return order, graph
 
 
@@ -169,7 +194,9 @@ def search(graph: Graph, to: np.ndarray, beam: int) -> np.ndarray:
     """Node numbers near each row of ``to``, nearest first, -1 where there are fewer than ``beam``."""
     out = np.full((len(to), beam), -1, np.int64)
     for a in range(0, len(to), BLOCK):
-        own = np.ascontiguousarray(to[a : a + BLOCK], np.float32)
-        node, far = search_level(graph.points, graph.links[0], own, _descend(graph, 0, own), beam, graph.sizes[0])
+        own = np.ascontiguousarray(to[a : a + BLOCK], np.float64)
+        entry = _descend(graph, 0, own)
+        entry = np.concatenate([entry, np.where(entry > 0, 0, -1)], 1)  # from the first node all others can be reached
+        node, far = search_level(graph.points, graph.links[0], own, entry, beam, graph.sizes[0])
         out[a : a + BLOCK] = np.where(np.isfinite(far), node, -1)
     return out
