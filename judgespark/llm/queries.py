@@ -52,6 +52,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[secrets.count_of(spans, name).alias(f"n_{name}") for name in ("assign", "access", "hex")],
         F.sha2(secrets.listing(secrets.sure(spans)), 256).alias("base_sha256"),
         secrets.listing(spans).alias("spans"),
+        secrets.link_listing(F.col("links")).alias("links"),
     )
 
 

@@ -4,7 +4,8 @@ All work is DataFrame functions. A pattern's matches are found with their places
 at them: the lengths of the pieces and of the matches add up to the offsets. Access identifiers,
 secrets and endpoints are then rows with an interval; parts of one document are joined where
 their intervals, widened by ``reach`` characters, meet. The join's key is a document and a stretch of
-``reach`` characters, so no key grows with the data, and it is a semi-join, so it makes no pairs.
+``reach`` characters, so no key grows with the data and the pairs in a stretch are bounded by its
+length; each weak span keeps its nearest part.
 
 Null texts count as empty, rows without spans give zero counts and an empty list, repeated rows give
 equal results, other columns are not read. Offsets are code points, ends exclusive.
@@ -17,7 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from judgespark.llm.common import text_of
+from judgespark.llm.common import stored, text_of
 
 
 class Kind(NamedTuple):
@@ -78,43 +79,73 @@ def _role(kind: Column) -> Column:
     return F.element_at(F.array(*[F.lit(k.role) for k in KINDS]), kind + 1)
 
 
-def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
-    """All sure spans, and the weak ones that a part of another role accompanies, one of the two a secret."""
+def links(found: DataFrame, reach: int = REACH) -> DataFrame:
+    """``(_row, kind, start, end, with_kind, with_start, with_end)``: each weak span that a part of another role
+    accompanies, one of the two a secret, and the nearest such part (ties: smallest start, kind, end)."""
     weak = F.element_at(F.array(*[F.lit(k.weak) for k in KINDS]), F.col("kind") + 1)
     stretch = lambda a, b: F.explode(F.sequence(F.floor(a / reach), F.floor(b / reach)))
     near = found.where(weak).withColumn("role", _role(F.col("kind"))).withColumn(
         "cell", stretch(F.greatest(F.col("start") - reach, F.lit(0)), F.col("end") + reach)
     )
     other = found.select(
-        F.col("_row").alias("o_row"), _role(F.col("kind")).alias("o_role"), F.col("start").alias("o_start"),
-        F.col("end").alias("o_end"), stretch(F.col("start"), F.col("end")).alias("o_cell"),
+        F.col("_row").alias("o_row"), F.col("kind").alias("o_kind"), _role(F.col("kind")).alias("o_role"),
+        F.col("start").alias("o_start"), F.col("end").alias("o_end"),
+        stretch(F.col("start"), F.col("end")).alias("o_cell"),
     )
     meets = (
         (F.col("_row") == F.col("o_row")) & (F.col("cell") == F.col("o_cell"))
         & (F.col("o_role") != F.col("role")) & ((F.col("o_role") == "secret") | (F.col("role") == "secret"))
         & (F.col("o_start") <= F.col("end") + reach) & (F.col("o_end") >= F.col("start") - reach)
     )
-    accompanied = near.join(other, meets, "left_semi").select("_row", "kind", "start", "end").distinct()
-    return found.where(~weak).unionByName(accompanied)
+    apart = F.greatest(F.col("o_start") - F.col("end"), F.col("start") - F.col("o_end"), F.lit(0))
+    part = F.struct(apart.alias("apart"), "o_start", "o_kind", "o_end")
+    nearest = near.join(other, meets).groupBy("_row", "kind", "start", "end").agg(F.min(part).alias("part"))
+    return nearest.select(
+        "_row", "kind", "start", "end", F.col("part.o_kind").alias("with_kind"),
+        F.col("part.o_start").alias("with_start"), F.col("part.o_end").alias("with_end"),
+    )
+
+
+def linked(found: DataFrame, reach: int = REACH) -> DataFrame:
+    """All sure spans, and the weak ones of :func:`links` with their part beside them."""
+    weak = F.element_at(F.array(*[F.lit(k.weak) for k in KINDS]), F.col("kind") + 1)
+    return found.where(~weak).unionByName(links(found, reach), allowMissingColumns=True)
 
 
 def scan(docs: DataFrame, reach: int = REACH) -> DataFrame:
-    """One row per row of ``docs`` (a stored table): ``doc_id`` and ``spans``, an array of
-    ``(start, kind, end)`` by start, then kind; ``kind`` is the place in ``KINDS``."""
-    spans = linked(candidates(docs), reach).groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans")
+    """One row per row of ``docs`` (a stored table): ``doc_id``; ``spans``, an array of ``(start, kind, end)`` by
+    start, then kind; and ``links``, each weak span with its nearest part. ``kind`` is the place in ``KINDS``."""
+    link = F.struct("start", "kind", "end", "with_start", "with_kind", "with_end")
+    # The texts are searched once; the parts then meet from the stored matches.
+    spans = linked(stored(candidates(docs)), reach).groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"),
+        F.array_sort(F.collect_list(F.when(F.col("with_kind").isNotNull(), link))).alias("links"),
     )
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id")
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
-    return rows.join(spans, "_row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
+    unlinked = F.array().cast(
+        "array<struct<start:bigint,kind:int,end:bigint,with_start:bigint,with_kind:int,with_end:bigint>>"
+    )
+    return rows.join(spans, "_row", "left").select(
+        "doc_id", F.coalesce("spans", none).alias("spans"), F.coalesce("links", unlinked).alias("links")
+    )
+
+
+def _span(kind: Column, start: Column, end: Column) -> Column:
+    return F.concat_ws(":", F.element_at(F.array(*[F.lit(k.name) for k in KINDS]), kind + 1), start, end)
 
 
 def listing(spans: Column) -> Column:
     """Spans as ``kind:start:end`` joined by commas."""
-    names = F.array(*[F.lit(k.name) for k in KINDS])
-    return F.array_join(
-        F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ","
+    return F.array_join(F.transform(spans, lambda s: _span(s["kind"], s["start"], s["end"])), ",")
+
+
+def link_listing(links: Column) -> Column:
+    """Links as ``kind:start:end>kind:start:end`` joined by commas, the weak span first."""
+    both = lambda s: F.concat(
+        _span(s["kind"], s["start"], s["end"]), F.lit(">"), _span(s["with_kind"], s["with_start"], s["with_end"])
     )
+    return F.array_join(F.transform(links, both), ",")
 
 
 def count_of(spans: Column, name: str) -> Column:

@@ -37,8 +37,28 @@ def brute_all(text, reach):
     return sorted(out)
 
 
+def brute_links(text, reach):
+    found = []
+    for order, k in enumerate(secrets.KINDS):
+        found += [(m.start(), order, m.end(), k) for m in re.finditer(k.pattern, text or "") if len(m[k.group]) >= k.least]
+    out = []
+    for s, o, e, k in found:
+        parts = [
+            (max(s2 - e, s - e2, 0), s2, o2, e2)
+            for s2, o2, e2, k2 in found
+            if k2.role != k.role and "secret" in (k.role, k2.role) and s2 <= e + reach and e2 >= s - reach
+        ]
+        if k.weak and parts:
+            out.append((s, o, e, *min(parts)[1:]))
+    return sorted(out)
+
+
 def check(spark, texts):
-    got = {r.doc_id: [tuple(s) for s in r.spans] for r in secrets.scan(docs(spark, texts)).collect()}
+    rows = secrets.scan(docs(spark, texts)).collect()
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in rows}
+    linked = {r.doc_id: [tuple(s) for s in r.links] for r in rows}
+    for i, t in (texts.items() if isinstance(texts, dict) else enumerate(texts)):
+        assert linked[i] == brute_links(t, secrets.REACH), t
     texts = dict(enumerate(texts)) if isinstance(texts, list) else texts
     for i, t in texts.items():
         assert got[i] == brute_all(t, secrets.REACH), t
@@ -68,6 +88,14 @@ def test_many_matches_in_one_text(spark):
     check(spark, ["token=abcdefgh1 " * 5000 + "user: bob"])
 
 
+def test_links_name_the_nearest_part(spark):
+    text = "user: bob pwd: hunter2 and http://h.example/a"
+    out = secrets.scan(docs(spark, [text, None])).orderBy("doc_id").select(secrets.link_listing(F.col("links")).alias("x"))
+    assert [r.x for r in out.collect()] == [
+        "login:0:9>short:10:22,short:10:22>login:0:9,endpoint:27:45>short:10:22", ""
+    ]
+
+
 def test_repeated_rows_empty_table_and_clashing_columns(spark):
     rows = [(1, "token=abcdefgh", None, None, None)] * 2 + [(None, "token=abcdefgh", None, None, None)]
     df = spark.createDataFrame(rows, DOCS).withColumn("spans", F.lit(1)).withColumn("kind", F.lit(1))
