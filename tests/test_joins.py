@@ -150,3 +150,39 @@ def test_empty_reviewer_counts_as_signal(spark, small):
     items = scored.scored_items(*small)
     assert reviewers.has_reviewer_signal(items).first()[0] is True
     assert reviewers.has_reviewer_signal(items.where("false")).first()[0] is False
+
+
+def test_hot_keys_by_hash_first(spark):
+    df = spark.range(4000).selectExpr("IF(id % 4 = 0, 'hot', IF(id % 10 = 1, NULL, 'k' || id)) AS a", "id % 2 = 0 AS b", "id")
+    want = df.groupBy("a", "b").count().where("count > 100")
+    got = skew.hot_keys(df, ["a", "b"], share=0.05, min_rows=100)
+    piece = 200.0
+    counts = [(r.a, r.b, -(-r["count"] // piece)) for r in want.collect() if r["count"] > piece]
+    assert sorted(map(str, ((r.a, r.b, float(r.n_salts)) for r in got.collect()))) == sorted(map(str, counts))
+    assert skew.hot_keys(df.limit(0), ["a"]).count() == 0
+
+
+def test_counting_hot_keys_does_not_shuffle_the_keys(spark):
+    df = spark.range(0, 200_000, 1, 4).select(F.sha2(F.col("id").cast("string"), 256).alias("k"))
+    hot = skew.hot_keys(df, ["k"], min_rows=1000)
+    assert hot.count() == 0
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = hot.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    # Keys are shuffled only behind the join with the large hashes.
+    lines = plan.splitlines()
+    at = next(i for i, x in enumerate(lines) if "hashpartitioning(k" in x)
+    assert any("BroadcastHashJoin [_hash" in x for x in lines[at:])
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_unique_small_side(spark, how):
+    big = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 'hot', IF(id % 7 = 1, NULL, 'k' || id % 50)) AS k")
+    small = spark.range(40).selectExpr("IF(id = 0, 'hot', 'k' || id) AS k", "id AS v")
+    plain = sorted(map(str, big.join(small, "k", how).collect()))
+    assert sorted(map(str, skew.skew_join(big, small, ["k"], F.col("id"), how, min_rows=100, unique=True).collect())) == plain
+    gone = small.where("k <> 'hot'")
+    plain = sorted(map(str, big.join(gone, "k", how).collect()))
+    assert sorted(map(str, skew.skew_join(big, gone, ["k"], F.col("id"), how, min_rows=100, unique=True).collect())) == plain
