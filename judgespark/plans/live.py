@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +37,13 @@ def live_progress(spark, sf_dir):
     return live.progress(spark, folder + "/progress", total_tasks=1_000_000)
 
 
+def in_batches(spark: SparkSession, path: str, batches: int) -> DataFrame:
+    """The files below ``path`` as a stream, in the order in which they came, dealt over ``batches`` micro-batches."""
+    sent = spark.read.parquet(path)
+    files = math.ceil(len(sent.inputFiles()) / batches)
+    return spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 _COLUMNS = ("pillar", "support", *METRIC_COLUMNS)
 
 
@@ -54,9 +63,11 @@ def live_agreement_resent(spark, sf_dir):
     folder = shared_folder(spark)
     rows = live.prepare_rows(inputs.eval_rows(spark, sf_dir), folder + "/rows")
     lines = inputs.table(spark, sf_dir, "lineitem")
-    lines.repartition(2).write.parquet(folder + "/sent")
-    lines.repartition(2).write.mode("append").parquet(folder + "/sent")
-    stream = spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(folder + "/sent")
+    # Halves, each written where its lines are read: as many files as tasks, and no shuffle.
+    half = F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(2))
+    for part in (0, 1, 0, 1):
+        lines.where(half == part).write.mode("append").parquet(folder + "/sent")
+    stream = in_batches(spark, folder + "/sent", 4)
     live.start_agreement(
         inputs.outcomes_from(stream),
         rows,
@@ -80,9 +91,8 @@ def live_agreement_bounded(spark, sf_dir):
     again = lines.withColumn("sent_at", clock + F.make_dt_interval(hours="part", mins=F.lit(1)))
     for part in range(4):
         now = sent.where(F.col("part") == part).unionByName(again.where(F.col("part") == part))
-        now.repartition(2, "l_suppkey").write.mode("append").parquet(folder + "/sent")
-    schema = spark.read.parquet(folder + "/sent").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(folder + "/sent")
+        now.write.mode("append").parquet(folder + "/sent")
+    stream = in_batches(spark, folder + "/sent", 4)
     outcomes = inputs.outcomes_from(stream, ["sent_at"])
     live.start_agreement(
         outcomes,

@@ -78,7 +78,11 @@ def start_agreement(
     ``delay`` past an outcome's own. An outcome may come again, or for the first time, that much late;
     one that is later still does not count, as nothing could tell by then whether it had.
     """
-    stream = unique_outcomes(outcomes, unique_by, event_time, delay)
+    # A micro-batch can't leave out columns by itself, and all that it has are shuffled to the state.
+    score = F.when(F.col("result").isNotNull(), F.struct(F.col("result.score").alias("score"))).alias("result")
+    kept = dict.fromkeys([*unique_by, *([event_time] if event_time else []), "record_id", "pillar"])
+    narrow = outcomes.select(*kept) if "result" in kept else outcomes.select(*kept, score)
+    stream = unique_outcomes(narrow, unique_by, event_time, delay)
     keys = [*attributes, "pillar", "judge", "human"]
 
     def publish(batch: DataFrame, batch_id: int) -> None:

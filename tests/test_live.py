@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from judgespark.plans import live as plans_live
 from judgespark.schema import OUTCOME
 from judgespark.streaming import live
 
@@ -82,3 +83,23 @@ def test_without_times_state_is_kept(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "outcome_index long, record_id string")
     assert live.unique_outcomes(df, ("outcome_index",)).count() == 2
     assert live.unique_outcomes(df, ()).count() == 3
+
+
+@pytest.mark.parametrize("name", ["live_agreement_resent", "live_agreement_bounded"])
+def test_no_task_writes_more_as_the_table_grows(spark, tmp_path, monkeypatch, name):
+    source = "/root/testdata/sf0.001"
+    if not Path(source).exists():
+        pytest.skip("sample tables not available")
+    spark.read.parquet(f"{source}/lineitem.parquet").repartition(6).write.parquet(str(tmp_path / "lineitem.parquet"))
+    (tmp_path / "orders.parquet").symlink_to(f"{source}/orders.parquet")
+    want = plans_live.live_agreement(spark, source).collect()
+    monkeypatch.setattr(plans_live, "shared_folder", lambda _: str(tmp_path / "shared"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")  # a task for each file
+    try:
+        got = getattr(plans_live, name)(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(list((tmp_path / "shared/sent").glob("part-*"))) >= 4 * 6
+    assert len(list((tmp_path / "shared/checkpoint/commits").glob("[0-9]*"))) >= 4
+    assert sorted(map(str, got)) == sorted(map(str, want)) and len(got)
