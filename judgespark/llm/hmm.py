@@ -34,6 +34,8 @@ SYMBOL_SHARE, SYMBOL_LEAST, KNOWN_SHARE = 1e-5, 5, 5e-7
 STEP_BYTES = 2 << 20  # of text in a step, which holds a few numbers for each token and state
 SYMBOL_BYTES = 2 << 20  # of symbols in a step of training, four a token
 STRETCH = 2048  # tokens that one training sequence has at most; the next one follows from any state
+PAIRS = 4096  # tokens whose pairs of states are summed in the model's precision
+RESCALE = 8  # times after which a forward recursion in double precision is scaled
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 _SMOOTH, _FOLLOW = 10.0, 0.1
 
@@ -156,8 +158,8 @@ def expected_counts(model: Model, symbol: np.ndarray, first: np.ndarray, begins:
     ``begins`` tells which sequences begin a text. Tables of the model's precision, sums in double precision.
     """
     order, begin, token = _by_time(first)
-    seen = symbol[token]
-    emit = model.emit[seen]
+    seen = symbol[token].astype(np.intp)  # once, not for each state
+    emit = model.emit.take(seen, axis=0)
     kind, states = emit.dtype, emit.shape[1]
     ones, alpha, scale = np.ones(states, kind), np.empty_like(emit), np.empty(len(seen), kind)
     at = begin.tolist()
@@ -174,17 +176,18 @@ def expected_counts(model: Model, symbol: np.ndarray, first: np.ndarray, begins:
         now /= s[:, None]
     # Backward: `emit` becomes emission times beta over scale, what a state sees of the next token; `alpha` becomes gamma.
     emit /= scale[:, None]
-    back, follow = model.follow.T.copy(), np.zeros((states, states))
-    room, pairs = np.empty((texts.size, states), kind), np.empty((states, states), kind)
+    back, beta = model.follow.T.copy(), np.ones_like(emit)
     for t in range(steps_ - 2, -1, -1):
         later = emit[at[t + 1] : at[t + 2]]
-        n = len(later)
-        beta = np.matmul(later, back, out=room[:n])
-        now = alpha[at[t] : at[t] + n]
-        follow += np.matmul(now.T, later, out=pairs)
-        now *= beta
-        emit[at[t] : at[t] + n] *= beta
+        a, b = at[t], at[t] + len(later)
+        emit[a:b] *= np.matmul(later, back, out=beta[a:b])
+    # A token's last one lies as far before it as there are sequences at that time.
+    follow, going = np.zeros((states, states)), np.diff(begin)
+    last = np.arange(begin[1], begin[-1]) - np.repeat(going[:-1], going[1:]) if steps_ else np.zeros(0, np.int64)
+    for k in range(0, len(last), PAIRS):
+        follow += alpha.take(last[k : k + PAIRS], axis=0).T @ emit[begin[1] + k : begin[1] + k + len(last[k : k + PAIRS])]
     follow *= model.follow
+    alpha *= beta
     counts = np.empty(model.emit.shape)
     for k in range(states):
         counts[:, k] = np.bincount(seen, alpha[:, k], minlength=len(counts))
@@ -196,15 +199,16 @@ def log_likelihoods(model: Model, symbol: np.ndarray, first: np.ndarray) -> np.n
     """The natural log of each sequence's probability, by the scaled forward recursion."""
     order, begin, token = _by_time(first)
     out = np.zeros(len(first) - 1)
-    seen, scale, ones, at = symbol[token], np.empty(len(token)), np.ones(model.emit.shape[1]), begin.tolist()
-    state = None
+    seen, scale, ones, at = symbol[token], np.ones(len(token)), np.ones(model.emit.shape[1]), begin.tolist()
+    emit, room, last = model.emit.take(seen, axis=0), np.empty((at[1] if len(at) > 1 else 0, len(ones))), len(at) - 2
     for t in range(len(at) - 1):
         a, b = at[t], at[t + 1]
-        now = model.emit[seen[a:b]]
-        now *= model.start if state is None else state[: b - a] @ model.follow
-        s = np.matmul(now, ones, out=scale[a:b])
-        now /= s[:, None]
+        now = emit[a:b]
+        now *= np.matmul(state[: b - a], model.follow, out=room[: b - a]) if t else model.start
         state = now
+        # Where a sequence ends, and every few times: so few factors stay far from the least double.
+        if t % RESCALE == 0 or t == last or at[t + 2] - b < b - a:
+            now /= np.matmul(now, ones, out=scale[a:b])[:, None]
     # Tokens lie by time, sequences in one order at every time: a token's sequence is its place there.
     which = np.arange(len(scale)) - np.repeat(begin[:-1], np.diff(begin))
     out[order] = np.bincount(which, np.log(scale), minlength=len(out))

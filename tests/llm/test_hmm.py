@@ -186,3 +186,20 @@ def test_names_of_words():
     assert len(set(one.tolist())) == len(set(words_)) and not set(one.tolist()) & set(two.tolist())
     assert (common.word_hashes(data[5:], starts[9:] - 5, ends[9:] - 5) == one[9:]).all()
     assert len(common.word_hashes(data[:0], starts[:0], ends[:0])) == 0
+
+
+def test_rescaling_every_few_times_keeps_long_and_improbable_texts():
+    rng = np.random.default_rng(3)
+    emit = rng.random((40, 3)) * 10.0 ** -rng.integers(0, 30, (40, 1))  # eight in a row are far below a float's least
+    follow = rng.random((3, 3))
+    model = hmm.Model(np.full(3, 1 / 3), np.full(3, 1 / 3), follow / follow.sum(1, keepdims=True), emit)
+    sizes = np.array([1, 700, 3, 8, 9, 16, 700, 1])
+    first = np.append(0, np.cumsum(sizes))
+    symbol = rng.integers(0, 40, first[-1])
+    got = hmm.log_likelihoods(model, symbol, first)
+    for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
+        state, log = model.start * emit[symbol[a]], 0.0
+        for s in symbol[a + 1 : b]:
+            log, state = log + np.log(state.sum()), (state / state.sum()) @ model.follow * emit[s]
+        assert abs(got[k] - log - np.log(state.sum())) < 1e-9 * abs(got[k])
+    assert len(hmm.log_likelihoods(model, symbol[:0], np.array([0]))) == 0
